@@ -246,3 +246,522 @@ QUERIES = {
     "tail_n": q_tail_n,
 }
 ORACLE_SQL = {**SQL_CLEAN, **SQL_FEATURES}
+
+
+# ----------------------------------------------------------------------------- windows
+from tsengine.operators import probabilistic, windows  # noqa: E402
+
+SPLIT_EXPR = "CAST(floor({n} * (CAST(1.0 AS DOUBLE) - CAST({t} AS DOUBLE))) AS BIGINT)"
+
+
+def _windows_ctes(fixture: str, C: int, H: int, S: int, t: float = 0.2) -> list[tuple[str, str]]:
+    k = SPLIT_EXPR.format(n="n", t=repr(t))
+    return [
+        ("s", f"SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM {fixture}"),
+        ("c", f"SELECT series_id, n, least(greatest({k}, {C + H}), n - 1) AS cut FROM (SELECT series_id, any_value(n) AS n FROM s GROUP BY series_id)"),
+        ("ok", f"SELECT * FROM c WHERE cut >= {C + H} AND n - cut >= {H}"),
+        (
+            "win",
+            f"SELECT series_id, 'train' AS split, unnest(range({C}, cut - {H} + 1, {S})) AS e FROM ok "
+            f"UNION ALL SELECT series_id, 'test' AS split, unnest(range(cut, n - {H} + 1, {S})) AS e FROM ok",
+        ),
+        ("pts", f"SELECT w.series_id, w.e, w.split, s.pos, s.ts, s.y FROM win w JOIN s ON s.series_id = w.series_id AND s.pos >= w.e - {C} AND s.pos < w.e + {H}"),
+    ]
+
+
+def _windows_summary_sql(fixture: str, C: int, H: int, S: int) -> str:
+    body = """SELECT series_id, CAST(e AS BIGINT) AS window_id, split,
+  CAST(count(*) FILTER (WHERE pos < e) AS BIGINT) AS ctx_len,
+  round(arg_min(y, pos) FILTER (WHERE pos < e), 6) AS ctx_first,
+  round(arg_max(y, pos) FILTER (WHERE pos < e), 6) AS ctx_last,
+  round(sum(y) FILTER (WHERE pos < e), 2) AS ctx_sum,
+  CAST(count(*) FILTER (WHERE pos >= e) AS BIGINT) AS h_len,
+  min(ts) FILTER (WHERE pos >= e) AS h_first_ts,
+  max(ts) FILTER (WHERE pos >= e) AS h_last_ts,
+  round(sum(y) FILTER (WHERE pos >= e), 2) AS h_sum
+FROM pts GROUP BY series_id, e, split"""
+    return with_fixtures(body, fixture, extra=_windows_ctes(fixture, C, H, S))
+
+
+def summarize_windows(w: DataFrame) -> DataFrame:
+    n_c, n_h = F.size("ctx"), F.size("horizon")
+    out = w.select(
+        "series_id",
+        "window_id",
+        "split",
+        n_c.cast("bigint").alias("ctx_len"),
+        F.get(F.col("ctx"), 0).alias("ctx_first"),
+        F.get(F.col("ctx"), n_c - 1).alias("ctx_last"),
+        F.round(F.aggregate("ctx", F.lit(0.0), lambda a, x: a + x), 2).alias("ctx_sum"),
+        n_h.cast("bigint").alias("h_len"),
+        F.get(F.col("horizon"), 0)["ts"].alias("h_first_ts"),
+        F.get(F.col("horizon"), n_h - 1)["ts"].alias("h_last_ts"),
+        F.round(F.aggregate("horizon", F.lit(0.0), lambda a, x: a + x["y"]), 2).alias("h_sum"),
+    )
+    return rounded(out)
+
+
+WIN30 = ForecastConfig()  # C=1024, H=24, stride H
+STRIDE_CFG = ForecastConfig(context_length=60, prediction_length=14, stride=7)
+ORDERS_CFG = ForecastConfig(context_length=364, prediction_length=28)
+
+
+def _win30(spark, d):
+    return windows.context_windows(fx.events_30min(spark, d), WIN30)
+
+
+def q_context_windows(spark, d):
+    return summarize_windows(_win30(spark, d))
+
+
+def q_context_windows_stride(spark, d):
+    return summarize_windows(windows.context_windows(fx.orders_daily(spark, d), STRIDE_CFG))
+
+
+def q_window_dataset(spark, d):
+    return summarize_windows(windows.window_dataset(fx.orders_daily(spark, d), ORDERS_CFG))
+
+
+def q_context_windows_dense(spark, d):
+    w = _win30(spark, d)
+    keys = ["series_id", "window_id", "split"]
+    ctx = w.select(*keys, F.posexplode("ctx").alias("idx", "y")).select(
+        *keys, F.lit("ctx").alias("part"), F.col("idx").cast("bigint").alias("idx"), F.lit(None).cast("timestamp_ntz").alias("ts"), "y"
+    )
+    hor = windows.explode_horizon(w).select(*keys, F.lit("h").alias("part"), F.col("step").cast("bigint").alias("idx"), "ts", "y")
+    return rounded(ctx.unionByName(hor))
+
+
+def q_explode_horizon(spark, d):
+    return rounded(windows.explode_horizon(_win30(spark, d)).withColumn("step", F.col("step").cast("bigint")))
+
+
+def q_first_step(spark, d):
+    return rounded(windows.first_step(_win30(spark, d)))
+
+
+def _paths(spark, d, method="analog"):
+    return probabilistic.sample_paths(_win30(spark, d), WIN30, method=method)
+
+
+def q_sample_paths_analog(spark, d):
+    p = _paths(spark, d)
+    keys = ["series_id", "window_id", "split"]
+    out = p.select(*keys, F.posexplode("samples").alias("sample", "path")).select(*keys, "sample", F.posexplode("path").alias("step", "value"))
+    return rounded(out.select(*keys, F.col("sample").cast("bigint").alias("sample"), F.col("step").cast("bigint").alias("step"), "value"))
+
+
+def q_prediction_bands(spark, d):
+    return rounded(probabilistic.prediction_bands(_paths(spark, d), 0.9))
+
+
+def q_sample_paths_bootstrap(spark, d):
+    p = _paths(spark, d, "bootstrap")
+    return rounded(probabilistic.prediction_bands(p, 0.9))
+
+
+def q_sample_paths_plugin(spark, d):
+    p = probabilistic.sample_paths(_win30(spark, d), WIN30, method="plugin", fn=probabilistic.seasonal_analog_plugin(48))
+    return rounded(probabilistic.prediction_bands(p, 0.9))
+
+
+J30 = min(WIN30.num_samples, WIN30.context_length // WIN30.season_length)
+_LOQ, _HIQ = (1.0 - 0.9) / 2.0, 1.0 - (1.0 - 0.9) / 2.0
+SAMPLES_SQL = (
+    f"SELECT w.series_id, w.e, w.split, CAST(j.j - 1 AS BIGINT) AS sample, CAST(h.h AS BIGINT) AS step, s.y AS value "
+    f"FROM win w, range(1, {J30 + 1}) j(j), range(0, {WIN30.prediction_length}) h(h), s "
+    f"WHERE s.series_id = w.series_id AND s.pos = w.e - j.j * {WIN30.season_length} + (h.h % {WIN30.season_length})"
+)
+BANDS_SQL = f"""SELECT b.series_id, CAST(b.e AS BIGINT) AS window_id, b.split, CAST(b.step AS INTEGER) AS step, s.ts, round(s.y, 6) AS y,
+  round(b.med, 6) AS median, round(b.lo, 6) AS low, round(b.hi, 6) AS high
+FROM (SELECT series_id, e, split, step, list_sort(list(value))[CAST((count(*) - 1) // 2 AS BIGINT) + 1] AS med,
+        quantile_cont(value, {_LOQ!r}) AS lo, quantile_cont(value, {_HIQ!r}) AS hi
+      FROM samples GROUP BY series_id, e, split, step) b
+JOIN s ON s.series_id = b.series_id AND s.pos = b.e + b.step"""
+
+SQL_WINDOWS = {
+    "context_windows": _windows_summary_sql("events_30min", 1024, 24, 24),
+    "context_windows_stride": _windows_summary_sql("orders_daily", 60, 14, 7),
+    "window_dataset": _windows_summary_sql("orders_daily", 364, 28, 28),
+    "context_windows_dense": with_fixtures(
+        "SELECT series_id, CAST(e AS BIGINT) AS window_id, split, CASE WHEN pos < e THEN 'ctx' ELSE 'h' END AS part, "
+        "CAST(CASE WHEN pos < e THEN pos - (e - 1024) ELSE pos - e END AS BIGINT) AS idx, "
+        "CASE WHEN pos < e THEN NULL ELSE ts END AS ts, round(y, 6) AS y FROM pts",
+        "events_30min",
+        extra=_windows_ctes("events_30min", 1024, 24, 24),
+    ),
+    "explode_horizon": with_fixtures(
+        "SELECT series_id, CAST(e AS BIGINT) AS window_id, split, CAST(pos - e AS BIGINT) AS step, ts, round(y, 6) AS y FROM pts WHERE pos >= e",
+        "events_30min",
+        extra=_windows_ctes("events_30min", 1024, 24, 24),
+    ),
+    "first_step": with_fixtures(
+        "SELECT series_id, CAST(e AS BIGINT) AS window_id, split, ts, round(y, 6) AS y FROM pts WHERE pos = e",
+        "events_30min",
+        extra=_windows_ctes("events_30min", 1024, 24, 24),
+    ),
+    "sample_paths_analog": with_fixtures(
+        "SELECT series_id, CAST(e AS BIGINT) AS window_id, split, sample, step, round(value, 6) AS value FROM samples",
+        "events_30min",
+        extra=_windows_ctes("events_30min", 1024, 24, 24) + [("samples", SAMPLES_SQL)],
+    ),
+    "prediction_bands": with_fixtures(
+        BANDS_SQL, "events_30min", extra=_windows_ctes("events_30min", 1024, 24, 24) + [("samples", SAMPLES_SQL)]
+    ),
+}
+SQL_WINDOWS["sample_paths_plugin"] = SQL_WINDOWS["prediction_bands"]
+
+
+# ----------------------------------------------------------------------------- evaluation
+def _nvs(spark, d, test_size=0.2):
+    """naive (lag 1) and seasonal-naive (lag 24) hourly forecasts with a lag-24/48 band."""
+    base = fx.events_hourly_by_type(spark, d)
+    base = features.add_lags(base, [1, 24, 48])
+    base = split.split_chrono(base, test_size)
+    return base.select(
+        "series_id",
+        "ts",
+        "y",
+        "split",
+        F.col("y_lag_1").alias("pred_a"),
+        F.col("y_lag_24").alias("pred_b"),
+        F.least("y_lag_24", "y_lag_48").alias("low"),
+        F.greatest("y_lag_24", "y_lag_48").alias("high"),
+    )
+
+
+def _side_a(spark, d):
+    return _nvs(spark, d, 0.2).filter("split = 'test' AND pred_a IS NOT NULL").select("series_id", "ts", F.col("y").alias("y_true_a"), "pred_a")
+
+
+def _side_b(spark, d, shift_minutes: int = 0):
+    b = _nvs(spark, d, 0.3).filter("split = 'test' AND pred_b IS NOT NULL AND low IS NOT NULL")
+    ts = F.col("ts") + F.expr(f"INTERVAL {shift_minutes} MINUTES") if shift_minutes else F.col("ts")
+    return b.select("series_id", ts.alias("ts"), F.col("y").alias("y_true_b"), "pred_b", "low", "high")
+
+
+def _aligned(spark, d):
+    return align.align_forecasts(_side_a(spark, d), _side_b(spark, d)).withColumn("y_true", F.col("y_true_b"))
+
+
+def _tail_aligned(spark, d):
+    return align.align_forecasts(_side_a(spark, d), _side_b(spark, d, 30)).withColumn("y_true", F.col("y_true_b"))
+
+
+def q_align_inner(spark, d):
+    return rounded(_aligned(spark, d))
+
+
+def q_align_tail_fallback(spark, d):
+    return rounded(_tail_aligned(spark, d))
+
+
+def q_truth_gap(spark, d):
+    return rounded(align.truth_gap(_tail_aligned(spark, d), by=["series_id"]))
+
+
+def q_tune_blend(spark, d):
+    return rounded(align.tune_blend(_aligned(spark, d), points=101))
+
+
+def q_tune_blend_by_series(spark, d):
+    return rounded(align.tune_blend(_aligned(spark, d), points=101, by=["series_id"]))
+
+
+def _blended(spark, d):
+    return align.blend(_aligned(spark, d), 0.37)
+
+
+def q_blend(spark, d):
+    return rounded(_blended(spark, d).select("series_id", "ts", "y_true", "pred_a", "pred_b", "hybrid_pred"))
+
+
+PREDS = {"naive": "pred_a", "seasonal": "pred_b", "hybrid": "hybrid_pred"}
+
+
+def q_metrics_mse_rmse_mae(spark, d):
+    return rounded(metrics.forecast_metrics(_blended(spark, d), PREDS, metrics=["mse", "rmse", "mae"]))
+
+
+def q_metrics_mape(spark, d):
+    return rounded(metrics.forecast_metrics(_blended(spark, d), PREDS, metrics=["mape"]))
+
+
+def q_metrics_r2(spark, d):
+    return rounded(metrics.forecast_metrics(_blended(spark, d), PREDS, metrics=["r2"]))
+
+
+def q_forecast_metrics(spark, d):
+    return rounded(metrics.forecast_metrics(_blended(spark, d), PREDS, by=["series_id"]))
+
+
+def q_compare_models(spark, d):
+    return rounded(metrics.compare_models(metrics.forecast_metrics(_blended(spark, d), PREDS)))
+
+
+NVS_SQL = (
+    "SELECT series_id, ts, y, lag(y, 1) OVER w AS pred_a, lag(y, 24) OVER w AS pred_b, "
+    "least(lag(y, 24) OVER w, lag(y, 48) OVER w) AS low, greatest(lag(y, 24) OVER w, lag(y, 48) OVER w) AS high, "
+    "row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM events_hourly_by_type "
+    "WINDOW w AS (PARTITION BY series_id ORDER BY ts)"
+)
+
+
+def _k(t: float) -> str:
+    return f"least(greatest({SPLIT_EXPR.format(n='n', t=repr(t))}, 1), n - 1)"
+
+
+EVAL_CTES = [
+    ("nvs", NVS_SQL),
+    ("a", f"SELECT series_id, ts, y AS y_true_a, pred_a FROM nvs WHERE pos >= {_k(0.2)} AND pred_a IS NOT NULL"),
+    ("b", f"SELECT series_id, ts, y AS y_true_b, pred_b, low, high FROM nvs WHERE pos >= {_k(0.3)} AND pred_b IS NOT NULL AND low IS NOT NULL"),
+    ("al", "SELECT a.series_id, a.ts, y_true_a, pred_a, y_true_b, pred_b, low, high, y_true_b AS y_true FROM a JOIN b USING (series_id, ts)"),
+    ("bl", "SELECT *, CAST(0.37 AS DOUBLE) * pred_a + (CAST(1.0 AS DOUBLE) - CAST(0.37 AS DOUBLE)) * pred_b AS hybrid_pred FROM al"),
+]
+TAIL_CTES = EVAL_CTES[:3] + [
+    ("bs", "SELECT series_id, ts + INTERVAL 30 MINUTE AS ts, y_true_b, pred_b, low, high FROM b"),
+    ("ar", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rk FROM a"),
+    ("br", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rk FROM bs"),
+    ("tl", "SELECT ar.series_id, ar.ts, y_true_a, pred_a, y_true_b, pred_b, low, high, y_true_b AS y_true FROM ar JOIN br USING (series_id, rk)"),
+]
+ALIGN_COLS = "series_id, ts, round(y_true_a, 6) AS y_true_a, round(pred_a, 6) AS pred_a, round(y_true_b, 6) AS y_true_b, round(pred_b, 6) AS pred_b, round(low, 6) AS low, round(high, 6) AS high, round(y_true, 6) AS y_true"
+EPS = "CAST(2.220446049250313e-16 AS DOUBLE)"
+
+
+def _metric_sql(pred: str, metric: str) -> str:
+    ys = f"CASE WHEN abs(y_true) <= 1e-8 THEN {EPS} ELSE y_true END"
+    return {
+        "mse": f"avg(power(y_true - {pred}, 2))",
+        "rmse": f"sqrt(avg(power(y_true - {pred}, 2)))",
+        "mae": f"avg(abs(y_true - {pred}))",
+        "mape": f"avg(abs({ys} - {pred}) / greatest(abs({ys}), {EPS})) * 100",
+        "r2": (
+            f"CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y_true) * count(*) = 0 THEN (CASE WHEN sum(power(y_true - {pred}, 2)) = 0 THEN 1.0 ELSE 0.0 END) "
+            f"ELSE 1 - sum(power(y_true - {pred}, 2)) / (var_pop(y_true) * count(*)) END"
+        ),
+    }[metric]
+
+
+def _metrics_sql(ms, by: str = "") -> str:
+    parts = []
+    for model, col in PREDS.items():
+        for m in ms:
+            sel = f"{by + ', ' if by else ''}'{model}' AS model, '{m}' AS metric, round(CAST({_metric_sql(col, m)} AS DOUBLE), 6) AS value"
+            parts.append(f"SELECT {sel} FROM bl" + (f" GROUP BY {by}" if by else ""))
+    return with_fixtures(" UNION ALL ".join(parts), "events_hourly_by_type", extra=EVAL_CTES)
+
+
+def _tune_sql(by: str = "") -> str:
+    grid = "(SELECT CASE WHEN i = 100 THEN CAST(1.0 AS DOUBLE) ELSE i * (CAST(1.0 AS DOUBLE) / 100) END AS w FROM range(0, 101) t(i))"
+    key = f"{by}, " if by else ""
+    body = (
+        f"SELECT {key}round(w, 6) AS weight, round(rmse, 6) AS rmse FROM ("
+        f"SELECT {key}g.w, sqrt(avg(power(y_true - (g.w * pred_a + (1 - g.w) * pred_b), 2))) AS rmse FROM al, {grid} g GROUP BY {key}g.w) "
+        f"QUALIFY row_number() OVER ({'PARTITION BY ' + by if by else ''} ORDER BY rmse, w) = 1"
+    )
+    return with_fixtures(body, "events_hourly_by_type", extra=EVAL_CTES)
+
+
+def _compare_sql() -> str:
+    parts = []
+    for model, col in PREDS.items():
+        cols = ", ".join(f"round(CAST({_metric_sql(col, m)} AS DOUBLE), 6) AS {m}" for m in metrics.PREFERRED)
+        parts.append(f"SELECT '{model}' AS model, {cols} FROM bl")
+    return with_fixtures(" UNION ALL ".join(parts), "events_hourly_by_type", extra=EVAL_CTES)
+
+
+SQL_EVAL = {
+    "align_inner": with_fixtures(f"SELECT {ALIGN_COLS} FROM al", "events_hourly_by_type", extra=EVAL_CTES[:4]),
+    "align_tail_fallback": with_fixtures(f"SELECT {ALIGN_COLS} FROM tl", "events_hourly_by_type", extra=TAIL_CTES),
+    "truth_gap": with_fixtures(
+        "SELECT series_id, round(avg(abs(y_true_a - y_true_b)), 6) AS truth_gap, count(*) AS n FROM tl GROUP BY series_id",
+        "events_hourly_by_type",
+        extra=TAIL_CTES,
+    ),
+    "tune_blend": _tune_sql(),
+    "tune_blend_by_series": _tune_sql("series_id"),
+    "blend": with_fixtures(
+        "SELECT series_id, ts, round(y_true, 6) AS y_true, round(pred_a, 6) AS pred_a, round(pred_b, 6) AS pred_b, round(hybrid_pred, 6) AS hybrid_pred FROM bl",
+        "events_hourly_by_type",
+        extra=EVAL_CTES,
+    ),
+    "metrics_mse_rmse_mae": _metrics_sql(["mse", "rmse", "mae"]),
+    "metrics_mape": _metrics_sql(["mape"]),
+    "metrics_r2": _metrics_sql(["r2"]),
+    "forecast_metrics": _metrics_sql(list(metrics.PREFERRED), by="series_id"),
+    "compare_models": _compare_sql(),
+}
+
+QUERIES.update(
+    {
+        "context_windows": q_context_windows,
+        "context_windows_stride": q_context_windows_stride,
+        "window_dataset": q_window_dataset,
+        "context_windows_dense": q_context_windows_dense,
+        "explode_horizon": q_explode_horizon,
+        "first_step": q_first_step,
+        "sample_paths_analog": q_sample_paths_analog,
+        "prediction_bands": q_prediction_bands,
+        "sample_paths_bootstrap": q_sample_paths_bootstrap,
+        "sample_paths_plugin": q_sample_paths_plugin,
+        "align_inner": q_align_inner,
+        "align_tail_fallback": q_align_tail_fallback,
+        "truth_gap": q_truth_gap,
+        "tune_blend": q_tune_blend,
+        "tune_blend_by_series": q_tune_blend_by_series,
+        "blend": q_blend,
+        "metrics_mse_rmse_mae": q_metrics_mse_rmse_mae,
+        "metrics_mape": q_metrics_mape,
+        "metrics_r2": q_metrics_r2,
+        "forecast_metrics": q_forecast_metrics,
+        "compare_models": q_compare_models,
+    }
+)
+ORACLE_SQL.update(SQL_WINDOWS)
+ORACLE_SQL.update(SQL_EVAL)
+
+
+# ----------------------------------------------------------------------------- splits and scaling
+from tsengine.operators import tabular  # noqa: E402
+
+SCALE_COLS = ["y", "x_qty", "x_disc", "y_lag_1", "y_lag_7", "day_of_week", "month"]
+
+
+def _li_split(spark, d, validation=None):
+    return split.split_chrono(fx.lineitem_daily(spark, d), 0.2, validation)
+
+
+def q_split_train_test(spark, d):
+    return _li_split(spark, d).select("series_id", "ts", "split")
+
+
+def q_split_fit_val_test(spark, d):
+    return _li_split(spark, d, 0.2).select("series_id", "ts", "split")
+
+
+def _li_feat(spark, d):
+    base = features.add_lags(features.add_calendar(fx.lineitem_daily(spark, d)), [1, 7])
+    return split.split_chrono(clean.drop_incomplete(base), 0.2)
+
+
+def q_scaler_standard_params(spark, d):
+    return rounded(scale.fit_scaler(_li_feat(spark, d), SCALE_COLS, "standard"), 4)
+
+
+def q_scaler_standard_apply(spark, d):
+    f = _li_feat(spark, d)
+    out = scale.apply_scaler(f, scale.fit_scaler(f, SCALE_COLS, "standard"), SCALE_COLS)
+    return rounded(out.select("series_id", "ts", "split", *SCALE_COLS))
+
+
+def q_scaler_minmax_apply(spark, d):
+    f = _li_feat(spark, d)
+    out = scale.apply_scaler(f, scale.fit_scaler(f, SCALE_COLS, "minmax"), SCALE_COLS)
+    return rounded(out.select("series_id", "ts", "split", *SCALE_COLS))
+
+
+def q_scaler_inverse(spark, d):
+    f = _li_feat(spark, d)
+    params = scale.fit_scaler(f, SCALE_COLS, "standard")
+    back = scale.invert_scaler(scale.apply_scaler(f, params, SCALE_COLS), params, SCALE_COLS)
+    return rounded(back.select("series_id", "ts", *[F.col(c).cast("double").alias(c) for c in SCALE_COLS]))
+
+
+TAB_CFG = ForecastConfig(max_lag=14, seasonal_anchors=(1, 7, 28), rolling_candidates=(3, 7, 14), max_iter=12, patience=3, max_depth=4)
+
+
+def _tab(spark, d):
+    ds, params, cols = tabular.tabular_dataset(fx.lineitem_daily(spark, d), TAB_CFG)
+    return ds, params, cols
+
+
+def q_gbt_predict(spark, d):
+    ds, params, cols = _tab(spark, d)
+    model = tabular.GbtForecaster(TAB_CFG).fit(ds, cols)
+    test = ds.filter("split = 'test'")
+    return model.predict(test, params, keep=["y_raw"]).withColumnRenamed("y_raw", "y_true")
+
+
+def q_gbt_importance(spark, d):
+    ds, params, cols = _tab(spark, d)
+    return tabular.feature_importance(tabular.GbtForecaster(TAB_CFG).fit(ds, cols))
+
+
+LI_SPLIT = [
+    (
+        "ls",
+        "SELECT series_id, ts, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM lineitem_daily",
+    ),
+    ("lk", f"SELECT *, {_k(0.2)} AS k FROM ls"),
+]
+LI_FEAT = [
+    (
+        "lf0",
+        f"SELECT series_id, ts, y, x_qty, x_disc, {CAL_SQL}, lag(y, 1) OVER w AS y_lag_1, lag(y, 7) OVER w AS y_lag_7 "
+        "FROM lineitem_daily WINDOW w AS (PARTITION BY series_id ORDER BY ts)",
+    ),
+    (
+        "lf1",
+        "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n "
+        "FROM lf0 WHERE y_lag_1 IS NOT NULL AND y_lag_7 IS NOT NULL",
+    ),
+    ("lf", f"SELECT *, CASE WHEN pos < {_k(0.2)} THEN 'train' ELSE 'test' END AS split FROM lf1"),
+]
+
+
+def _params_cte(kind: str) -> tuple[str, str]:
+    parts = []
+    for c in SCALE_COLS:
+        x = f"CAST({c} AS DOUBLE)"
+        if kind == "standard":
+            center, sc = f"avg({x})", f"stddev_pop({x})"
+        else:
+            center, sc = f"min({x})", f"max({x}) - min({x})"
+        parts.append(
+            f"SELECT series_id, '{c}' AS \"column\", {center} AS center, CASE WHEN {sc} < 10 * {EPS} THEN CAST(1.0 AS DOUBLE) ELSE {sc} END AS scale "
+            f"FROM lf WHERE split = 'train' GROUP BY series_id"
+        )
+    return ("params", " UNION ALL ".join(parts))
+
+
+def _apply_sql(kind: str) -> str:
+    cols = ", ".join(
+        f"round((CAST(lf.{c} AS DOUBLE) - (SELECT center FROM params p WHERE p.series_id = lf.series_id AND p.\"column\" = '{c}')) / "
+        f"(SELECT scale FROM params p WHERE p.series_id = lf.series_id AND p.\"column\" = '{c}'), 6) AS {c}"
+        for c in SCALE_COLS
+    )
+    return with_fixtures(f"SELECT series_id, ts, split, {cols} FROM lf", "lineitem_daily", extra=LI_FEAT + [_params_cte(kind)])
+
+
+SQL_SCALE = {
+    "split_train_test": with_fixtures("SELECT series_id, ts, CASE WHEN pos < k THEN 'train' ELSE 'test' END AS split FROM lk", "lineitem_daily", extra=LI_SPLIT),
+    "split_fit_val_test": with_fixtures(
+        "SELECT series_id, ts, CASE WHEN pos >= k THEN 'test' WHEN pos < least(greatest("
+        + SPLIT_EXPR.format(n="k", t="0.2")
+        + ", 1), k - 1) THEN 'fit' ELSE 'val' END AS split FROM lk",
+        "lineitem_daily",
+        extra=LI_SPLIT,
+    ),
+    "scaler_standard_params": with_fixtures(
+        "SELECT series_id, \"column\", round(center, 4) AS center, round(scale, 4) AS scale FROM params", "lineitem_daily", extra=LI_FEAT + [_params_cte("standard")]
+    ),
+    "scaler_standard_apply": _apply_sql("standard"),
+    "scaler_minmax_apply": _apply_sql("minmax"),
+    "scaler_inverse": with_fixtures(
+        "SELECT series_id, ts, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in SCALE_COLS) + " FROM lf", "lineitem_daily", extra=LI_FEAT
+    ),
+}
+
+QUERIES.update(
+    {
+        "split_train_test": q_split_train_test,
+        "split_fit_val_test": q_split_fit_val_test,
+        "scaler_standard_params": q_scaler_standard_params,
+        "scaler_standard_apply": q_scaler_standard_apply,
+        "scaler_minmax_apply": q_scaler_minmax_apply,
+        "scaler_inverse": q_scaler_inverse,
+        "gbt_predict": q_gbt_predict,
+        "gbt_importance": q_gbt_importance,
+    }
+)
+ORACLE_SQL.update(SQL_SCALE)

@@ -125,3 +125,17 @@ def features_by_layout(df: DataFrame, cfg: ForecastConfig) -> DataFrame:
     w = Window.partitionBy(s, BLOCK).orderBy(t)
     out = blocked.select("*", *feature_exprs(cfg, w)).filter(~F.col(HALO))
     return out.drop(POS, BLOCK, HALO)
+
+
+def positions_and_counts(df: DataFrame, cfg: ForecastConfig, pos: str = POS, n: str = "__n") -> DataFrame:
+    """Add 0-based position and series length using the layout the data calls for."""
+    s, t = cfg.series_col, cfg.time_col
+    if choose_layout(df, cfg) == "series":
+        w = Window.partitionBy(s).orderBy(t)
+        return df.withColumn(pos, (F.row_number().over(w) - 1).cast("bigint")).withColumn(
+            n, F.count(F.lit(1)).over(Window.partitionBy(s)).cast("bigint")
+        )
+    positioned = range_positions(df, s, t, out=pos)
+    lengths = positioned.groupBy(s).agg((F.max(pos) + 1).cast("bigint").alias(n))
+    # one row per series: AQE broadcasts it when small, else splits skewed join partitions
+    return positioned.join(lengths, s, "left")
