@@ -765,3 +765,137 @@ QUERIES.update(
     }
 )
 ORACLE_SQL.update(SQL_SCALE)
+
+
+# ----------------------------------------------------------------------------- charts, sinks, pipeline
+from tsengine.operators import charts  # noqa: E402
+from tsengine.plans import flagship as flagship_plan  # noqa: E402
+from tsengine.plans.pipeline import run_pipeline  # noqa: E402
+from tsengine.session import scratch_path  # noqa: E402
+from tsengine.sources import files, sinks  # noqa: E402
+from tsengine.streaming import land_stream  # noqa: E402
+
+DIRTY_SCHEMA = "event_id BIGINT, ts_raw STRING, value_raw STRING, series_id STRING"
+
+
+def q_plot_frame(spark, d):
+    return rounded(charts.plot_frame(_blended(spark, d), ["y_true", "pred_a", "hybrid_pred"], max_points=40))
+
+
+def q_plot_frame_bands(spark, d):
+    return rounded(charts.plot_frame(_blended(spark, d), ["y_true", "pred_b"], max_points=40, bands=True))
+
+
+def q_land_roundtrip(spark, d):
+    src = scratch_path(spark, "raw-csv")
+    fx.events_dirty(spark, d).write.option("header", True).csv(src)
+    dst = files.land_csv(spark, src, scratch_path(spark, "landed"), schema=DIRTY_SCHEMA)
+    files.land_csv(spark, src, dst, schema=DIRTY_SCHEMA)  # second run is a no-op
+    return files.read_series(spark, dst)
+
+
+def q_land_stream_roundtrip(spark, d):
+    src = scratch_path(spark, "raw-csv")
+    fx.events_dirty(spark, d).write.option("header", True).csv(src)
+    dst = land_stream(spark, src, scratch_path(spark, "landed-stream"), DIRTY_SCHEMA)
+    return spark.read.parquet(dst)
+
+
+def q_write_metrics(spark, d):
+    path = sinks.write_metrics(metrics.forecast_metrics(_blended(spark, d), PREDS), scratch_path(spark, "metrics"))
+    back = spark.read.schema("metric STRING, value DOUBLE, model STRING").json(path)
+    return rounded(back.select("model", "metric", "value"))
+
+
+def q_write_comparison(spark, d):
+    path = sinks.write_comparison(metrics.compare_models(metrics.forecast_metrics(_blended(spark, d), PREDS)), scratch_path(spark, "comparison"))
+    back = spark.read.option("header", True).schema("model STRING, mse DOUBLE, rmse DOUBLE, mae DOUBLE, mape DOUBLE, r2 DOUBLE").csv(path)
+    return rounded(back)
+
+
+def q_flagship(spark, d):
+    return rounded(flagship_plan.flagship(spark, d))
+
+
+PIPE_CFG = ForecastConfig(
+    max_lag=14, seasonal_anchors=(1, 7, 28), rolling_candidates=(3, 7, 14), max_iter=12, patience=3, max_depth=4,
+    context_length=364, prediction_length=28, season_length=28,
+)
+
+
+def q_run_pipeline(spark, d):
+    out = run_pipeline(fx.lineitem_daily(spark, d), PIPE_CFG)
+    return out["comparison"]
+
+
+def q_tabular_dataset(spark, d):
+    ds, _, _ = _tab(spark, d)
+    return rounded(ds)
+
+
+def _plot_sql(lines, bands: bool) -> str:
+    names = list(lines) + (["low", "high"] if bands else [])
+    stacked = " UNION ALL ".join(f"SELECT series_id, ts, '{n}' AS line, CAST({n} AS DOUBLE) AS v FROM bl" for n in names)
+    extra = EVAL_CTES + [
+        ("bd", "SELECT series_id, min(ts) AS t0, max(ts) AS t1 FROM bl GROUP BY series_id"),
+        ("st", stacked),
+        (
+            "bk",
+            "SELECT st.*, CAST(floor(CAST(epoch_us(st.ts) - epoch_us(bd.t0) AS DOUBLE) * 40.0 / (CAST(epoch_us(bd.t1) - epoch_us(bd.t0) AS DOUBLE) + 1.0)) AS BIGINT) AS bucket "
+            "FROM st JOIN bd USING (series_id)",
+        ),
+    ]
+    body = "SELECT series_id, bucket, line, min(ts) AS ts, round(avg(v), 6) AS value, round(min(v), 6) AS v_min, round(max(v), 6) AS v_max FROM bk GROUP BY series_id, bucket, line"
+    return with_fixtures(body, "events_hourly_by_type", extra=extra)
+
+
+def _metric_rows_sql(table: str, preds: dict) -> str:
+    parts = []
+    for model, col in preds.items():
+        cols = ", ".join(f"round(CAST({_metric_sql(col, m)} AS DOUBLE), 6) AS {m}" for m in metrics.PREFERRED)
+        parts.append(f"SELECT '{model}' AS model, {cols} FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+FLAGSHIP_CTES = [
+    ("hh", "SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts, sum(value) AS y FROM events GROUP BY 2"),
+    (
+        "ff",
+        "SELECT series_id, ts, y, lag(y, 1) OVER w AS pred_a, lag(y, 24) OVER w AS pred_b, row_number() OVER w - 1 AS pos, "
+        "count(*) OVER (PARTITION BY series_id) AS n FROM hh WINDOW w AS (PARTITION BY series_id ORDER BY ts)",
+    ),
+    ("sc", f"SELECT series_id, ts, y AS y_true, pred_a, pred_b FROM ff WHERE pos >= {_k(0.2)} AND pred_a IS NOT NULL AND pred_b IS NOT NULL"),
+    ("gg", "SELECT CASE WHEN i = 100 THEN CAST(1.0 AS DOUBLE) ELSE i * (CAST(1.0 AS DOUBLE) / 100) END AS w FROM range(0, 101) t(i)"),
+    (
+        "best",
+        "SELECT w FROM (SELECT gg.w, sqrt(avg(power(y_true - (gg.w * pred_a + (1 - gg.w) * pred_b), 2))) AS rmse FROM sc, gg GROUP BY gg.w) "
+        "ORDER BY rmse, w LIMIT 1",
+    ),
+    ("fb", "SELECT sc.*, best.w * pred_a + (CAST(1.0 AS DOUBLE) - best.w) * pred_b AS hybrid_pred FROM sc, best"),
+]
+
+SQL_MISC = {
+    "plot_frame": _plot_sql(["y_true", "pred_a", "hybrid_pred"], False),
+    "plot_frame_bands": _plot_sql(["y_true", "pred_b"], True),
+    "land_roundtrip": with_fixtures("SELECT * FROM events_dirty", "events_dirty"),
+    "land_stream_roundtrip": with_fixtures("SELECT * FROM events_dirty", "events_dirty"),
+    "write_metrics": _metrics_sql(list(metrics.PREFERRED)),
+    "write_comparison": _compare_sql(),
+    "flagship": "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in FLAGSHIP_CTES) + "\n"
+    + _metric_rows_sql("fb", {"naive": "pred_a", "seasonal_naive": "pred_b", "hybrid": "hybrid_pred"}),
+}
+
+QUERIES.update(
+    {
+        "plot_frame": q_plot_frame,
+        "plot_frame_bands": q_plot_frame_bands,
+        "land_roundtrip": q_land_roundtrip,
+        "land_stream_roundtrip": q_land_stream_roundtrip,
+        "write_metrics": q_write_metrics,
+        "write_comparison": q_write_comparison,
+        "flagship": q_flagship,
+        "tabular_dataset": q_tabular_dataset,
+        "run_pipeline": q_run_pipeline,
+    }
+)
+ORACLE_SQL.update(SQL_MISC)
