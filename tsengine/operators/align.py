@@ -84,7 +84,8 @@ def tune_blend(
     grid = F.array(*[F.lit(w) for w in weight_grid(points)])
     rows = agg.select(*by, "__ee", "__ed", "__dd", F.explode(grid).alias("weight"))
     mse = F.col("__ee") - F.lit(2.0) * F.col("weight") * F.col("__ed") + F.col("weight") * F.col("weight") * F.col("__dd")
-    rows = rows.withColumn("rmse", F.sqrt(F.greatest(mse, F.lit(0.0))))
+    # greatest() skips NULLs, so keep "no rows" (NULL statistics) NULL explicitly
+    rows = rows.withColumn("rmse", F.when(F.col("__ee").isNotNull(), F.sqrt(F.greatest(mse, F.lit(0.0)))))
     best = F.min(F.struct(F.col("rmse"), F.col("weight"))).alias("__best")
     picked = rows.filter(F.col("rmse").isNotNull()).groupBy(*by).agg(best) if by else rows.filter(F.col("rmse").isNotNull()).agg(best)
     out = picked.select(*by, F.coalesce(F.col("__best.weight"), F.lit(0.5)).alias("weight"), F.col("__best.rmse").alias("rmse"))
