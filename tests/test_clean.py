@@ -67,3 +67,25 @@ def test_fill_edges_ffill_then_bfill(spark):
     assert got == [2.0, 2.0, 2.0, 4.0, 4.0]
     causal = [r.y for r in clean.fill_edges(frame(spark, rows), ["y"], mode="ffill").orderBy("ts").collect()]
     assert causal == [None, 2.0, 2.0, 4.0, 4.0]
+
+
+def test_clean_blocks_layout_equals_series_layout(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for sid, n in (("a", 300), ("b", 40), ("c", 3)):
+        for i in range(n):
+            v = None if rng.random() < 0.3 else str(rng.uniform(0, 50))
+            rows.append((sid, f"2024-01-{1 + i // 24:02d} {i % 24:02d}:{rng.randint(0, 59):02d}:00", v, i))
+    rows.append(("c", "2024-01-01 00:00:00", None, 999))
+    df = spark.createDataFrame(rows, "series_id STRING, t STRING, y STRING, eid INT")
+    for fill in ("both", "causal"):
+        kw = dict(value_cols=["y"], time_raw="t", tie_break=["eid"], fill=fill)
+        a = clean.clean_series(df, ForecastConfig(layout="series"), **kw).orderBy("series_id", "ts").toPandas()
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        try:
+            b = clean.clean_series(df, ForecastConfig(layout="blocks"), **kw).orderBy("series_id", "ts").toPandas()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)

@@ -180,6 +180,9 @@ def clean_series(
     if value_cols is None:
         value_cols = [c for c in df.columns if c not in (s, time_raw, *(tie_break or []))]
     require_columns(df, value_cols)
+    from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, resolve_layout
+
+    layout = resolve_layout(df, cfg).layout  # decided on the raw rows (an upper bound of the clean size)
     out = parse_ts(df, time_raw, fmt, out=t)
     # the reference keeps the last of duplicated stamps; without an explicit order the largest
     # row wins, which is at least deterministic
@@ -192,6 +195,8 @@ def clean_series(
             raise ValueError(f"Columns could not be parsed at all: {dead}")
         value_cols = [c for c in value_cols if c not in dead]
         out = out.select(s, t, *value_cols)
+    if layout == "blocks":
+        return _clean_blocks(out, value_cols, s, t, fill, BLOCK, edge_carry, partition_blocks)
     if fill == "causal":
         out = fill_edges(out, value_cols, by=s, time_col=t, mode="ffill")
     else:
@@ -200,6 +205,24 @@ def clean_series(
     return drop_incomplete(out, value_cols)
 
 
+def _clean_blocks(out, value_cols, s, t, fill, BLOCK, edge_carry, partition_blocks):
+    """Gap filling for series too large for one task: contiguous range blocks, with the nearest
+    known neighbours outside each block carried in from a small per-block table."""
+    blocked = partition_blocks(out, s, t)
+    carry_tbl = edge_carry(blocked, list(value_cols), s, t)
+    joined = blocked.join(carry_tbl, [s, BLOCK], "left")
+    if fill == "causal":
+        fwd = _running([s, BLOCK], t)
+        filled = joined.select(
+            s, t, *[F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(fwd), F.col(f"__prev_{c}.v")).alias(c) for c in value_cols]
+        )
+    else:
+        carry = {c: ((f"__prev_{c}.t", f"__prev_{c}.v"), (f"__next_{c}.t", f"__next_{c}.v")) for c in value_cols}
+        filled = interpolate_time(joined, value_cols, by=[s, BLOCK], time_col=t, carry=carry).select(s, t, *value_cols)
+    # after two-sided interpolation only all-null columns stay null: ffill/bfill has nothing left
+    return drop_incomplete(filled, value_cols)
+
+
 def value_columns(df: DataFrame, cfg: ForecastConfig) -> list[str]:
     return [c for c in df.columns if c not in (cfg.series_col, cfg.time_col)]
 

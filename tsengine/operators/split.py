@@ -26,16 +26,25 @@ def split_chrono(
     by="series_id",
     time_col: str = "ts",
     out: str = "split",
+    cfg=None,
 ) -> DataFrame:
     """Add ``split``: first ``k`` rows of each series are train, the rest test.
 
     With ``validation_ratio`` the train rows are split again by the same rule into ``fit`` and
-    ``val``. Position and series length come from one window spec (one Exchange + Sort).
+    ``val``. Position and series length come from one window spec (one Exchange + Sort); with a
+    ``cfg`` whose layout is not "series", a series too large for one task gets range-partitioned
+    positions instead (see :mod:`tsengine.plans.layout`).
     """
     by = _keys(by)
-    w = Window.partitionBy(*by).orderBy(F.col(time_col))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    staged = df.withColumn("__pos", F.row_number().over(w) - 1).withColumn("__n", n)
+    if cfg is not None and len(by) == 1 and cfg.layout != "series":
+        # layout-aware positions: range-partitioned for series too large for one task
+        from tsengine.plans.layout import positions_and_counts
+
+        staged = positions_and_counts(df, cfg.with_(series_col=by[0], time_col=time_col), pos="__pos", n="__n")
+    else:
+        w = Window.partitionBy(*by).orderBy(F.col(time_col))
+        n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+        staged = df.withColumn("__pos", F.row_number().over(w) - 1).withColumn("__n", n)
     k = split_index(F.col("__n"), test_size)
     staged = staged.withColumn("__k", k)
     if validation_ratio is None:

@@ -29,8 +29,14 @@ def tabular_dataset(df: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> tu
     Returns ``(scaled, params, feature_cols)``; ``scaled`` keeps the unscaled target as
     ``y_raw`` so evaluation never round-trips the truth through the scaler.
     """
+    from tsengine.plans.layout import resolve_layout
+
+    cfg = resolve_layout(df, cfg)
     feats = build_features(df, cfg)
-    flagged = split_chrono(feats, cfg.test_size, cfg.validation_ratio, by=cfg.series_col, time_col=cfg.time_col)
+    flagged = split_chrono(feats, cfg.test_size, cfg.validation_ratio, by=cfg.series_col, time_col=cfg.time_col, cfg=cfg)
+    # the scaler fit and the transform both read the features: materialise them once in the
+    # shared checkpoint folder (also cuts the window lineage for executor-loss recovery)
+    flagged = flagged.checkpoint(eager=True)
     cols = feature_columns(flagged, cfg)
     params = fit_scaler(flagged, cols + [cfg.target], cfg.scaler, by=cfg.series_col, where="split != 'test'")
     scaled = apply_scaler(flagged.withColumn("y_raw", F.col(cfg.target)), params, cols + [cfg.target], by=cfg.series_col)

@@ -58,13 +58,13 @@ def context_windows(
             raise ValueError(f"Series too short for windows (need C+H train and H test rows): {[r[0] for r in short]}")
     base = base.filter(usable)
 
-    train = base.filter(F.col("pos") < F.col("cut")).select(
-        "*", F.lit("train").alias("split"), F.lit(C).cast("bigint").alias("anchor"), F.col("cut").alias("limit")
+    # one pass: a row belongs to the train phase (before the split) and/or to the test phase
+    # (the split and the C rows of history before it); both phases come from one Generate
+    phases = F.array(
+        F.struct(F.lit("train").alias("split"), F.lit(C).cast("bigint").alias("anchor"), F.col("cut").alias("limit"), (F.col("pos") < F.col("cut")).alias("in")),
+        F.struct(F.lit("test").alias("split"), F.col("cut").alias("anchor"), F.col("n").alias("limit"), (F.col("pos") >= F.col("cut") - C).alias("in")),
     )
-    test = base.filter(F.col("pos") >= F.col("cut") - C).select(
-        "*", F.col("cut").alias("anchor"), F.col("n").alias("limit")
-    ).withColumn("split", F.lit("test"))
-    rows = train.unionByName(test)
+    rows = base.select(s_col, t_col, y_col, "pos", F.inline(F.filter(phases, lambda p: p["in"]))).drop("in")
 
     m_ctx, m_h = math.ceil(C / S), math.ceil(H / S)
     # block index shifted so the earliest context block of the train phase is 0

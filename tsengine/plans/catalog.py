@@ -899,3 +899,43 @@ QUERIES.update(
     }
 )
 ORACLE_SQL.update(SQL_MISC)
+
+
+# ----------------------------------------------------------------------------- block-layout variants
+BLOCKS = ForecastConfig(layout="blocks")
+
+
+def q_clean_series_blocks(spark, d):
+    raw = fx.events_dirty(spark, d)
+    out = clean.clean_series(raw, BLOCKS, value_cols=["value_raw"], time_raw="ts_raw", tie_break=["event_id"])
+    return rounded(out.withColumnRenamed("value_raw", "y"))
+
+
+def q_context_windows_blocks(spark, d):
+    return summarize_windows(windows.context_windows(fx.events_30min(spark, d), BLOCKS))
+
+
+def q_position_blocks(spark, d):
+    return features.with_position(fx.user_events(spark, d), layout="blocks").drop("y")
+
+
+def q_split_train_test_blocks(spark, d):
+    return split.split_chrono(fx.lineitem_daily(spark, d), 0.2, cfg=BLOCKS).select("series_id", "ts", "split")
+
+
+QUERIES.update(
+    {
+        "clean_series_blocks": q_clean_series_blocks,
+        "context_windows_blocks": q_context_windows_blocks,
+        "position_blocks": q_position_blocks,
+        "split_train_test_blocks": q_split_train_test_blocks,
+    }
+)
+ORACLE_SQL.update(
+    {
+        "clean_series_blocks": ORACLE_SQL["clean_series"],
+        "context_windows_blocks": ORACLE_SQL["context_windows"],
+        "position_blocks": ORACLE_SQL["position"],
+        "split_train_test_blocks": ORACLE_SQL["split_train_test"],
+    }
+)

@@ -139,3 +139,38 @@ def positions_and_counts(df: DataFrame, cfg: ForecastConfig, pos: str = POS, n:
     lengths = positioned.groupBy(s).agg((F.max(pos) + 1).cast("bigint").alias(n))
     # one row per series: AQE broadcasts it when small, else splits skewed join partitions
     return positioned.join(lengths, s, "left")
+
+
+def resolve_layout(df: DataFrame, cfg: ForecastConfig) -> ForecastConfig:
+    """Decide "auto" once (on the cheapest frame available) and pin it for the downstream operators."""
+    return cfg if cfg.layout in ("series", "blocks") else cfg.with_(layout=choose_layout(df, cfg))
+
+
+def partition_blocks(df: DataFrame, series_col: str, time_col: str, num_partitions: int | None = None) -> DataFrame:
+    """Range-partition by (series, ts) into balanced contiguous blocks, materialise them in the
+    checkpoint folder and tag each row with its block (= partition) id in ``__blk``."""
+    n_parts = num_partitions or _num_partitions(df)
+    ranged = df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col)).checkpoint(eager=True)
+    return ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
+
+
+def edge_carry(blocked: DataFrame, cols: list[str], series_col: str, time_col: str) -> DataFrame:
+    """For every (series, block): the last known ``(t, v)`` before the block and the first known
+    ``(t, v)`` after it, per column. Built from one small per-block aggregate (map-side
+    combined) and windows over block rows only (a series has at most #partitions blocks)."""
+    t = F.col(time_col)
+    aggs = []
+    for c in cols:
+        known_t = F.when(F.col(c).isNotNull(), t)
+        point = F.struct(t.alias("t"), F.col(c).alias("v"))
+        aggs += [F.max_by(point, known_t).alias(f"__lk_{c}"), F.min_by(point, known_t).alias(f"__fk_{c}")]
+    per_block = blocked.groupBy(series_col, BLOCK).agg(*aggs)
+    before = Window.partitionBy(series_col).orderBy(F.col(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(series_col).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    out = [series_col, BLOCK]
+    for c in cols:
+        out += [
+            F.last(f"__lk_{c}", ignorenulls=True).over(before).alias(f"__prev_{c}"),
+            F.last(f"__fk_{c}", ignorenulls=True).over(after).alias(f"__next_{c}"),
+        ]
+    return per_block.select(*out)
