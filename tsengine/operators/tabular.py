@@ -15,7 +15,7 @@ from tsengine.config import ForecastConfig
 from tsengine.operators.features import build_features
 from tsengine.operators.scale import apply_scaler, fit_scaler, invert_scaler
 from tsengine.operators.split import split_chrono
-from tsengine.session import scratch_path
+from tsengine.session import materialize, scratch_path
 
 
 def feature_columns(df: DataFrame, cfg: ForecastConfig) -> list[str]:
@@ -36,7 +36,7 @@ def tabular_dataset(df: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> tu
     flagged = split_chrono(feats, cfg.test_size, cfg.validation_ratio, by=cfg.series_col, time_col=cfg.time_col, cfg=cfg)
     # the scaler fit and the transform both read the features: materialise them once in the
     # shared checkpoint folder (also cuts the window lineage for executor-loss recovery)
-    flagged = flagged.checkpoint(eager=True)
+    flagged = materialize(flagged)
     cols = feature_columns(flagged, cfg)
     params = fit_scaler(flagged, cols + [cfg.target], cfg.scaler, by=cfg.series_col, where="split != 'test'")
     scaled = apply_scaler(flagged.withColumn("y_raw", F.col(cfg.target)), params, cols + [cfg.target], by=cfg.series_col)

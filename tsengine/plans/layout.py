@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsengine.config import ForecastConfig
+from tsengine.session import materialize
 
 POS = "__pos"
 BLOCK = "__blk"
@@ -53,7 +54,7 @@ def range_positions(df: DataFrame, series_col: str, time_col: str, out: str = PO
     """0-based position of every row within its series, safe for arbitrarily large series."""
     n_parts = num_partitions or _num_partitions(df)
     ranged = df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col)).sortWithinPartitions(series_col, time_col)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged)
 
     counts = ranged.groupBy(F.spark_partition_id().alias("pid"), F.col(series_col).alias("sid")).count()
     before = Window.partitionBy("sid").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,7 +151,7 @@ def partition_blocks(df: DataFrame, series_col: str, time_col: str, num_partitio
     """Range-partition by (series, ts) into balanced contiguous blocks, materialise them in the
     checkpoint folder and tag each row with its block (= partition) id in ``__blk``."""
     n_parts = num_partitions or _num_partitions(df)
-    ranged = df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col)).checkpoint(eager=True)
+    ranged = materialize(df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col)))
     return ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
 
 

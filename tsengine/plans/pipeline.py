@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.operators import align, clean, metrics, probabilistic, tabular, windows
+from tsengine.session import materialize
 
 
 def run_pipeline(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cleaned: bool = False, tune_on: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -20,10 +21,10 @@ def run_pipeline(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), clea
     """
     s, t, y = cfg.series_col, cfg.time_col, cfg.target
     base = series if cleaned else clean.clean_series(series, cfg, value_cols=[c for c in series.columns if c not in (s, t)])
-    base = base.checkpoint(eager=True)
+    base = materialize(base)
 
     ds, params, cols = tabular.tabular_dataset(base, cfg)
-    ds = ds.checkpoint(eager=True)
+    ds = materialize(ds)
     model = tabular.GbtForecaster(cfg).fit(ds, cols)
     pred_a = model.predict(ds.filter(F.col("split") == "test"), params, keep=["y_raw"]).select(
         s, t, F.col("y_raw").alias("y_true_a"), F.col("prediction").alias("pred_a")

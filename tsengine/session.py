@@ -57,3 +57,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def local_dir_exists(path: str) -> bool:
     return os.path.exists(path)
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: cuts lineage, survives executor
+    loss, and pins partitions so several passes see the same rows in the same partitions."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
