@@ -939,3 +939,31 @@ ORACLE_SQL.update(
         "split_train_test_blocks": ORACLE_SQL["split_train_test"],
     }
 )
+
+
+def _tabular_sql(cfg: ForecastConfig) -> str:
+    steps = features.lag_steps(cfg.max_lag, cfg.seasonal_anchors)
+    widths = features.rolling_windows(cfg.max_lag, cfg.rolling_candidates)
+    cal = ["hour", "day_of_week", "month", "quarter", "day_of_year", "is_weekend"]
+    lag_cols = [f"y_lag_{k}" for k in steps]
+    roll_cols = [f"y_roll_{kind}_{w}" for w in widths for kind in ("mean", "std")]
+    feat_cols = ["x_qty", "x_disc"] + cal + lag_cols + roll_cols
+    all_cols = ["y"] + feat_cols
+    f0 = "SELECT series_id, ts, y, x_qty, x_disc, " + ", ".join([CAL_SQL] + lag_sql("y", steps, rnd=False) + rolling_sql("y", widths, rnd=False)) + " FROM lineitem_daily"
+    f1 = "SELECT * FROM f0 WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in all_cols)
+    f2 = "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM f1"
+    kf = "least(greatest(" + SPLIT_EXPR.format(n="k", t=repr(cfg.validation_ratio)) + ", 1), k - 1)"
+    f3 = f"SELECT *, CASE WHEN pos >= k THEN 'test' WHEN pos < {kf} THEN 'fit' ELSE 'val' END AS split FROM (SELECT *, {_k(cfg.test_size)} AS k FROM f2)"
+    pw = "SELECT series_id, " + ", ".join(
+        f"avg(CAST({c} AS DOUBLE)) AS c__{c}, CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) < 10 * {EPS} THEN CAST(1.0 AS DOUBLE) ELSE stddev_pop(CAST({c} AS DOUBLE)) END AS s__{c}"
+        for c in all_cols
+    ) + " FROM f3 WHERE split <> 'test' GROUP BY series_id"
+    body = (
+        "SELECT f3.series_id, ts, split, round(y, 6) AS y_raw, "
+        + ", ".join(f"round((CAST(f3.{c} AS DOUBLE) - c__{c}) / s__{c}, 6) AS {c}" for c in all_cols)
+        + " FROM f3 JOIN pw USING (series_id)"
+    )
+    return with_fixtures(body, "lineitem_daily", extra=[("f0", f0), ("f1", f1), ("f2", f2), ("f3", f3), ("pw", pw)])
+
+
+ORACLE_SQL["tabular_dataset"] = _tabular_sql(TAB_CFG)
