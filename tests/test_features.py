@@ -79,3 +79,13 @@ def test_tail_n(spark):
     out = features.tail_n(frame(spark, series_rows(10) + series_rows(2, "b")), 3)
     assert out.groupBy("series_id").count().orderBy("series_id").collect()[0]["count"] == 3
     assert out.count() == 5
+
+
+def test_range_positions_inside_a_union(spark):
+    """Task partition ids are shifted inside a union; positions must not depend on them."""
+    a = frame(spark, series_rows(120, "a", 1) + series_rows(40, "b", 2))
+    b = frame(spark, series_rows(90, "c", 3))
+    pa = layout.range_positions(a, "series_id", "ts", out="pos", num_partitions=5)
+    pb = layout.range_positions(b, "series_id", "ts", out="pos", num_partitions=4)
+    got = pb.unionByName(pa).toPandas().sort_values(["series_id", "ts"])
+    assert (got["pos"].to_numpy() == got.groupby("series_id").cumcount().to_numpy()).all()

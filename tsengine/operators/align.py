@@ -16,6 +16,7 @@ def align_forecasts(
     series_col: str = "series_id",
     time_col: str = "ts",
     fallback: str | None = "tail",
+    cfg=None,
 ) -> DataFrame:
     """Inner equi-join of two prediction frames on (series, ts).
 
@@ -31,13 +32,25 @@ def align_forecasts(
     if fallback != "tail":
         raise ValueError("fallback must be None or 'tail'")
     hit = matched.select(series_col).distinct()
-    rank_w = lambda: Window.partitionBy(series_col).orderBy(F.col(time_col).desc())
-    a_rest = a.join(hit, series_col, "left_anti").withColumn("__rk", F.row_number().over(rank_w()))
-    b_rest = b.join(hit, series_col, "left_anti").withColumn("__rk", F.row_number().over(rank_w())).drop(time_col)
+    a_rest = _rank_from_end(a.join(hit, series_col, "left_anti"), series_col, time_col, cfg)
+    b_rest = _rank_from_end(b.join(hit, series_col, "left_anti"), series_col, time_col, cfg).drop(time_col)
     paired = a_rest.join(b_rest, on=[series_col, "__rk"], how="inner").drop("__rk")
     return matched.unionByName(paired.select(*matched.columns))
 
 
+def _rank_from_end(df: DataFrame, series_col: str, time_col: str, cfg) -> DataFrame:
+    """1 for the last row of each series, 2 for the one before, ...; with a blocks-layout ``cfg``
+    the rank comes from range-partitioned positions (``n - pos``), so a huge series is never one
+    window partition, and the following join on (series, rank) spreads evenly."""
+    if cfg is not None and cfg.layout != "series":
+        from tsengine.plans.layout import positions_and_counts
+
+        staged = positions_and_counts(df, cfg.with_(series_col=series_col, time_col=time_col), pos="__pos", n="__n")
+        return staged.withColumn("__rk", F.col("__n") - F.col("__pos")).drop("__pos", "__n")
+    w = Window.partitionBy(series_col).orderBy(F.col(time_col).desc())
+    return df.withColumn("__rk", F.row_number().over(w).cast("bigint"))
+
+
 def truth_gap(df: DataFrame, a: str = "y_true_a", b: str = "y_true_b", by: Sequence[str] = ()) -> DataFrame:
     """Mean absolute difference between two ground-truth columns (``> 1e-6`` deserves a look)."""
     gap = F.avg(F.abs(F.col(a) - F.col(b))).alias("truth_gap")

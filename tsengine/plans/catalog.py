@@ -967,3 +967,12 @@ def _tabular_sql(cfg: ForecastConfig) -> str:
 
 
 ORACLE_SQL["tabular_dataset"] = _tabular_sql(TAB_CFG)
+
+
+def q_align_tail_fallback_blocks(spark, d):
+    out = align.align_forecasts(_side_a(spark, d), _side_b(spark, d, 30), cfg=BLOCKS).withColumn("y_true", F.col("y_true_b"))
+    return rounded(out)
+
+
+QUERIES["align_tail_fallback_blocks"] = q_align_tail_fallback_blocks
+ORACLE_SQL["align_tail_fallback_blocks"] = ORACLE_SQL["align_tail_fallback"]

@@ -50,13 +50,23 @@ def _num_partitions(df: DataFrame) -> int:
     return max(shuffle, spark.sparkContext.defaultParallelism)
 
 
+def range_checkpoint(df: DataFrame, series_col: str, time_col: str, num_partitions: int | None = None, sort: bool = True) -> DataFrame:
+    """Range-partition by (series, ts) and checkpoint, stamping each row's range partition into
+    ``__blk`` *inside the checkpoint job*: the partition id is stored data, so it stays right when
+    the frame is later read inside a union (where task partition ids are shifted)."""
+    n_parts = num_partitions or _num_partitions(df)
+    ranged = df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col))
+    if sort:
+        ranged = ranged.sortWithinPartitions(series_col, time_col)
+    return materialize(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+
+
 def range_positions(df: DataFrame, series_col: str, time_col: str, out: str = POS, num_partitions: int | None = None) -> DataFrame:
     """0-based position of every row within its series, safe for arbitrarily large series."""
+    ranged = range_checkpoint(df, series_col, time_col, num_partitions)
     n_parts = num_partitions or _num_partitions(df)
-    ranged = df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col)).sortWithinPartitions(series_col, time_col)
-    ranged = materialize(ranged)
 
-    counts = ranged.groupBy(F.spark_partition_id().alias("pid"), F.col(series_col).alias("sid")).count()
+    counts = ranged.groupBy(F.col(BLOCK).alias("pid"), F.col(series_col).alias("sid")).count()
     before = Window.partitionBy("sid").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
@@ -72,32 +82,30 @@ def range_positions(df: DataFrame, series_col: str, time_col: str, out: str = PO
 
     def number(batches):
         import numpy as np
-        from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
         offs = bc.value
         last_sid, running = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
+            pid = int(pdf[BLOCK].iloc[0])
             sid = pdf[series_col]
             first_of_run = sid.ne(sid.shift()).to_numpy()
-            idx_in_run = pdf.groupby((first_of_run.cumsum()), sort=False).cumcount().to_numpy()
+            run_id = first_of_run.cumsum()
+            idx_in_run = pdf.groupby(run_id, sort=False).cumcount().to_numpy()
             base = np.zeros(len(pdf), dtype=np.int64)
-            # the first run of the batch may continue the previous batch's series
+            # the first run of the batch may continue the previous batch's series, or a series
+            # that started in an earlier partition
             first_sid = sid.iloc[0]
-            run_id = first_of_run.cumsum()
             if last_sid is not None and first_sid == last_sid:
                 base[run_id == run_id[0]] = running
             elif last_sid is None:
                 base[run_id == run_id[0]] = offs.get((pid, first_sid), 0)
             pos = base + idx_in_run
-            tail_sid = sid.iloc[-1]
-            tail_pos = int(pos[-1]) + 1
-            last_sid, running = tail_sid, tail_pos
+            last_sid, running = sid.iloc[-1], int(pos[-1]) + 1
             yield pdf.assign(**{out: pos})
 
-    return ranged.mapInPandas(number, schema)
+    return ranged.mapInPandas(number, schema).drop(BLOCK)
 
 
 def halo_blocks(df: DataFrame, block_rows: int, reach: int, pos_col: str = POS) -> DataFrame:
@@ -148,11 +156,8 @@ def resolve_layout(df: DataFrame, cfg: ForecastConfig) -> ForecastConfig:
 
 
 def partition_blocks(df: DataFrame, series_col: str, time_col: str, num_partitions: int | None = None) -> DataFrame:
-    """Range-partition by (series, ts) into balanced contiguous blocks, materialise them in the
-    checkpoint folder and tag each row with its block (= partition) id in ``__blk``."""
-    n_parts = num_partitions or _num_partitions(df)
-    ranged = materialize(df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col)))
-    return ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
+    """Balanced contiguous (series, ts) blocks, materialised, block id in ``__blk``."""
+    return range_checkpoint(df, series_col, time_col, num_partitions, sort=False)
 
 
 def edge_carry(blocked: DataFrame, cols: list[str], series_col: str, time_col: str) -> DataFrame:
