@@ -200,8 +200,9 @@ def clean_series(
     if fill == "causal":
         out = fill_edges(out, value_cols, by=s, time_col=t, mode="ffill")
     else:
+        # two-sided interpolation leaves NULL only where a series has no known value at all, which
+        # a forward/backward fill cannot repair either, so that pass (two more sorts) is skipped
         out = interpolate_time(out, value_cols, by=s, time_col=t)
-        out = fill_edges(out, value_cols, by=s, time_col=t)
     return drop_incomplete(out, value_cols)
 
 
