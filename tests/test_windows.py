@@ -84,3 +84,14 @@ def test_bootstrap_is_deterministic_and_plugin_runs(spark):
     assert [r.samples for r in p.orderBy("window_id").collect()] == [r.samples for r in q.orderBy("window_id").collect()]
     with pytest.raises(ValueError):
         probabilistic.prediction_bands(p, 1.5)
+
+
+def test_test_phase_only_equals_filtered(spark):
+    rows = rows_for(157) + rows_for(90, "b")
+    cfg = ForecastConfig(context_length=20, prediction_length=6, stride=4)
+    both = windows.context_windows(frame(spark, rows), cfg).filter("split = 'test'")
+    only = windows.context_windows(frame(spark, rows), cfg, phases=("test",))
+    key = lambda r: (r.series_id, r.window_id)
+    assert sorted(both.collect(), key=key) == sorted(only.collect(), key=key)
+    with pytest.raises(ValueError):
+        windows.context_windows(frame(spark, rows), cfg, phases=("later",))

@@ -33,9 +33,13 @@ def context_windows(
     prediction_length: int | None = None,
     stride: int | None = None,
     test_size: float | None = None,
+    phases: tuple[str, ...] = ("train", "test"),
 ) -> DataFrame:
     """``series_id, window_id, split, ctx ARRAY<DOUBLE>, horizon ARRAY<STRUCT<ts, y>>``.
 
+    ``phases=("test",)`` cuts only test windows, reading only the last ``n - split + C`` rows of
+    each series.
+
     ``window_id`` is the position of the first horizon row. A series is usable when its split
     position leaves ``C + H`` train rows and at least ``H`` test rows; other series are skipped
     (``cfg.on_short="skip"``) or raise (``"error"``).
@@ -60,11 +64,17 @@ def context_windows(
 
     # one pass: a row belongs to the train phase (before the split) and/or to the test phase
     # (the split and the C rows of history before it); both phases come from one Generate
-    phases = F.array(
-        F.struct(F.lit("train").alias("split"), F.lit(C).cast("bigint").alias("anchor"), F.col("cut").alias("limit"), (F.col("pos") < F.col("cut")).alias("in")),
-        F.struct(F.lit("test").alias("split"), F.col("cut").alias("anchor"), F.col("n").alias("limit"), (F.col("pos") >= F.col("cut") - C).alias("in")),
-    )
-    rows = base.select(s_col, t_col, y_col, "pos", F.inline(F.filter(phases, lambda p: p["in"]))).drop("in")
+    unknown = set(phases) - {"train", "test"}
+    if unknown or not phases:
+        raise ValueError(f"phases must be a non-empty subset of ('train', 'test'), got {phases}")
+    spec = {
+        "train": F.struct(F.lit("train").alias("split"), F.lit(C).cast("bigint").alias("anchor"), F.col("cut").alias("limit"), (F.col("pos") < F.col("cut")).alias("in")),
+        "test": F.struct(F.lit("test").alias("split"), F.col("cut").alias("anchor"), F.col("n").alias("limit"), (F.col("pos") >= F.col("cut") - C).alias("in")),
+    }
+    if phases == ("test",) or list(phases) == ["test"]:
+        base = base.filter(F.col("pos") >= F.col("cut") - C)
+    wanted = F.array(*[spec[p] for p in ("train", "test") if p in phases])
+    rows = base.select(s_col, t_col, y_col, "pos", F.inline(F.filter(wanted, lambda p: p["in"]))).drop("in")
 
     m_ctx, m_h = math.ceil(C / S), math.ceil(H / S)
     # block index shifted so the earliest context block of the train phase is 0

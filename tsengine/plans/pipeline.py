@@ -22,6 +22,10 @@ def run_pipeline(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), clea
     s, t, y = cfg.series_col, cfg.time_col, cfg.target
     base = series if cleaned else clean.clean_series(series, cfg, value_cols=[c for c in series.columns if c not in (s, t)])
     base = materialize(base)
+    # decide the physical layout once, on the materialised clean frame (a cheap scan)
+    from tsengine.plans.layout import resolve_layout
+
+    cfg = resolve_layout(base, cfg)
 
     ds, params, cols = tabular.tabular_dataset(base, cfg)
     ds = materialize(ds)
@@ -30,7 +34,7 @@ def run_pipeline(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), clea
         s, t, F.col("y_raw").alias("y_true_a"), F.col("prediction").alias("pred_a")
     )
 
-    win = windows.window_dataset(base.select(s, t, y), cfg).filter(F.col("split") == "test")
+    win = windows.context_windows(base.select(s, t, y), cfg, phases=("test",))
     paths = probabilistic.sample_paths(win, cfg)
     bands = probabilistic.prediction_bands(paths, cfg.confidence)
     pred_b = bands.select(s, "ts", F.col("y").alias("y_true_b"), F.col("median").alias("pred_b"), "low", "high")
