@@ -99,3 +99,14 @@ def test_scaler_round_trip_and_constant_column(spark):
             assert abs(p["x"][0] - train.mean()) < 1e-12 and abs(p["x"][1] - train.std()) < 1e-12
         back = scale.invert_scaler(scale.apply_scaler(df, params, ["x", "c"]), params, ["x", "c"]).orderBy("ts").collect()
         assert all(abs(r.x - float(i * i)) < 1e-9 and abs(r.c - 3.0) < 1e-12 for i, r in enumerate(back))
+
+
+def test_global_scaler_and_pooled_blend_weight(spark):
+    df = aligned(spark).withColumn("split", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("train"))
+    params = scale.fit_scaler(df, ["y_true"], "standard", by=[])
+    out = scale.apply_scaler(df, params, ["y_true"], by=[]).toPandas()
+    assert abs(out["y_true"].mean()) < 1e-9 and abs(out["y_true"].std(ddof=0) - 1) < 1e-9
+    w = align.tune_blend(df)
+    got = align.blend_tuned(df, w).first()
+    wt = w.first().weight
+    assert abs(got.hybrid_pred - (wt * got.pred_a + (1 - wt) * got.pred_b)) < 1e-12

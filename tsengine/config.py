@@ -21,8 +21,9 @@ class ForecastConfig:
     seasonal_anchors: tuple[int, ...] = (1, 2, 24, 48, 168, 336)
     rolling_candidates: tuple[int, ...] = (3, 6, 12, 24, 48)
 
-    # scaling: "standard" or anything else = min-max
+    # scaling: "standard" or anything else = min-max; float32 narrows the scaled matrix
     scaler: str = "standard"
+    float32: bool = False
 
     # context / horizon windows
     context_length: int = 1024

@@ -108,6 +108,11 @@ def tune_blend(
 def blend_tuned(df: DataFrame, weights: DataFrame, a: str = "pred_a", b: str = "pred_b", out: str = "hybrid_pred", by: Sequence[str] = ()) -> DataFrame:
     """Blend with weights from :func:`tune_blend` (``tune_on`` and the scored frame may differ)."""
     by = list(by)
+    if not by:
+        # one pooled weight: a single scalar is read on the driver and inlined as a literal
+        row = weights.select("weight").limit(2).collect()
+        if len(row) != 1:
+            raise ValueError("blend_tuned: expected exactly one pooled weight")
+        return blend(df, F.lit(float(row[0]["weight"])), a, b, out)
     w = weights.select(*by, F.col("weight").alias("__w"))
-    joined = df.join(w, on=by, how="left") if by else df.crossJoin(F.broadcast(w))
-    return blend(joined, "__w", a, b, out).drop("__w")
+    return blend(df.join(w, on=by, how="left"), "__w", a, b, out).drop("__w")

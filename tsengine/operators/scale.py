@@ -59,7 +59,14 @@ def _apply(df: DataFrame, params: DataFrame, cols: Sequence[str], by, inverse: b
     param_of = dict(zip(cols, param_cols)) if param_cols is not None else {c: c for c in cols}
     fitted = list(dict.fromkeys(param_of.values()))
     wide = _wide_params(params, fitted, by)
-    joined = df.join(wide, on=by, how="left") if by else df.crossJoin(F.broadcast(wide))
+    if by:
+        joined = df.join(wide, on=by, how="left")
+    else:
+        # one global parameter row (2 values per column): inline it as literals
+        rows = wide.limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError("global scaler parameters must be exactly one row")
+        joined = df.select("*", *[F.lit(v).cast("double").alias(k) for k, v in rows[0].asDict().items()])
     idx = {c: fitted.index(p) for c, p in param_of.items()}
     exprs = []
     for c in df.columns:

@@ -40,9 +40,19 @@ def tabular_dataset(df: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> tu
     cols = feature_columns(flagged, cfg)
     params = fit_scaler(flagged, cols + [cfg.target], cfg.scaler, by=cfg.series_col, where="split != 'test'")
     scaled = apply_scaler(flagged.withColumn("y_raw", F.col(cfg.target)), params, cols + [cfg.target], by=cfg.series_col)
+    if cfg.float32:
+        narrow = set(cols + [cfg.target])
+        scaled = scaled.select(*[F.col(c).cast("float").alias(c) if c in narrow else F.col(c) for c in scaled.columns])
     return scaled, params, cols
 
 
+def assemble(df: DataFrame, feature_cols: Sequence[str], label: str = "y", out: str = "features") -> DataFrame:
+    """Feature vector + label (``X``/``y``); errors when the label column is missing."""
+    if label not in df.columns:
+        raise KeyError(f"Target column '{label}' not found")
+    return VectorAssembler(inputCols=list(feature_cols), outputCol=out, handleInvalid="keep").transform(df)
+
+
 def early_stop(errors: Sequence[float], patience: int) -> int:
     """Index of the best iteration, stopping once ``patience`` rounds bring no improvement."""
     best, best_err = 0, float("inf")

@@ -976,3 +976,14 @@ def q_align_tail_fallback_blocks(spark, d):
 
 QUERIES["align_tail_fallback_blocks"] = q_align_tail_fallback_blocks
 ORACLE_SQL["align_tail_fallback_blocks"] = ORACLE_SQL["align_tail_fallback"]
+
+
+MANY_CFG = ForecastConfig(context_length=20, prediction_length=5, stride=5)
+
+
+def q_context_windows_many(spark, d):
+    return summarize_windows(windows.context_windows(fx.user_events(spark, d).drop("event_id"), MANY_CFG))
+
+
+QUERIES["context_windows_many"] = q_context_windows_many
+ORACLE_SQL["context_windows_many"] = _windows_summary_sql("user_events", 20, 5, 5)
