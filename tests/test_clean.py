@@ -89,3 +89,12 @@ def test_clean_blocks_layout_equals_series_layout(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "8")
         pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
+
+
+def test_clean_series_plan_single_shuffle(spark):
+    from tsengine.sources import fixtures as fx
+
+    raw = fx.events_dirty(spark, "/root/testdata/sf0.001")
+    out = clean.clean_series(raw, ForecastConfig(layout="series"), value_cols=["value_raw"], time_raw="ts_raw", tie_break=["event_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan

@@ -184,6 +184,10 @@ def clean_series(
 
     layout = resolve_layout(df, cfg).layout  # decided on the raw rows (an upper bound of the clean size)
     out = parse_ts(df, time_raw, fmt, out=t)
+    if layout == "series":
+        # one shuffle by series serves both the dedup aggregate (clustered by series, ts) and
+        # the per-series windows; duplicates are rare, so a map-side combine would save little
+        out = out.repartition(s)
     # the reference keeps the last of duplicated stamps; without an explicit order the largest
     # row wins, which is at least deterministic
     out = dedup_last(out, [s, t], list(tie_break) if tie_break else list(value_cols))
