@@ -67,3 +67,38 @@ def test_tuned_rmse_not_worse_than_either_model(spark):
     best = align.tune_blend(df).first().rmse
     ends = [align.tune_blend(df.selectExpr("series_id", "ts", "y_true", f"{c} AS pred_a", f"{c} AS pred_b")).first().rmse for c in ("pred_a", "pred_b")]
     assert best <= min(ends) + 1e-12
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    gaps=st.lists(st.integers(1, 180), min_size=1, max_size=40),
+    mask=st.lists(st.booleans(), min_size=40, max_size=40),
+    vals=st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=40, max_size=40),
+)
+def test_interpolation_matches_pandas(spark, gaps, mask, vals):
+    import numpy as np
+
+    t0 = dt.datetime(2024, 1, 1)
+    stamps, t = [], t0
+    for g in gaps:
+        t = t + dt.timedelta(minutes=g)
+        stamps.append(t)
+    ys = [None if m else v for m, v in zip(mask, vals)][: len(stamps)]
+    got = clean.interpolate_time(frame(spark, [("a", s, y) for s, y in zip(stamps, ys)]), ["y"]).orderBy("ts").toPandas()["y"]
+    exp = pd.Series(ys, index=pd.DatetimeIndex(stamps), dtype="float64").interpolate(method="time", limit_direction="both").ffill().bfill()
+    np.testing.assert_allclose(got.to_numpy(dtype=float), exp.to_numpy(), rtol=1e-9, atol=1e-6, equal_nan=True)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(vals=st.lists(st.floats(-1e3, 1e3, allow_nan=False), min_size=1, max_size=60), w=st.integers(3, 12), k=st.integers(1, 15))
+def test_lag_rolling_match_pandas(spark, vals, w, k):
+    import numpy as np
+
+    t0 = dt.datetime(2024, 1, 1)
+    df = frame(spark, [("a", t0 + dt.timedelta(hours=i), v) for i, v in enumerate(vals)])
+    got = features.add_rolling(features.add_lags(df, [k]), [w]).orderBy("ts").toPandas()
+    y = pd.Series(vals, dtype="float64")
+    np.testing.assert_allclose(got[f"y_lag_{k}"].to_numpy(dtype=float), y.shift(k).to_numpy(), equal_nan=True)
+    sh = y.shift(1).rolling(w, min_periods=w)
+    np.testing.assert_allclose(got[f"y_roll_mean_{w}"].to_numpy(dtype=float), sh.mean().to_numpy(), equal_nan=True, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(got[f"y_roll_std_{w}"].to_numpy(dtype=float), sh.std().to_numpy(), equal_nan=True, rtol=1e-6, atol=1e-6)
