@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.functions.columns import micros_between, nan_to_null, numeric_or_null
+from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, resolve_layout
 from tsengine.sources.files import require_columns
 
 
@@ -180,8 +181,6 @@ def clean_series(
     if value_cols is None:
         value_cols = [c for c in df.columns if c not in (s, time_raw, *(tie_break or []))]
     require_columns(df, value_cols)
-    from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, resolve_layout
-
     layout = resolve_layout(df, cfg).layout  # decided on the raw rows (an upper bound of the clean size)
     out = parse_ts(df, time_raw, fmt, out=t)
     if layout == "series":
@@ -200,7 +199,7 @@ def clean_series(
         value_cols = [c for c in value_cols if c not in dead]
         out = out.select(s, t, *value_cols)
     if layout == "blocks":
-        return _clean_blocks(out, value_cols, s, t, fill, BLOCK, edge_carry, partition_blocks)
+        return _clean_blocks(out, value_cols, s, t, fill)
     if fill == "causal":
         out = fill_edges(out, value_cols, by=s, time_col=t, mode="ffill")
     else:
@@ -210,7 +209,7 @@ def clean_series(
     return drop_incomplete(out, value_cols)
 
 
-def _clean_blocks(out, value_cols, s, t, fill, BLOCK, edge_carry, partition_blocks):
+def _clean_blocks(out: DataFrame, value_cols: Sequence[str], s: str, t: str, fill: str) -> DataFrame:
     """Gap filling for series too large for one task: contiguous range blocks, with the nearest
     known neighbours outside each block carried in from a small per-block table."""
     blocked = partition_blocks(out, s, t)

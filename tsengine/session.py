@@ -64,3 +64,26 @@ def materialize(df):
     loss, and pins partitions so several passes see the same rows in the same partitions."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Starting-point settings for a cluster run, sized from the input volume.
+
+    Shuffle partitions are chosen so an average partition holds ~``target_partition_bytes``
+    (and at least 3 waves of tasks); AQE coalesces small ones and splits skewed ones at run time.
+    ``spark.checkpoint.dir`` is deliberately not set here: it must name shared storage chosen by
+    the cluster.
+    """
+    parts = max(3 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 << 20)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
