@@ -95,3 +95,18 @@ def test_test_phase_only_equals_filtered(spark):
     assert sorted(both.collect(), key=key) == sorted(only.collect(), key=key)
     with pytest.raises(ValueError):
         windows.context_windows(frame(spark, rows), cfg, phases=("later",))
+
+
+def test_single_series_blocks_plan_has_no_single_partition(spark):
+    from conftest import SF01
+
+    from tsengine.sources import fixtures as fx
+
+    cfg = ForecastConfig(layout="blocks")
+    w = windows.context_windows(fx.events_30min(spark, SF01), cfg)
+    w.count()
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    plain = windows.context_windows(fx.events_30min(spark, SF01), ForecastConfig(layout="series"))
+    key = lambda r: (r.split, r.window_id)
+    assert sorted(w.collect(), key=key) == sorted(plain.collect(), key=key)
