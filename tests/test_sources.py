@@ -45,3 +45,24 @@ def test_metrics_and_comparison_sinks_round_trip(spark, tmp_path):
     assert sorted(r.model for r in back.select("model").distinct().collect()) == ["a", "b"] and back.count() == 10
     sinks.write_comparison(metrics.compare_models(m), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["model", "mse", "rmse", "mae", "mape", "r2"]
+
+
+def test_cli_end_to_end(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tsengine.__main__ import main
+
+    src = str(tmp_path / "csv")
+    (
+        fx.events_30min(spark, "/root/testdata/sf0.01")
+        .select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("y").cast("string").alias("value"))
+        .coalesce(1)
+        .write.option("header", True)
+        .csv(src)
+    )
+    out = str(tmp_path / "out")
+    main(["--input", src, "--output", out, "--max-iter", "3", "--context-length", "256", "--max-lag", "24"])
+    cmp = spark.read.option("header", True).csv(f"{out}/model_comparison")
+    assert sorted(r.model for r in cmp.collect()) == ["gbt", "hybrid", "probabilistic"]
+    assert spark.read.json(f"{out}/metrics").count() == 15
+    assert spark.read.parquet(f"{out}/plot_probabilistic").filter("line = 'low'").count() > 0
