@@ -33,7 +33,7 @@ HEADLINE = [
     "plot_frame_bands",
     "tail_n",
     "gbt_predict",
-    "run_pipeline",
+    "end_to_end",
 ]
 
 

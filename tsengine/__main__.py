@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.operators import charts, clean
-from tsengine.plans.pipeline import run_pipeline
+from tsengine.plans.end_to_end import run_end_to_end
 from tsengine.session import ensure_checkpoint_dir
 from tsengine.sources import files, sinks
 
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> dict:
     )
     cleaned = clean.clean_series(series.select("series_id", a.time_col, *values), cfg, value_cols=values, time_raw=a.time_col, fmt=a.time_format)
     cleaned = cleaned.withColumnRenamed(a.target, cfg.target) if a.target != cfg.target else cleaned
-    res = run_pipeline(cleaned, cfg, cleaned=True)
+    res = run_end_to_end(cleaned, cfg, cleaned=True)
     sinks.write_metrics(res["metrics"], f"{out}/metrics")
     sinks.write_comparison(res["comparison"], f"{out}/model_comparison")
     res["model"].save(f"{out}/model")

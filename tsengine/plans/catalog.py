@@ -767,10 +767,10 @@ QUERIES.update(
 ORACLE_SQL.update(SQL_SCALE)
 
 
-# ----------------------------------------------------------------------------- charts, sinks, pipeline
+# ----------------------------------------------------------------------------- charts, sinks, end to end
 from tsengine.operators import charts  # noqa: E402
 from tsengine.plans import flagship as flagship_plan  # noqa: E402
-from tsengine.plans.pipeline import run_pipeline  # noqa: E402
+from tsengine.plans.end_to_end import run_end_to_end  # noqa: E402
 from tsengine.session import scratch_path  # noqa: E402
 from tsengine.sources import files, sinks  # noqa: E402
 from tsengine.streaming import land_stream  # noqa: E402
@@ -823,8 +823,8 @@ PIPE_CFG = ForecastConfig(
 )
 
 
-def q_run_pipeline(spark, d):
-    out = run_pipeline(fx.lineitem_daily(spark, d), PIPE_CFG)
+def q_end_to_end(spark, d):
+    out = run_end_to_end(fx.lineitem_daily(spark, d), PIPE_CFG)
     return out["comparison"]
 
 
@@ -895,7 +895,7 @@ QUERIES.update(
         "write_comparison": q_write_comparison,
         "flagship": q_flagship,
         "tabular_dataset": q_tabular_dataset,
-        "run_pipeline": q_run_pipeline,
+        "end_to_end": q_end_to_end,
     }
 )
 ORACLE_SQL.update(SQL_MISC)

@@ -10,7 +10,7 @@ from tsengine.operators import align, clean, metrics, probabilistic, tabular, wi
 from tsengine.session import materialize
 
 
-def run_pipeline(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cleaned: bool = False, tune_on: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cleaned: bool = False, tune_on: DataFrame | None = None) -> dict[str, DataFrame]:
     """Returns named DataFrames: cleaned, dataset, params, predictions_a, windows, bands,
     aligned, weights, blended, metrics, comparison.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,9 +54,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_dir_exists(path: str) -> bool:
-    return os.path.exists(path)
-
 
 def materialize(df):
     """Reliable checkpoint into the shared checkpoint folder: cuts lineage, survives executor

@@ -25,10 +25,15 @@ def save_model(model, path: str) -> str:
 
 
 def load_model(spark, path: str):
+    """Reload a saved GBT model; a missing path raises ``FileNotFoundError``."""
+    from pyspark.errors import AnalysisException
     from pyspark.ml.regression import GBTRegressionModel
 
-    jvm_fs = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001 - existence check only
-    p = jvm_fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):  # noqa: SLF001
-        raise FileNotFoundError(f"Model path does not exist: {path}")
-    return GBTRegressionModel.load(path)
+    try:
+        return GBTRegressionModel.load(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"Model path does not exist: {path}") from e
+    except Exception as e:  # noqa: BLE001 - the JVM reports a missing path as InvalidInputException
+        if "does not exist" in str(e) or "FileNotFound" in str(e) or "InvalidInput" in str(e):
+            raise FileNotFoundError(f"Model path does not exist: {path}") from e
+        raise
