@@ -46,13 +46,19 @@ def main() -> None:
     if os.path.isdir(warm_dir):
         for name in names:
             QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - report and keep timing the others
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "total_query_wall_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
+    out = {"metric": "total_query_wall_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 

@@ -11,8 +11,8 @@ from tsengine.session import materialize
 
 
 def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cleaned: bool = False, tune_on: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Returns named DataFrames: cleaned, dataset, params, predictions_a, windows, bands,
-    aligned, weights, blended, metrics, comparison.
+    """Returns named DataFrames (cleaned, dataset, params, predictions_a, windows, bands,
+    aligned, truth_gap, weights, blended, metrics, comparison) and the fitted ``model``.
 
     The clean frame is checkpointed to the shared checkpoint folder: both branches read it, and
     the lineage (windows over windows) is cut so a lost executor recomputes from the checkpoint.
@@ -39,7 +39,9 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
     bands = probabilistic.prediction_bands(paths, cfg.confidence)
     pred_b = bands.select(s, "ts", F.col("y").alias("y_true_b"), F.col("median").alias("pred_b"), "low", "high")
 
-    aligned = align.align_forecasts(pred_a, pred_b, s, t).withColumn("y_true", F.col("y_true_b"))
+    aligned = align.align_forecasts(pred_a, pred_b, s, t, cfg=cfg).withColumn("y_true", F.col("y_true_b"))
+    # mean |truth_a - truth_b| over the aligned rows; above 1e-6 the two branches disagree on truth
+    gap = align.truth_gap(aligned, "y_true_a", "y_true_b")
     if cfg.auto_tune:
         weights = align.tune_blend(tune_on if tune_on is not None else aligned, points=cfg.search_points)
     else:
@@ -54,6 +56,7 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
         "windows": win,
         "bands": bands,
         "aligned": aligned,
+        "truth_gap": gap,
         "weights": weights,
         "blended": blended,
         "metrics": m,
