@@ -27,8 +27,9 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
 
     cfg = resolve_layout(base, cfg)
 
+    # the flagged feature frame is materialised inside tabular_dataset; the scaled frame is a
+    # projection plus a small parameter join over it, so it is not written a second time
     ds, params, cols = tabular.tabular_dataset(base, cfg)
-    ds = materialize(ds)
     model = tabular.GbtForecaster(cfg).fit(ds, cols)
     pred_a = model.predict(ds.filter(F.col("split") == "test"), params, keep=["y_raw"]).select(
         s, t, F.col("y_raw").alias("y_true_a"), F.col("prediction").alias("pred_a")
