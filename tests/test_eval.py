@@ -110,3 +110,15 @@ def test_global_scaler_and_pooled_blend_weight(spark):
     got = align.blend_tuned(df, w).first()
     wt = w.first().weight
     assert abs(got.hybrid_pred - (wt * got.pred_a + (1 - wt) * got.pred_b)) < 1e-12
+
+
+def test_assert_complete_and_cluster_conf(spark):
+    from tsengine.session import cluster_conf
+
+    df = aligned(spark)
+    assert metrics.assert_complete(df, ["y_true", "pred_a"]) is df
+    with pytest.raises(ValueError):
+        metrics.assert_complete(df.selectExpr("y_true", "CAST(NULL AS DOUBLE) AS pred_a"), ["pred_a"])
+    conf = cluster_conf(100 << 40, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600 and conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(cluster_conf(1 << 20, 16)["spark.sql.shuffle.partitions"]) == 48

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
@@ -90,7 +90,7 @@ def interpolate_time(
     by = _keys(by)
     fwd, bwd = _running(by, time_col), _running(by, time_col, descending=True)
     t = F.col(time_col)
-    out = df
+    neighbours = []
     for c in cols:
         v = F.col(c)
         known_t = F.when(v.isNotNull(), t)
@@ -102,8 +102,8 @@ def interpolate_time(
             (pt, pv), (nt, nv) = carry[c]
             prev_t, prev_v = F.coalesce(prev_t, F.col(pt)), F.coalesce(prev_v, F.col(pv))
             next_t, next_v = F.coalesce(next_t, F.col(nt)), F.coalesce(next_v, F.col(nv))
-        out = out.withColumn(f"__pt_{c}", prev_t).withColumn(f"__pv_{c}", prev_v)
-        out = out.withColumn(f"__nt_{c}", next_t).withColumn(f"__nv_{c}", next_v)
+        neighbours += [prev_t.alias(f"__pt_{c}"), prev_v.alias(f"__pv_{c}"), next_t.alias(f"__nt_{c}"), next_v.alias(f"__nv_{c}")]
+    out = df.select("*", *neighbours)
     exprs = []
     for c in out.columns:
         if c.startswith("__"):
@@ -225,11 +225,3 @@ def _clean_blocks(out: DataFrame, value_cols: Sequence[str], s: str, t: str, fil
         filled = interpolate_time(joined, value_cols, by=[s, BLOCK], time_col=t, carry=carry).select(s, t, *value_cols)
     # after two-sided interpolation only all-null columns stay null: ffill/bfill has nothing left
     return drop_incomplete(filled, value_cols)
-
-
-def value_columns(df: DataFrame, cfg: ForecastConfig) -> list[str]:
-    return [c for c in df.columns if c not in (cfg.series_col, cfg.time_col)]
-
-
-def col_list(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
