@@ -987,3 +987,29 @@ def q_context_windows_many(spark, d):
 
 QUERIES["context_windows_many"] = q_context_windows_many
 ORACLE_SQL["context_windows_many"] = _windows_summary_sql("user_events", 20, 5, 5)
+
+
+def q_probabilistic_eval(spark, d):
+    """Probabilistic branch end to end: test windows -> analog paths -> bands -> metrics of the
+    median (and of the band edges) against the truth."""
+    w = windows.context_windows(fx.events_30min(spark, d), WIN30, phases=("test",))
+    bands = probabilistic.prediction_bands(probabilistic.sample_paths(w, WIN30), WIN30.confidence)
+    return rounded(metrics.forecast_metrics(bands, {"median": "median", "low": "low", "high": "high"}, y="y"))
+
+
+def _prob_eval_sql() -> str:
+    parts = []
+    for model in ("median", "low", "high"):
+        for m in metrics.PREFERRED:
+            expr = _metric_sql(model, m).replace("y_true", "y")
+            parts.append(f"SELECT '{model}' AS model, '{m}' AS metric, round(CAST({expr} AS DOUBLE), 6) AS value FROM bands_t")
+    bands_t = BANDS_SQL.replace("round(s.y, 6) AS y", "s.y AS y").replace("round(b.med, 6) AS median, round(b.lo, 6) AS low, round(b.hi, 6) AS high", "b.med AS median, b.lo AS low, b.hi AS high")
+    return with_fixtures(
+        " UNION ALL ".join(parts),
+        "events_30min",
+        extra=_windows_ctes("events_30min", 1024, 24, 24) + [("samples", SAMPLES_SQL), ("bands_t", f"SELECT * FROM ({bands_t}) WHERE split = 'test'")],
+    )
+
+
+QUERIES["probabilistic_eval"] = q_probabilistic_eval
+ORACLE_SQL["probabilistic_eval"] = _prob_eval_sql()
