@@ -7,6 +7,18 @@ from dataclasses import dataclass, field, replace
 
 @dataclass(frozen=True)
 class ForecastConfig:
+    """Pipeline parameters.
+
+    Fixed values (defaults equal to the reproduced pipeline's configuration, so results line up):
+    test_size 0.2, validation_ratio 0.2, max_lag 48, seasonal lag anchors 1, 2, 24, 48, 168, 336,
+    rolling-window candidates 3, 6, 12, 24, 48, context_length 1024, prediction_length 24,
+    num_samples 32, confidence 0.9, blend weight 0.37, blend search points 101, seed 42, standard
+    scaler, tree learning rate 0.025, depth 8, subsample 0.9, column sample 0.85, minimum child
+    weight 3, patience 80, at most 1800 rounds. The tree settings below deliberately use fewer
+    rounds, a larger step and shallower trees (MLlib runs each round as Spark jobs); the rest are
+    kept.
+    """
+
     # column roles
     series_col: str = "series_id"
     time_col: str = "ts"
