@@ -110,3 +110,16 @@ def test_single_series_blocks_plan_has_no_single_partition(spark):
     plain = windows.context_windows(fx.events_30min(spark, SF01), ForecastConfig(layout="series"))
     key = lambda r: (r.split, r.window_id)
     assert sorted(w.collect(), key=key) == sorted(plain.collect(), key=key)
+
+
+def test_bootstrap_values_are_base_plus_a_seasonal_residual(spark):
+    S = 10
+    cfg = ForecastConfig(context_length=100, prediction_length=7, season_length=S, num_samples=9)
+    w = windows.context_windows(frame(spark, rows_for(260)), cfg)
+    for r in probabilistic.sample_paths(w, cfg, method="bootstrap").collect():
+        ctx = np.array(r.ctx)
+        L = len(ctx)
+        residuals = {round(float(ctx[t] - ctx[t - S]), 9) for t in range(S, L)}
+        for path in r.samples:
+            for step, v in enumerate(path):
+                assert round(v - float(ctx[L - S + step % S]), 9) in residuals
