@@ -54,7 +54,11 @@ def main() -> None:
             times[name] = round(time.perf_counter() - t0, 3)
         except Exception as e:  # noqa: BLE001 - report and keep timing the others
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    tag = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(tag)
+    except ValueError:
+        sf = tag
     out = {"metric": "total_query_wall_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}
     if errors:
         out["errors"] = errors
