@@ -26,22 +26,16 @@ def align_forecasts(
     timestamps of ``a``. Rows of other series are never paired by rank.
     """
     keys = [series_col, time_col]
+    matched = a.join(b, on=keys, how="inner")
     if fallback is None:
-        return a.join(b, on=keys, how="inner")
+        return matched
     if fallback != "tail":
         raise ValueError("fallback must be None or 'tail'")
-    a_cols = [c for c in a.columns if c not in keys]
-    b_cols = [c for c in b.columns if c not in keys]
-    # one full outer join shuffles each side once; every branch below derives from this same
-    # subtree, so its exchanges are reused instead of re-reading and re-shuffling the inputs
-    j = a.withColumn("__in_a", F.lit(True)).join(b.withColumn("__in_b", F.lit(True)), on=keys, how="full_outer")
-    both = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()
-    matched = j.filter(both).select(*keys, *a_cols, *b_cols)
-    hit = j.filter(both).select(series_col).distinct()
-    a_rest = j.filter(F.col("__in_a").isNotNull() & F.col("__in_b").isNull()).select(*keys, *a_cols).join(hit, series_col, "left_anti")
-    b_rest = j.filter(F.col("__in_b").isNotNull() & F.col("__in_a").isNull()).select(*keys, *b_cols).join(hit, series_col, "left_anti")
-    a_rest = _rank_from_end(a_rest, series_col, time_col, cfg)
-    b_rest = _rank_from_end(b_rest, series_col, time_col, cfg).drop(time_col)
+    # one row per series that has any common stamp: AQE broadcasts it at run time when small, so
+    # the anti-joins below do not shuffle the inputs, and the inputs' own exchanges are reused
+    hit = matched.select(series_col).distinct()
+    a_rest = _rank_from_end(a.join(hit, series_col, "left_anti"), series_col, time_col, cfg)
+    b_rest = _rank_from_end(b.join(hit, series_col, "left_anti"), series_col, time_col, cfg).drop(time_col)
     paired = a_rest.join(b_rest, on=[series_col, "__rk"], how="inner").drop("__rk")
     return matched.unionByName(paired.select(*matched.columns))
 
