@@ -7,12 +7,17 @@ outputs are BIGINT/SMALLINT/TINYINT on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
-from tsengine.operators import align, clean, features, metrics, scale, split
+from tsengine.operators import align, charts, clean, features, metrics, probabilistic, scale, split, tabular, windows
+from tsengine.plans import flagship as flagship_plan
+from tsengine.plans.end_to_end import run_end_to_end
+from tsengine.session import scratch_path
+from tsengine.sources import files, sinks
 from tsengine.sources import fixtures as fx
+from tsengine.streaming import land_stream
 
 DIGITS = 6
 
@@ -249,7 +254,6 @@ ORACLE_SQL = {**SQL_CLEAN, **SQL_FEATURES}
 
 
 # ----------------------------------------------------------------------------- windows
-from tsengine.operators import probabilistic, windows  # noqa: E402
 
 SPLIT_EXPR = "CAST(floor({n} * (CAST(1.0 AS DOUBLE) - CAST({t} AS DOUBLE))) AS BIGINT)"
 
@@ -622,7 +626,6 @@ ORACLE_SQL.update(SQL_EVAL)
 
 
 # ----------------------------------------------------------------------------- splits and scaling
-from tsengine.operators import tabular  # noqa: E402
 
 SCALE_COLS = ["y", "x_qty", "x_disc", "y_lag_1", "y_lag_7", "day_of_week", "month"]
 
@@ -768,12 +771,6 @@ ORACLE_SQL.update(SQL_SCALE)
 
 
 # ----------------------------------------------------------------------------- charts, sinks, end to end
-from tsengine.operators import charts  # noqa: E402
-from tsengine.plans import flagship as flagship_plan  # noqa: E402
-from tsengine.plans.end_to_end import run_end_to_end  # noqa: E402
-from tsengine.session import scratch_path  # noqa: E402
-from tsengine.sources import files, sinks  # noqa: E402
-from tsengine.streaming import land_stream  # noqa: E402
 
 DIRTY_SCHEMA = "event_id BIGINT, ts_raw STRING, value_raw STRING, series_id STRING"
 
