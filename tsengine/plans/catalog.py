@@ -1010,3 +1010,19 @@ def _prob_eval_sql() -> str:
 
 QUERIES["probabilistic_eval"] = q_probabilistic_eval
 ORACLE_SQL["probabilistic_eval"] = _prob_eval_sql()
+
+
+def q_clean_series_causal(spark, d):
+    raw = fx.events_dirty(spark, d)
+    out = clean.clean_series(raw, ForecastConfig(), value_cols=["value_raw"], time_raw="ts_raw", tie_break=["event_id"], fill="causal")
+    return rounded(out.withColumnRenamed("value_raw", "y"))
+
+
+CAUSAL_SQL = (
+    "SELECT series_id, ts, coalesce(y, last_value(y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS y FROM coerced"
+)
+QUERIES["clean_series_causal"] = q_clean_series_causal
+ORACLE_SQL["clean_series_causal"] = with_fixtures(
+    "SELECT series_id, ts, round(y, 6) AS y FROM ffilled WHERE y IS NOT NULL", "events_dirty", extra=CLEAN_CHAIN + [("ffilled", CAUSAL_SQL)]
+)
