@@ -1026,3 +1026,24 @@ QUERIES["clean_series_causal"] = q_clean_series_causal
 ORACLE_SQL["clean_series_causal"] = with_fixtures(
     "SELECT series_id, ts, round(y, 6) AS y FROM ffilled WHERE y IS NOT NULL", "events_dirty", extra=CLEAN_CHAIN + [("ffilled", CAUSAL_SQL)]
 )
+
+
+def q_truncate_context(spark, d):
+    return summarize_windows(windows.truncate_context(_win30(spark, d), 512))
+
+
+ORACLE_SQL["truncate_context"] = with_fixtures(
+    """SELECT series_id, CAST(e AS BIGINT) AS window_id, split,
+  CAST(count(*) FILTER (WHERE pos < e AND pos >= e - 512) AS BIGINT) AS ctx_len,
+  round(arg_min(y, pos) FILTER (WHERE pos < e AND pos >= e - 512), 6) AS ctx_first,
+  round(arg_max(y, pos) FILTER (WHERE pos < e), 6) AS ctx_last,
+  round(sum(y) FILTER (WHERE pos < e AND pos >= e - 512), 2) AS ctx_sum,
+  CAST(count(*) FILTER (WHERE pos >= e) AS BIGINT) AS h_len,
+  min(ts) FILTER (WHERE pos >= e) AS h_first_ts,
+  max(ts) FILTER (WHERE pos >= e) AS h_last_ts,
+  round(sum(y) FILTER (WHERE pos >= e), 2) AS h_sum
+FROM pts GROUP BY series_id, e, split""",
+    "events_30min",
+    extra=_windows_ctes("events_30min", 1024, 24, 24),
+)
+QUERIES["truncate_context"] = q_truncate_context
