@@ -102,3 +102,25 @@ def test_lag_rolling_match_pandas(spark, vals, w, k):
     sh = y.shift(1).rolling(w, min_periods=w)
     np.testing.assert_allclose(got[f"y_roll_mean_{w}"].to_numpy(dtype=float), sh.mean().to_numpy(), equal_nan=True, rtol=1e-9, atol=1e-9)
     np.testing.assert_allclose(got[f"y_roll_std_{w}"].to_numpy(dtype=float), sh.std().to_numpy(), equal_nan=True, rtol=1e-6, atol=1e-6)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50), st.integers(-50, 50)), min_size=1, max_size=30),
+    points=st.integers(1, 60),
+    same=st.booleans(),
+)
+def test_blend_candidates_equal_full_grid_scan(spark, rows, points, same):
+    import numpy as np
+
+    data = [("s", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(y), float(p), float(p if same else q)) for i, (y, p, q) in enumerate(rows)]
+    df = spark.createDataFrame(data, "series_id STRING, ts TIMESTAMP_NTZ, y_true DOUBLE, pred_a DOUBLE, pred_b DOUBLE")
+    got = align.tune_blend(df, points=points).first()
+    y, a, b = (np.array([r[k] for r in data]) for k in (2, 3, 4))
+    e, d = y - b, a - b
+    ee, ed, dd = np.mean(e * e), np.mean(e * d), np.mean(d * d)
+    best = (float("inf"), 0.5)
+    for w in align.weight_grid(points):
+        r = float(np.sqrt(max(ee - 2 * w * ed + w * w * dd, 0.0)))
+        best = min(best, (r, w))
+    assert got.weight == best[1] and abs(got.rmse - best[0]) < 1e-12
