@@ -44,3 +44,15 @@ def test_registered_queries_run_on_smallest_data(spark, name):
     from __spark_entry__ import queries
 
     assert queries()[name](spark, SF001).count() >= 0
+
+
+def test_tabular_dataset_float32_and_assemble(spark):
+    cfg = ForecastConfig(max_lag=3, seasonal_anchors=(1,), rolling_candidates=(3,), float32=True, layout="series")
+    ds, params, cols = tabular.tabular_dataset(fx.lineitem_daily(spark, SF001), cfg)
+    types = dict(ds.dtypes)
+    assert all(types[c] == "float" for c in cols + ["y"]) and types["y_raw"] == "double"
+    assert set(ds.select("split").distinct().toPandas()["split"]) == {"fit", "val", "test"}
+    x = tabular.assemble(ds, cols, "y")
+    assert x.select("features").first().features.size == len(cols)
+    with pytest.raises(KeyError):
+        tabular.assemble(ds, cols, "missing")
