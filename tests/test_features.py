@@ -89,3 +89,14 @@ def test_range_positions_inside_a_union(spark):
     pb = layout.range_positions(b, "series_id", "ts", out="pos", num_partitions=4)
     got = pb.unionByName(pa).toPandas().sort_values(["series_id", "ts"])
     assert (got["pos"].to_numpy() == got.groupby("series_id").cumcount().to_numpy()).all()
+
+
+def test_resolve_layout_fair_share_rule(spark):
+    par = spark.sparkContext.defaultParallelism
+    many = frame(spark, [r for k in range(20) for r in series_rows(30, f"s{k}", k)])
+    cfg = ForecastConfig(min_split_rows=50)
+    assert layout.resolve_layout(many, cfg).layout == "series"  # 30 rows each, below the split floor
+    hot = frame(spark, series_rows(600, "hot", 1) + series_rows(20, "cold", 2))
+    got = layout.resolve_layout(hot, cfg)
+    assert got.layout == "blocks" and got.block_rows == max(1, min(cfg.block_rows, -(-600 // (4 * par))))
+    assert layout.resolve_layout(hot, cfg.with_(layout="series")).layout == "series"  # pinned stays

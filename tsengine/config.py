@@ -68,8 +68,12 @@ class ForecastConfig:
 
     # physical layout: series with more rows than this are processed in position blocks
     # with halos instead of one window partition per series ("auto" | "series" | "blocks")
+    # "auto" splits a series that is larger than its fair share of the work (total rows /
+    # parallelism) and than min_split_rows, and always one larger than max_rows_per_task;
+    # blocks then hold at most block_rows rows (about four blocks per core for that series)
     layout: str = "auto"
     max_rows_per_task: int = 4_000_000
+    min_split_rows: int = 200_000
     block_rows: int = 1_000_000
 
     extra: dict = field(default_factory=dict)

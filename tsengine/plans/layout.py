@@ -32,16 +32,36 @@ BLOCK = "__blk"
 HALO = "__halo"
 
 
+def series_stats(df: DataFrame, series_col: str) -> tuple[int, int]:
+    """(largest series, total rows): two scalars to the driver from one map-side-combined count."""
+    row = df.groupBy(series_col).count().agg(F.max("count").alias("m"), F.sum("count").alias("t")).first()
+    return int(row["m"] or 0), int(row["t"] or 0)
+
+
 def max_series_rows(df: DataFrame, series_col: str) -> int:
-    """Largest series size (one scalar to the driver; the count is a map-side-combined aggregate)."""
-    row = df.groupBy(series_col).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+    return series_stats(df, series_col)[0]
 
 
-def choose_layout(df: DataFrame, cfg: ForecastConfig) -> str:
+def resolve_layout(df: DataFrame, cfg: ForecastConfig) -> ForecastConfig:
+    """Decide "auto" once and pin it (with a block size) for the downstream operators.
+
+    A series is split into blocks when it is larger than its fair share of the work
+    (total rows / parallelism) and than ``min_split_rows``, and always when it is larger than
+    ``max_rows_per_task``: one hot key can then never become the straggler task.
+    """
     if cfg.layout in ("series", "blocks"):
-        return cfg.layout
-    return "blocks" if max_series_rows(df, cfg.series_col) > cfg.max_rows_per_task else "series"
+        return cfg
+    biggest, total = series_stats(df, cfg.series_col)
+    par = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    threshold = min(cfg.max_rows_per_task, max(cfg.min_split_rows, total // par))
+    if biggest <= threshold:
+        return cfg.with_(layout="series")
+    block = max(1, min(cfg.block_rows, -(-biggest // (4 * par))))
+    return cfg.with_(layout="blocks", block_rows=block)
+
+
+def choose_layout(df: DataFrame, cfg: ForecastConfig) -> str:
+    return resolve_layout(df, cfg).layout
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -122,9 +142,9 @@ def features_by_layout(df: DataFrame, cfg: ForecastConfig) -> DataFrame:
     from tsengine.operators.features import add_calendar, feature_exprs, feature_reach
 
     s, t = cfg.series_col, cfg.time_col
-    layout = choose_layout(df, cfg)
+    cfg = resolve_layout(df, cfg)
     base = add_calendar(df, t)
-    if layout == "series":
+    if cfg.layout == "series":
         w = Window.partitionBy(s).orderBy(t)
         return base.select("*", *feature_exprs(cfg, w))
     reach = feature_reach(cfg)
@@ -150,11 +170,6 @@ def positions_and_counts(df: DataFrame, cfg: ForecastConfig, pos: str = POS, n:
     return positioned.join(lengths, s, "left")
 
 
-def resolve_layout(df: DataFrame, cfg: ForecastConfig) -> ForecastConfig:
-    """Decide "auto" once (on the cheapest frame available) and pin it for the downstream operators."""
-    return cfg if cfg.layout in ("series", "blocks") else cfg.with_(layout=choose_layout(df, cfg))
-
-
 def partition_blocks(df: DataFrame, series_col: str, time_col: str, num_partitions: int | None = None) -> DataFrame:
     """Balanced contiguous (series, ts) blocks, materialised, block id in ``__blk``."""
     return range_checkpoint(df, series_col, time_col, num_partitions, sort=False)
