@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing
+from . import chat_format, html_extract, line_dedup, packing, secret_scan
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,18 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_line_dedup)}
+def op7_chat_format(spark, sf_dir):
+    return chat_format.digest(read(spark, sf_dir, "conversations"))
 
-ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE}
+
+def op8_html_extract(spark, sf_dir):
+    return html_extract.digest(read(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark, sf_dir):
+    return secret_scan.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan)}
+
+ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op8_html_extract": html_extract.ORACLE, "op9_secret_scan": secret_scan.ORACLE}
