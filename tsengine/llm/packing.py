@@ -13,6 +13,9 @@ length and task are summed in order.
 from __future__ import annotations
 
 import heapq
+import os
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -25,16 +28,30 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-CACHE_WORDS = 400_000
+CACHE_UNITS = 800_000
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth")])
 
 
+# The letters, numbers and white space below U+0100 by their Unicode categories.
+LETTERS, NUMBERS, SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The vocabulary's character for each byte: printable Latin-1 stands for itself, the others for
+    the characters from U+0100 on, in order."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
-    """Ids of white-space separated words as little-endian bytes, remembered for repeated words.
+    """Ids of a text as little-endian bytes, from remembered ids of its units.
 
-    The tokenizer drops white space before it looks at anything else, so a text's ids are those of
-    its words one after the other. Only U+0020 and U+000A separate here; words with other white
-    space in them are left to the tokenizer.
+    The tokenizer puts texts in lower case, drops white space and merges inside units only: runs of
+    letters, single numbers, runs of other signs, and endings such as 's. So a text's ids are those
+    of its units. Texts of characters up to U+00FF, where normal forms and lower case need no
+    context, are cut by UNITS; any other text is cut at spaces and line feeds alone.
     """
 
     def __init__(self, path: str):
@@ -42,20 +59,42 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def units_ids(self, units: list[str], cut: bool):
+        if not cut:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return [[t.id for t in self.model.tokenize(u if u.isascii() and u.isprintable() else u.encode().decode("latin-1").translate(self.letters))] for u in units]
+
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        try:
+            text.encode("latin-1")
+            cut = True
+        except UnicodeEncodeError:
+            cut = False
+        units = UNITS.findall(text.lower()) if cut else text.replace("\n", " ").split(" ")
         known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > CACHE_WORDS:
+        try:
+            return b"".join(map(known.__getitem__, units))
+        except KeyError:
+            if len(known) > CACHE_UNITS:
                 known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            new = list({u for u in units if u not in known})
+            for u, ids in zip(new, self.units_ids(new, cut), strict=True):
+                known[u] = struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join(map(known.__getitem__, units))
+
+
+_open: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The process's own tokenizer, which the tasks of a worker share."""
+    if path not in _open:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _open[path] = WordIds(path)
+    return _open[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 1) -> DataFrame:
@@ -63,12 +102,9 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int
     ``end_id``, cut after every ``max_tokens``."""
 
     def cut(batches):
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, task, seen, end = WordIds(tokenizer), TaskContext.get().partitionId(), Counter(), np.asarray([end_id], "<u4").tobytes()
+        ids, task, seen, end = word_ids(tokenizer), TaskContext.get().partitionId(), Counter(), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
