@@ -65,3 +65,20 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     _, offsets = utf8(batch.column(column))
     for a, b in slices(np.diff(offsets), limit):
         yield batch.slice(a, b - a)
+
+
+def bit_array(hashes: DataFrame, bits: int = 1 << 23) -> np.ndarray:
+    """A bit array of fixed size (bits / 8 bytes, also when it is sent) with the bit of every value
+    of the long column ``h`` set. It can tell that a value is missing, never that it is there."""
+    at = F.pmod(F.col("h"), F.lit(bits))
+    rows = hashes.select(F.floor(at / 32768).cast("int").alias("part"), (at % 32768 + 1).alias("at")).repartition("part")
+    parts = rows.groupBy("part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # at most bits / 32768 rows of 4 KB
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bitmap, np.uint8)
+    return out
+
+
+def in_bits(array: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.view(np.int64) % (len(array) * 8)
+    return (array[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

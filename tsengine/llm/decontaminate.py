@@ -16,28 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, stored, text_slices
+from .common import U64, bit_array, in_bits, mix, stored, text_slices
 from .words import ALNUM, Words
 
 WINDOW, SHINGLE = 10, 3
-BITS = 1 << 23
-
-
-def bit_array(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bytes of a bit array with a bit for each value of the long column ``h``: always bits / 8."""
-    at = F.pmod(F.col("h"), F.lit(bits))
-    parts = hashes.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at % 32768 + 1)).alias("bitmap"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in parts.collect():  # at most bits / 32768 rows of 4 KB
-        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bitmap, np.uint8)
-    return out
-
-
-def in_bits(array: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h.view(np.int64) % (len(array) * 8)).astype(np.int64)
-    return (array[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 def shingles(words: Words, hashes: np.ndarray, sizes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By size: hash of the shingle from each word on, and whether it fits."""
     return {k: (lambda h, ok: (mix(h ^ U64(k)), ok))(*words.windows(hashes, k)) for k in sizes}
@@ -80,7 +62,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     parts = stored(cut.select("item_id", "at", "size", "words", F.size("shingles").alias("n"), F.inline("shingles")), "window-shingles")
     sizes = sorted(min(r.size, SHINGLE) for r in cut.select("size").distinct().collect())  # at most ``window`` sizes
     sizes = sorted(set(sizes))
-    known = spark.sparkContext.broadcast(bit_array(parts.select("h").distinct()))
+    known = spark.sparkContext.broadcast(bit_array(parts.select("h")))
 
     def count(batches):
         for batch in batches:
@@ -95,7 +77,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     seen = stored(docs.select("text").mapInArrow(count, "h LONG, n LONG").groupBy("h").agg(F.sum("n").alias("seen")), "shingle-counts")
     rarest = parts.join(seen, "h").groupBy("item_id", "at", "size", "words", "n").agg(F.count("*").alias("present"), F.min(F.struct("seen", "h", "offset")).alias("rare"))
     prefixes = stored(rarest.filter("present = n").select("item_id", "size", "words", "rare.h", "rare.offset"), "prefixes")
-    rare = spark.sparkContext.broadcast(bit_array(prefixes.select("h").distinct()))
+    rare = spark.sparkContext.broadcast(bit_array(prefixes.select("h")))
 
     def places(batches):
         for batch in batches:

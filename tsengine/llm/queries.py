@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, html_extract, line_dedup, packing, secret_scan
+from . import chat_format, decontaminate, embedding_dedup, html_extract, line_dedup, packing, secret_scan, simhash, substring_dedup, toxicity
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -14,10 +14,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark, sf_dir):
+    return simhash.digest(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -34,6 +50,20 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan)}
+def op10_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.digest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan, op10_embedding_dedup)
+}
 
-ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op8_html_extract": html_extract.ORACLE, "op9_secret_scan": secret_scan.ORACLE}
+#: Substring dedup, SimHash, packing, toxicity and embeddings are tested against brute force instead.
+ORACLE_SQL = {
+    "op5_decontamination": decontaminate.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op7_chat_format": chat_format.ORACLE,
+    "op8_html_extract": html_extract.ORACLE,
+    "op9_secret_scan": secret_scan.ORACLE,
+}
