@@ -1,11 +1,66 @@
-"""Corpus pipeline: documents through toxicity, line dedup, near-dedup, decontamination, packing."""
+"""Corpus pipeline: documents lose toxic texts, shared lines, near copies and benchmark passages, and
+are packed into sequences.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's ``docs``. Tables beside the documents are read from ``sf_dir``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tsengine.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from tsengine.llm.common import read, stored
+from tsengine.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, learned from the labels, doesn't call toxic."""
+    grammar = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, grammar)
+    return scored.filter("predicted = 0").select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them share; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by fingerprints within 3 bits."""
+    return simhash.dedup(docs, words=3, distance=3).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids, by sequence and offset."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL has no finite-state grammar, fingerprints of XXH64 or tokenizer; tests/llm compares each stage
+#: with a brute-force version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage is not STAGES[-1][1]:
+            docs = stored(docs, name)
     return docs
