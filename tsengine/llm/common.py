@@ -32,6 +32,14 @@ def with_columns(df: DataFrame, **cols) -> DataFrame:
     return df.select(*kept, *(c.alias(n) for n, c in cols.items()))
 
 
+def apart(df: DataFrame, *names: str):
+    """``df`` with its columns of these names set aside under other names, and a function that takes
+    a frame that kept them back to exactly the columns of ``df``."""
+    other = {c: f"__own_{c}" for c in df.columns if c.lower() in {n.lower() for n in names}}
+    back = lambda out: out.select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns))
+    return df.withColumnsRenamed(other), back
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
