@@ -11,20 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.llm import decontaminate, line_dedup, packing, simhash, toxicity
-from tsengine.llm.common import read, stored
+from tsengine.llm.common import apart, read, stored
 from tsengine.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, learned from the labels, doesn't call toxic."""
     grammar = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, grammar)
-    return scored.filter("predicted = 0").select(docs.columns)
+    own, back = apart(docs, "score", "predicted")
+    return back(toxicity.score_documents(own, grammar).filter("predicted = 0"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them share; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    own, back = apart(docs, "n_lines", "n_dropped")
+    out = back(line_dedup.dedup_lines(own))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
