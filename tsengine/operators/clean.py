@@ -16,15 +16,27 @@ from pyspark.sql import functions as F
 from tsengine.config import ForecastConfig
 from tsengine.functions.columns import micros_between, nan_to_null, numeric_or_null
 from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, resolve_layout
-from tsengine.sources.files import require_columns
+from tsengine.sources.files import INPUT_ORDER, require_columns
 
 
 def _keys(by: str | Sequence[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def parse_ts(df: DataFrame, col: str, fmt: str = "yyyy-MM-dd HH:mm:ss", out: str = "ts") -> DataFrame:
-    """Parse ``col`` with one explicit pattern into TIMESTAMP_NTZ; unparseable rows are dropped."""
+def _wall_clock(text, fmt: str):
+    """TIMESTAMP_NTZ of a text, the same in every session zone: read as UTC and counted from 1970."""
+    instant = F.unix_micros(F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(fmt + " XXX")))
+    seconds = (instant / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def parse_ts(df: DataFrame, col: str, fmt: str | Sequence[str] = "yyyy-MM-dd HH:mm:ss", out: str = "ts", on_unparsed: str = "drop") -> DataFrame:
+    """Parse ``col`` with explicit patterns (the first that fits) into TIMESTAMP_NTZ.
+
+    Rows without a stamp that parses are dropped. ``on_unparsed="error"`` raises if there are rows
+    but not one of them parses, which is a wrong pattern rather than bad rows (one more pass over
+    ``col`` alone).
+    """
     require_columns(df, [col])
     dtype = dict(df.dtypes)[col]
     if dtype == "timestamp_ntz":
@@ -32,7 +44,11 @@ def parse_ts(df: DataFrame, col: str, fmt: str = "yyyy-MM-dd HH:mm:ss", out: str
     elif dtype in ("timestamp", "date"):
         parsed = F.col(col).cast("timestamp_ntz")
     else:
-        parsed = F.try_to_timestamp(F.col(col).cast("string"), F.lit(fmt)).cast("timestamp_ntz")
+        parsed = F.coalesce(*[_wall_clock(F.col(col).cast("string"), f) for f in ([fmt] if isinstance(fmt, str) else fmt)])
+    if on_unparsed == "error":
+        seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(parsed).alias("parsed")).first()
+        if seen["rows"] and not seen["parsed"]:
+            raise ValueError(f"None of {seen['rows']} values of {col!r} fits the time format {fmt!r}")
     rest = [c for c in df.columns if c not in (col, out)]
     return df.select(*rest, parsed.alias(out)).filter(F.col(out).isNotNull())
 
@@ -79,15 +95,19 @@ def interpolate_time(
     by: str | Sequence[str] = "series_id",
     time_col: str = "ts",
     carry: dict | None = None,
+    cfg: ForecastConfig | None = None,
 ) -> DataFrame:
     """Linear interpolation in elapsed time between the nearest known neighbours.
 
     Leading gaps take the first known value and trailing gaps the last known value (both
     directions are filled). ``carry`` (used by the block layout) maps each column to a pair of
     columns holding the last known ``(ts, v)`` before and first known ``(ts, v)`` after the
-    partition, so edges of a block see neighbours outside it.
+    partition, so edges of a block see neighbours outside it. With a ``cfg`` whose layout is or turns
+    out "blocks", a series too large for one task is filled in blocks, with equal values.
     """
     by = _keys(by)
+    if carry is None and _in_blocks(df, by, time_col, cfg):
+        return _fill_blocks(df, cols, by[0], time_col, "interpolate")
     fwd, bwd = _running(by, time_col), _running(by, time_col, descending=True)
     t = F.col(time_col)
     neighbours = []
@@ -130,9 +150,13 @@ def fill_edges(
     by: str | Sequence[str] = "series_id",
     time_col: str = "ts",
     mode: str = "ffill_bfill",
+    cfg: ForecastConfig | None = None,
 ) -> DataFrame:
-    """Forward fill, then backward fill (``mode="ffill"`` stops after the forward pass)."""
+    """Forward fill, then backward fill (``mode="ffill"`` stops after the forward pass); ``cfg`` as in
+    :func:`interpolate_time`."""
     by = _keys(by)
+    if _in_blocks(df, by, time_col, cfg):
+        return _fill_blocks(df, cols, by[0], time_col, mode)
     fwd, bwd = _running(by, time_col), _running(by, time_col, descending=True)
     out = df.select(
         *[F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(fwd)).alias(c) if c in cols else F.col(c) for c in df.columns]
@@ -149,6 +173,30 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.na.drop("any", subset=list(cols) if cols else None)
 
 
+def _in_blocks(df: DataFrame, by: list[str], time_col: str, cfg: ForecastConfig | None) -> bool:
+    return cfg is not None and len(by) == 1 and resolve_layout(df, cfg.with_(series_col=by[0], time_col=time_col)).layout == "blocks"
+
+
+def _fill_blocks(df: DataFrame, cols: Sequence[str], s: str, t: str, mode: str) -> DataFrame:
+    """Gap filling for series too large for one task: contiguous range blocks, with the nearest
+    known neighbours outside each block carried in from a small per-block table."""
+    blocked = partition_blocks(df, s, t)
+    carried = edge_carry(blocked, list(cols), s, t).select(F.col(s).alias("__s"), F.col(BLOCK).alias("__b"), *[f"__{k}_{c}" for c in cols for k in ("prev", "next")])
+    joined = blocked.join(carried, F.col(s).eqNullSafe(F.col("__s")) & (F.col(BLOCK) == F.col("__b")), "left").drop("__s", "__b")
+    if mode == "interpolate":
+        carry = {c: ((f"__prev_{c}.t", f"__prev_{c}.v"), (f"__next_{c}.t", f"__next_{c}.v")) for c in cols}
+        return interpolate_time(joined, cols, by=[s, BLOCK], time_col=t, carry=carry).select(df.columns)
+    fwd, bwd = _running([s, BLOCK], t), _running([s, BLOCK], t, descending=True)
+
+    def filled(c):
+        known = [F.col(c), F.last(c, ignorenulls=True).over(fwd), F.col(f"__prev_{c}.v")]
+        if mode != "ffill":
+            known += [F.last(c, ignorenulls=True).over(bwd), F.col(f"__next_{c}.v")]
+        return F.coalesce(*known).alias(c)
+
+    return joined.select(*[filled(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def _all_null_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     row = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
     return [c for c in cols if row[c] == 0]
@@ -159,7 +207,7 @@ def clean_series(
     cfg: ForecastConfig = ForecastConfig(),
     value_cols: Sequence[str] | None = None,
     time_raw: str | None = None,
-    fmt: str = "yyyy-MM-dd HH:mm:ss",
+    fmt: str | Sequence[str] = "yyyy-MM-dd HH:mm:ss",
     tie_break: Sequence[str] | None = None,
     fill: str = "both",
     on_all_null: str = "empty",
@@ -167,28 +215,30 @@ def clean_series(
     """Raw rows -> one clean row per (series, timestamp) with complete DOUBLE values.
 
     Steps: parse the time column (``time_raw`` -> ``cfg.time_col``), drop unparseable stamps,
-    keep the last row per timestamp (``tie_break`` order), coerce values to DOUBLE, interpolate
+    keep the last row per timestamp (``tie_break`` order; by default the input order that ``land_csv``
+    stored, else the largest row, which is at least deterministic), coerce values to DOUBLE, interpolate
     in time, forward/backward fill, drop rows that are still incomplete.
 
     ``fill="both"`` interpolates with future neighbours (the reference behaviour; it reads values
     after a later train/test split point). ``fill="causal"`` only carries values forward.
     ``on_all_null``: "empty" keeps the reference behaviour (an all-null column empties the
-    result), "drop_column" removes such columns, "error" raises.
+    result), "drop_column" removes such columns, "error" raises. Rows without a single stamp that
+    parses raise: the pattern is wrong.
     """
     s, t = cfg.series_col, cfg.time_col
     time_raw = time_raw or t
     require_columns(df, [s, time_raw])
+    if tie_break is None and INPUT_ORDER in df.columns:
+        tie_break = [INPUT_ORDER]
     if value_cols is None:
         value_cols = [c for c in df.columns if c not in (s, time_raw, *(tie_break or []))]
     require_columns(df, value_cols)
     layout = resolve_layout(df, cfg).layout  # decided on the raw rows (an upper bound of the clean size)
-    out = parse_ts(df, time_raw, fmt, out=t)
+    out = parse_ts(df, time_raw, fmt, out=t, on_unparsed="error")
     if layout == "series":
         # one shuffle by series serves both the dedup aggregate (clustered by series, ts) and
         # the per-series windows; duplicates are rare, so a map-side combine would save little
         out = out.repartition(s)
-    # the reference keeps the last of duplicated stamps; without an explicit order the largest
-    # row wins, which is at least deterministic
     out = dedup_last(out, [s, t], list(tie_break) if tie_break else list(value_cols))
     out = out.select(s, t, *value_cols)
     out = coerce_numeric(out, value_cols)
@@ -198,30 +248,12 @@ def clean_series(
             raise ValueError(f"Columns could not be parsed at all: {dead}")
         value_cols = [c for c in value_cols if c not in dead]
         out = out.select(s, t, *value_cols)
+    # two-sided interpolation leaves NULL only where a series has no known value at all, which a
+    # forward/backward fill cannot repair either, so that pass (two more sorts) is skipped
     if layout == "blocks":
-        return _clean_blocks(out, value_cols, s, t, fill)
-    if fill == "causal":
+        out = _fill_blocks(out, value_cols, s, t, "ffill" if fill == "causal" else "interpolate")
+    elif fill == "causal":
         out = fill_edges(out, value_cols, by=s, time_col=t, mode="ffill")
     else:
-        # two-sided interpolation leaves NULL only where a series has no known value at all, which
-        # a forward/backward fill cannot repair either, so that pass (two more sorts) is skipped
         out = interpolate_time(out, value_cols, by=s, time_col=t)
     return drop_incomplete(out, value_cols)
-
-
-def _clean_blocks(out: DataFrame, value_cols: Sequence[str], s: str, t: str, fill: str) -> DataFrame:
-    """Gap filling for series too large for one task: contiguous range blocks, with the nearest
-    known neighbours outside each block carried in from a small per-block table."""
-    blocked = partition_blocks(out, s, t)
-    carry_tbl = edge_carry(blocked, list(value_cols), s, t)
-    joined = blocked.join(carry_tbl, [s, BLOCK], "left")
-    if fill == "causal":
-        fwd = _running([s, BLOCK], t)
-        filled = joined.select(
-            s, t, *[F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(fwd), F.col(f"__prev_{c}.v")).alias(c) for c in value_cols]
-        )
-    else:
-        carry = {c: ((f"__prev_{c}.t", f"__prev_{c}.v"), (f"__next_{c}.t", f"__next_{c}.v")) for c in value_cols}
-        filled = interpolate_time(joined, value_cols, by=[s, BLOCK], time_col=t, carry=carry).select(s, t, *value_cols)
-    # after two-sided interpolation only all-null columns stay null: ffill/bfill has nothing left
-    return drop_incomplete(filled, value_cols)

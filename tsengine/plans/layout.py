@@ -7,11 +7,9 @@ all lag/rolling columns in one Window operator. A task holds one whole series.
 
 1. Row positions without a per-series window: ``repartitionByRange(series, ts)`` splits even a
    single hot series across many balanced partitions; the range-sorted frame is checkpointed
-   to the shared checkpoint folder (stable partitions for the two passes below, lineage cut,
-   survives executor loss). A grouped count per (partition, series) gives each partition's
-   starting offset for the series that continues into it; only those boundary offsets (at most
-   one per partition, so the broadcast is bounded by the partition count) are broadcast. A
-   ``mapInPandas`` pass then adds the running count inside each partition.
+   to the shared checkpoint folder with each row's partition and index (stable for all later passes,
+   lineage cut, survives executor loss). A grouped count per (partition, series) says where a series
+   starts in a partition and how many of its rows came before; an equi-join adds that to the index.
 2. Position blocks of ``block_rows`` rows. The last ``reach`` rows of every block are copied into
    the next block as a halo, so a window partitioned by ``(series, block)`` sees every row a lag
    or rolling frame needs. Halo rows are dropped afterwards. Tasks are bounded by
@@ -22,7 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsengine.config import ForecastConfig
 from tsengine.session import materialize
@@ -38,10 +35,6 @@ def series_stats(df: DataFrame, series_col: str) -> tuple[int, int]:
     return int(row["m"] or 0), int(row["t"] or 0)
 
 
-def max_series_rows(df: DataFrame, series_col: str) -> int:
-    return series_stats(df, series_col)[0]
-
-
 def resolve_layout(df: DataFrame, cfg: ForecastConfig) -> ForecastConfig:
     """Decide "auto" once and pin it (with a block size) for the downstream operators.
 
@@ -70,62 +63,38 @@ def _num_partitions(df: DataFrame) -> int:
     return max(shuffle, spark.sparkContext.defaultParallelism)
 
 
-def range_checkpoint(df: DataFrame, series_col: str, time_col: str, num_partitions: int | None = None, sort: bool = True) -> DataFrame:
+INDEX_BITS = 33  # monotonically_increasing_id holds the partition above them, the row's index below
+
+
+def range_checkpoint(df: DataFrame, series_col: str, time_col: str, num_partitions: int | None = None, sort: bool = True, index: str | None = None) -> DataFrame:
     """Range-partition by (series, ts) and checkpoint, stamping each row's range partition into
-    ``__blk`` *inside the checkpoint job*: the partition id is stored data, so it stays right when
-    the frame is later read inside a union (where task partition ids are shifted)."""
+    ``__blk`` (and its place in it into ``index``) *inside the checkpoint job*: both are stored data,
+    so they stay right when the frame is later read inside a union (where task partition ids shift)."""
     n_parts = num_partitions or _num_partitions(df)
     ranged = df.repartitionByRange(n_parts, F.col(series_col), F.col(time_col))
     if sort:
         ranged = ranged.sortWithinPartitions(series_col, time_col)
-    return materialize(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+    stamped = ranged.withColumn("__id", F.monotonically_increasing_id())
+    stamped = stamped.withColumn(BLOCK, F.shiftright("__id", INDEX_BITS))
+    if index:
+        stamped = stamped.withColumn(index, F.col("__id").bitwiseAND(F.lit((1 << INDEX_BITS) - 1)))
+    return materialize(stamped.drop("__id"))
 
 
 def range_positions(df: DataFrame, series_col: str, time_col: str, out: str = POS, num_partitions: int | None = None) -> DataFrame:
-    """0-based position of every row within its series, safe for arbitrarily large series."""
-    ranged = range_checkpoint(df, series_col, time_col, num_partitions)
-    n_parts = num_partitions or _num_partitions(df)
+    """0-based position of every row within its series, safe for arbitrarily large series.
 
-    counts = ranged.groupBy(F.col(BLOCK).alias("pid"), F.col(series_col).alias("sid")).count()
-    before = Window.partitionBy("sid").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        counts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .filter(F.col("offset") > 0)
-        .select("pid", "sid", "offset")
-    )
-    # at most one continuing series per partition: bounded by the partition count
-    boundary = {(int(r["pid"]), r["sid"]): int(r["offset"]) for r in offsets.limit(n_parts + 1).collect()}
-    if len(boundary) > n_parts:
-        raise RuntimeError("range_positions: more boundary offsets than partitions")
-    bc = df.sparkSession.sparkContext.broadcast(boundary)
-    schema = T.StructType(ranged.schema.fields + [T.StructField(out, T.LongType(), False)])
-
-    def number(batches):
-        import numpy as np
-
-        offs = bc.value
-        last_sid, running = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf[BLOCK].iloc[0])
-            sid = pdf[series_col]
-            first_of_run = sid.ne(sid.shift()).to_numpy()
-            run_id = first_of_run.cumsum()
-            idx_in_run = pdf.groupby(run_id, sort=False).cumcount().to_numpy()
-            base = np.zeros(len(pdf), dtype=np.int64)
-            # the first run of the batch may continue the previous batch's series, or a series
-            # that started in an earlier partition
-            first_sid = sid.iloc[0]
-            if last_sid is not None and first_sid == last_sid:
-                base[run_id == run_id[0]] = running
-            elif last_sid is None:
-                base[run_id == run_id[0]] = offs.get((pid, first_sid), 0)
-            pos = base + idx_in_run
-            last_sid, running = sid.iloc[-1], int(pos[-1]) + 1
-            yield pdf.assign(**{out: pos})
-
-    return ranged.mapInPandas(number, schema).drop(BLOCK)
+    A row's position is its stored index in its range partition, less the index at which its series
+    starts there, plus the rows of that series in earlier partitions. The last two are one number per
+    (partition, series), from a grouped count; the join on both keys is measured at run time.
+    """
+    ranged = range_checkpoint(df, series_col, time_col, num_partitions, index="__at")
+    runs = ranged.groupBy(F.col(BLOCK).alias("__pid"), F.col(series_col).alias("__sid")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy("__sid").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+    shifts = runs.select("__pid", "__sid", shift)
+    placed = ranged.join(shifts, (F.col(BLOCK) == F.col("__pid")) & F.col(series_col).eqNullSafe(F.col("__sid")))
+    return placed.select(*df.columns, (F.col("__at") + F.col("__shift")).cast("bigint").alias(out))
 
 
 def halo_blocks(df: DataFrame, block_rows: int, reach: int, pos_col: str = POS) -> DataFrame:
@@ -138,7 +107,8 @@ def halo_blocks(df: DataFrame, block_rows: int, reach: int, pos_col: str = POS)
     return out.withColumn(HALO, F.col(BLOCK) != F.col("__own")).drop("__own")
 
 
-def features_by_layout(df: DataFrame, cfg: ForecastConfig) -> DataFrame:
+def features_by_layout(df: DataFrame, cfg: ForecastConfig, keep_position: bool = False) -> DataFrame:
+    """Calendar, lag and rolling columns; ``keep_position`` leaves ``__pos`` in the blocks layout."""
     from tsengine.operators.features import add_calendar, feature_exprs, feature_reach
 
     s, t = cfg.series_col, cfg.time_col
@@ -153,7 +123,7 @@ def features_by_layout(df: DataFrame, cfg: ForecastConfig) -> DataFrame:
     blocked = halo_blocks(positioned, block_rows, reach)
     w = Window.partitionBy(s, BLOCK).orderBy(t)
     out = blocked.select("*", *feature_exprs(cfg, w)).filter(~F.col(HALO))
-    return out.drop(POS, BLOCK, HALO)
+    return out.drop(BLOCK, HALO) if keep_position else out.drop(POS, BLOCK, HALO)
 
 
 def positions_and_counts(df: DataFrame, cfg: ForecastConfig, pos: str = POS, n: str = "__n") -> DataFrame:
