@@ -94,6 +94,7 @@ def tune_blend(
     Output: ``(*by, weight, rmse)``; with no rows the weight is 0.5 and rmse NULL.
     """
     by = list(by)
+    df = df.filter(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())  # one set of rows for all three means
     e = F.col(y) - F.col(b)
     d = F.col(a) - F.col(b)
     stats = [F.avg(e * e).alias("__ee"), F.avg(e * d).alias("__ed"), F.avg(d * d).alias("__dd")]

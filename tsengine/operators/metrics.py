@@ -49,8 +49,9 @@ def forecast_metrics(
 ) -> DataFrame:
     """Long metric records ``(*by, model, metric, value)`` for every prediction column.
 
-    One grouped aggregate computes all partial sums for all models (map-side combine), so the
-    cost is one pass whatever the number of models. ``by=[]`` pools everything (a global
+    All models are scored on the same rows: those where the truth and every prediction are there.
+    The metric ``n`` is their number. One grouped aggregate computes all partial sums for all models
+    (map-side combine), so the cost is one pass whatever the number of models. ``by=[]`` pools everything (a global
     aggregate), ``by=["series_id"]`` gives per-series metrics.
     """
     by = _keys(by)
@@ -59,6 +60,10 @@ def forecast_metrics(
     aggs = []
     for name, col in pmap.items():
         aggs += _partials(name, yc, as_col(col).cast("double"))
+    common = yc.isNotNull()
+    for col in pmap.values():
+        common = common & as_col(col).isNotNull()
+    df = df.filter(common)
     grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     recs = []
     for name in pmap:
@@ -69,6 +74,7 @@ def forecast_metrics(
             "mae": c("mae"),
             "mape": c("ape") * F.lit(100.0),
             "r2": _r2(c("ssr"), c("sst"), c("n")),
+            "n": c("n"),
         }
         for m in metrics:
             recs.append(F.struct(F.lit(name).alias("model"), F.lit(m).alias("metric"), values[m].cast("double").alias("value")))
@@ -84,9 +90,13 @@ def compare_models(metrics: DataFrame, order: Sequence[str] = PREFERRED, extra:
 
 
 def assert_complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Raise when any listed column has NULLs (SQL aggregates would silently skip them)."""
-    row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-    bad = {c: row[c] for c in cols if row[c]}
-    if bad:
-        raise ValueError(f"Columns have missing values after alignment: {bad}")
+    """Raise when there are no rows, or a listed column has NULLs (which SQL aggregates would skip),
+    NaN or infinite values (which would take over every average)."""
+    x = lambda c: F.col(c).cast("double")
+    odd = lambda c: F.col(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.when(odd(c), 1)).alias(c) for c in cols]).first()
+    if not row["__n"]:
+        raise ValueError("No rows to score: the forecasts have nothing in common")
+    if bad := {c: row[c] for c in cols if row[c]}:
+        raise ValueError(f"Columns have missing or non-finite values after alignment: {bad}")
     return df

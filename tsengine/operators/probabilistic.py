@@ -6,10 +6,11 @@ array expressions on the window rows (no shuffle, no Python):
 * ``analog``: path j repeats the season that ended j seasons before the forecast origin:
   ``y[j, h] = ctx[L - j*S + (h mod S)]`` for ``j = 1..min(num_samples, L div S)``.
 * ``bootstrap``: the seasonal-naive path plus seasonal residuals ``ctx[t] - ctx[t - S]`` drawn
-  by a hash of (series, window, sample, step, seed): deterministic and independent of how the
-  rows are partitioned.
-* ``plugin``: any user scorer ``fn(contexts, horizon, num_samples, seed) -> array[B, S, H]`` run
-  with ``mapInPandas`` on Arrow batches, ``batch_size`` contexts per call.
+  by integer arithmetic on (series, window, sample, step, seed): deterministic, independent of how
+  the rows are partitioned, and repeatable in any SQL.
+* ``plugin``: any user scorer ``fn(contexts, horizon, num_samples, seed)`` run with ``mapInPandas``
+  on Arrow batches, ``batch_size`` contexts per call. It returns one array (samples x horizon) for
+  each context; the numbers of samples may differ, and 0 rows mean none.
 """
 
 from __future__ import annotations
@@ -21,11 +22,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsengine.config import ForecastConfig
-from tsengine.operators.windows import truncate_context
+from tsengine.operators.windows import truncate_context, window_keys
 
 SAMPLES = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
+DRAW_MODULUS = 2_147_483_647
+
+
+def draw_number(key, window, sample, step, seed: int):
+    """A number below DRAW_MODULUS for each draw; all products stay below 2**63."""
+    m = F.lit(DRAW_MODULUS).cast("long")
+    mixed = F.pmod(key + window.cast("long") * 7919 + sample * 104_729 + step * 1_299_709 + F.lit(seed).cast("long") * 15_485_863, m)
+    squared = F.pmod(mixed * mixed + 12_345, m)
+    turned = F.pmod(squared * 48_271, m)
+    return F.pmod(turned * turned + mixed, m)
+
+
 def _check(num_samples: int, confidence: float | None = None) -> None:
     if num_samples <= 0:
         raise ValueError("num_samples must be > 0")
@@ -45,11 +58,15 @@ def sample_paths(
 ) -> DataFrame:
     """Add ``samples ARRAY<ARRAY<DOUBLE>>`` (sample x step) to every window row."""
     method = method or cfg.sampler
-    J = int(num_samples or cfg.num_samples)
-    S = int(season_length or cfg.season_length)
+    J = int(cfg.num_samples if num_samples is None else num_samples)
+    S = int(cfg.season_length if season_length is None else season_length)
     seed = cfg.seed if seed is None else int(seed)
     H = cfg.prediction_length
     _check(J)
+    if S < 1:
+        raise ValueError("season_length must be >= 1")
+    if method in ("analog", "bootstrap") and cfg.context_length < S + (method == "bootstrap"):
+        raise ValueError(f"context_length {cfg.context_length} holds no season of {S} rows to sample from")
     df = truncate_context(windows, cfg.context_length)
     if "horizon" in df.columns:
         steps = F.size("horizon")
@@ -66,11 +83,10 @@ def sample_paths(
         return df.withColumn("samples", F.when(n_paths >= 1, paths).otherwise(F.array().cast(SAMPLES)))
     if method == "bootstrap":
         n_res = L - F.lit(S)
-        sid = F.col("series_id").cast("string")
-        wid = F.col("window_id")
+        key = F.conv(F.substring(F.md5(F.col(cfg.series_col).cast("string")), 1, 7), 16, 10).cast("long")
 
         def draw(j, h):
-            t = F.lit(S) + F.pmod(F.xxhash64(sid, wid, j, h, F.lit(seed)), n_res.cast("long")).cast("int")
+            t = F.lit(S) + F.pmod(draw_number(key, F.col("window_id"), j, h, seed), n_res.cast("long")).cast("int")
             return F.get(ctx, L - S + h % S) + (F.get(ctx, t) - F.get(ctx, t - S))
 
         paths = F.transform(F.sequence(F.lit(1), F.lit(J)), lambda j: F.transform(F.sequence(F.lit(0), steps - 1), lambda h: draw(j, h)))
@@ -93,12 +109,16 @@ def _plugin(df: DataFrame, fn: Callable, H: int, J: int, seed: int, batch_size:
             ctxs = [np.asarray(c, dtype=np.float64) for c in pdf["ctx"]]
             for start in range(0, len(ctxs), batch_size):
                 chunk = ctxs[start : start + batch_size]
-                arr = np.asarray(fn(chunk, H, J, seed), dtype=np.float64)
-                if arr.ndim == 2:  # one sample per context
-                    arr = arr[:, None, :]
-                if arr.ndim != 3 or arr.shape[0] != len(chunk):
-                    raise ValueError("plugin must return [batch, samples, horizon]")
-                out.extend([[list(map(float, path)) for path in paths] for paths in arr])
+                got = list(fn(chunk, H, J, seed))
+                if len(chunk) == 1 and got and np.ndim(got[0]) == 1:
+                    got = [got]  # the samples of the one context
+                if len(got) != len(chunk):
+                    raise ValueError(f"plugin returned {len(got)} results for {len(chunk)} contexts")
+                for paths in got:
+                    paths = np.asarray(paths, dtype=np.float64)
+                    if paths.size and (paths.ndim != 2 or paths.shape[1] != H):
+                        raise ValueError(f"plugin must return samples x {H} for each context, not {paths.shape}")
+                    out.append([list(map(float, path)) for path in paths])
             yield pdf.assign(samples=out)
 
     return df.mapInPandas(score, schema)
@@ -113,10 +133,10 @@ def seasonal_analog_plugin(season_length: int = 48):
         out = []
         for c in contexts:
             L = len(c)
-            J = max(1, min(num_samples, L // season_length))
             h = np.arange(horizon)
-            out.append(np.stack([c[L - j * season_length + h % season_length] for j in range(1, J + 1)]))
-        return np.stack(out) if len({o.shape for o in out}) == 1 else np.stack([o[:1] for o in out])
+            paths = [c[L - j * season_length + h % season_length] for j in range(1, min(num_samples, L // season_length) + 1)]
+            out.append(np.stack(paths) if paths else np.empty((0, horizon)))
+        return out
 
     return fn
 
@@ -134,14 +154,14 @@ def _quantile(vals, n, q: float):
 def prediction_bands(paths: DataFrame, confidence: float = 0.9) -> DataFrame:
     """Per window and step: lower median and the (1-c)/2, (1+c)/2 linear quantiles of the samples.
 
-    Output ``series_id, window_id, split, step, ts, y, median, low, high`` (one row per step).
+    Output: the window's keys, ``step, ts, y, median, low, high`` (one row per step).
     The lower median is the ``(n-1) div 2``-th order statistic (even sample counts do not
     average the two middle values).
     """
     _check(1, confidence)
     alpha = 1.0 - confidence
     lo_q, hi_q = alpha / 2.0, 1.0 - alpha / 2.0
-    keep = [c for c in ("series_id", "window_id", "split") if c in paths.columns]
+    keep = window_keys(paths)
     rows = paths.select(*keep, "samples", F.posexplode("horizon").alias("step", "h"))
     vals = F.array_sort(F.transform(F.col("samples"), lambda s: F.get(s, F.col("step"))))
     rows = rows.select(*keep, "step", F.col("h.ts").alias("ts"), F.col("h.y").alias("y"), vals.alias("v"))

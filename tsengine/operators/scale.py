@@ -17,6 +17,11 @@ from tsengine.functions.columns import safe_scale
 from tsengine.operators.clean import _keys
 
 
+def _finite(x, column: str):
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(odd, F.raise_error(F.lit(f"Column {column!r} holds NaN or infinite values; no scaler fits")).cast("double")).otherwise(x)
+
+
 def fit_scaler(
     df: DataFrame,
     cols: Sequence[str],
@@ -26,7 +31,8 @@ def fit_scaler(
 ) -> DataFrame:
     """``standard``: center = mean, scale = population std; anything else: center = min, scale = range.
 
-    A zero scale becomes 1 (constant columns stay finite). Pass ``by=[]`` for one global scaler.
+    A zero scale becomes 1 (constant columns stay finite). NaN and infinite values are refused when
+    the parameters are computed. Pass ``by=[]`` for one global scaler.
     """
     by = _keys(by)
     src = df.filter(where) if where else df
@@ -39,7 +45,7 @@ def fit_scaler(
             aggs += [F.min(x).alias(f"c{i}"), (F.max(x) - F.min(x)).alias(f"s{i}")]
     wide = src.groupBy(*by).agg(*aggs)
     entries = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("center"), safe_scale(F.col(f"s{i}")).alias("scale")) for i, c in enumerate(cols)]
+        *[F.struct(F.lit(c).alias("column"), _finite(F.col(f"c{i}"), c).alias("center"), _finite(safe_scale(F.col(f"s{i}")), c).alias("scale")) for i, c in enumerate(cols)]
     )
     return wide.select(*by, F.inline(entries))
 

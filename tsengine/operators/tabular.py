@@ -3,18 +3,21 @@ early stopping, inverse-scaled predictions and split-count / mean-gain feature i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
+from tsengine.operators.clean import drop_incomplete
 from tsengine.operators.features import build_features
 from tsengine.operators.scale import apply_scaler, fit_scaler, invert_scaler
-from tsengine.operators.split import split_chrono
+from tsengine.operators.split import split_chrono, split_index
 from tsengine.session import materialize, scratch_path
 
 
@@ -29,14 +32,17 @@ def tabular_dataset(df: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> tu
     Returns ``(scaled, params, feature_cols)``; ``scaled`` keeps the unscaled target as
     ``y_raw`` so evaluation never round-trips the truth through the scaler.
     """
-    from tsengine.plans.layout import resolve_layout
+    from tsengine.plans.layout import features_by_layout, resolve_layout
 
     cfg = resolve_layout(df, cfg)
-    feats = build_features(df, cfg)
-    flagged = split_chrono(feats, cfg.test_size, cfg.validation_ratio, by=cfg.series_col, time_col=cfg.time_col, cfg=cfg)
-    # the scaler fit and the transform both read the features: materialise them once in the
+    if cfg.layout == "blocks":
+        flagged = _flag_blocks(drop_incomplete(features_by_layout(df, cfg, keep_position=True)), cfg)
+    else:
+        flagged = split_chrono(build_features(df, cfg), cfg.test_size, cfg.validation_ratio, by=cfg.series_col, time_col=cfg.time_col)
+    # the scaler fit and the transform both read the features: they are materialised once in the
     # shared checkpoint folder (also cuts the window lineage for executor-loss recovery)
-    flagged = materialize(flagged)
+    if cfg.layout != "blocks":
+        flagged = materialize(flagged)
     cols = feature_columns(flagged, cfg)
     params = fit_scaler(flagged, cols + [cfg.target], cfg.scaler, by=cfg.series_col, where="split != 'test'")
     scaled = apply_scaler(flagged.withColumn("y_raw", F.col(cfg.target)), params, cols + [cfg.target], by=cfg.series_col)
@@ -46,6 +52,26 @@ def tabular_dataset(df: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> tu
     return scaled, params, cols
 
 
+def _flag_blocks(feats: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """Split flags from the positions that the features were built on: rows are numbered once.
+
+    Only a series' first rows lack history in complete data, so what is left of it is one run of
+    positions, told by its least position and its row count. Where a series has holes after all, the
+    rows are numbered again.
+    """
+    from tsengine.plans.layout import POS
+
+    s = cfg.series_col
+    feats = materialize(feats)
+    runs = feats.groupBy(F.col(s).alias("__s")).agg(F.min(POS).alias("__from"), F.max(POS).alias("__to"), F.count(F.lit(1)).alias("__n"))
+    if not runs.filter(F.col("__to") - F.col("__from") + 1 != F.col("__n")).isEmpty():
+        return split_chrono(feats.drop(POS), cfg.test_size, cfg.validation_ratio, by=s, time_col=cfg.time_col, cfg=cfg)
+    placed = feats.join(runs, F.col(s).eqNullSafe(F.col("__s"))).withColumn(POS, F.col(POS) - F.col("__from"))
+    k = split_index(F.col("__n"), cfg.test_size)
+    flag = F.when(F.col(POS) >= k, "test").when(F.col(POS) < split_index(k, cfg.validation_ratio), "fit").otherwise("val")
+    return placed.withColumn("split", flag).drop(POS, "__s", "__from", "__to", "__n")
+
+
 def assemble(df: DataFrame, feature_cols: Sequence[str], label: str = "y", out: str = "features") -> DataFrame:
     """Feature vector + label (``X``/``y``); errors when the label column is missing."""
     if label not in df.columns:
@@ -64,6 +90,16 @@ def early_stop(errors: Sequence[float], patience: int) -> int:
     return best
 
 
+def first_trees(model: GBTRegressionModel, k: int) -> GBTRegressionModel:
+    """The model of the first ``k`` trees: what boosting would have been after ``k`` rounds."""
+    whole, sc = model._java_obj, SparkContext._active_spark_context
+    kind = sc._jvm.org.apache.spark.ml.regression
+    trees, weights = sc._gateway.new_array(kind.DecisionTreeRegressionModel, k), sc._gateway.new_array(sc._jvm.double, k)
+    for i, (tree, weight) in enumerate(zip(list(whole.trees())[:k], model.treeWeights[:k], strict=True)):
+        trees[i], weights[i] = tree, float(weight)
+    return GBTRegressionModel(kind.GBTRegressionModel(whole.uid(), trees, weights, whole.numFeatures()))
+
+
 class GbtForecaster:
     """One pooled gradient-boosted tree model over all series' scaled rows."""
 
@@ -97,8 +133,8 @@ class GbtForecaster:
         return VectorAssembler(inputCols=self.feature_cols, outputCol="features", handleInvalid="keep").transform(df)
 
     def fit(self, scaled: DataFrame, feature_cols: Sequence[str]) -> "GbtForecaster":
-        """Fit on ``fit`` rows; pick the best iteration on ``val`` rows with the patience rule;
-        refit with that many trees (the first k trees of a seeded fit are the same trees)."""
+        """Fit on ``fit`` rows; pick the best iteration on ``val`` rows with the patience rule; keep
+        the trees up to it."""
         self.feature_cols = list(feature_cols)
         data = self.assemble(scaled.filter(F.col("split") != "test")).select("features", self.cfg.target, "split")
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -108,8 +144,8 @@ class GbtForecaster:
             model = self._estimator(self.cfg.max_iter).fit(fit_rows)
             self.val_curve = [float(e) ** 0.5 for e in model.evaluateEachIteration(val_rows, "squared")]
             best = early_stop(self.val_curve, self.cfg.patience) if self.val_curve else self.cfg.max_iter - 1
-            if best + 1 < self.cfg.max_iter:
-                model = self._estimator(best + 1).fit(fit_rows)
+            if best + 1 < len(model.trees):
+                model = first_trees(model, best + 1)
             self.model, self.best_iteration = model, best
         finally:
             data.unpersist()
@@ -118,7 +154,7 @@ class GbtForecaster:
     def predict(self, scaled: DataFrame, params: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """``prediction`` per row (inverse-scaled with the target's parameters when given)."""
         if self.model is None:
-            raise RuntimeError("Model is not trained. Call fit() or load() first.")
+            raise RuntimeError("There are no trees to predict with: fit a model or load a saved one")
         c = self.cfg
         cols = [c.series_col, c.time_col, *keep]
         out = self.model.transform(self.assemble(scaled)).select(*cols, "prediction")
@@ -128,15 +164,21 @@ class GbtForecaster:
 
     def save(self, path: str) -> str:
         if self.model is None:
-            raise RuntimeError("Model is not trained; nothing to save.")
+            raise RuntimeError("There are no trees to save: fit a model first")
         self.model.write().overwrite().save(path)
+        about = {"feature_cols": self.feature_cols, "best_iteration": self.best_iteration, "val_curve": self.val_curve, "config": asdict(self.cfg)}
+        self._spark().createDataFrame([(json.dumps(about),)], "value STRING").write.mode("overwrite").text(f"{path}/forecaster")
         return path
 
-    def load(self, path: str, feature_cols: Sequence[str]) -> "GbtForecaster":
+    def load(self, path: str) -> "GbtForecaster":
+        """The saved model with its feature names, configuration and best iteration."""
         from tsengine.sources.sinks import load_model
 
         self.model = load_model(self._spark(), path)
-        self.feature_cols = list(feature_cols)
+        about = json.loads(self._spark().read.text(f"{path}/forecaster").first()["value"])
+        config = {k: tuple(v) if isinstance(v, list) else v for k, v in about["config"].items()}
+        self.cfg = ForecastConfig(**config)
+        self.feature_cols, self.best_iteration, self.val_curve = about["feature_cols"], about["best_iteration"], about["val_curve"]
         return self
 
     @staticmethod

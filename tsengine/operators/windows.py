@@ -41,13 +41,13 @@ def context_windows(
     each series.
 
     ``window_id`` is the position of the first horizon row. A series is usable when its split
-    position leaves ``C + H`` train rows and at least ``H`` test rows; other series are skipped
-    (``cfg.on_short="skip"``) or raise (``"error"``).
+    position leaves ``C + H`` train rows and at least ``H`` test rows; other series raise
+    (``cfg.on_short="error"``) or are left out (``"skip"``); :func:`series_status` lists them.
     """
     s_col, t_col, y_col = cfg.series_col, cfg.time_col, cfg.target
-    C = int(context_length or cfg.context_length)
-    H = int(prediction_length or cfg.prediction_length)
-    S = int(stride or cfg.effective_stride)
+    C = int(cfg.context_length if context_length is None else context_length)
+    H = int(cfg.prediction_length if prediction_length is None else prediction_length)
+    S = int(cfg.effective_stride if stride is None else stride)
     tsz = cfg.test_size if test_size is None else test_size
     if C < 1 or H < 1 or S < 1:
         raise ValueError("context_length, prediction_length and stride must be >= 1")
@@ -108,9 +108,29 @@ def truncate_context(df: DataFrame, context_length: int, col: str = "ctx") -> Da
     return df.withColumn(col, F.when(F.size(c) > context_length, F.slice(c, -context_length, context_length)).otherwise(c))
 
 
+def window_keys(df: DataFrame) -> list[str]:
+    """Columns that name a window, whatever the series column is called."""
+    return [c for c in df.columns if c not in ("ctx", "horizon", "samples")]
+
+
+def series_status(df: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+    """One row per series: ``rows``, ``train_windows``, ``test_windows`` and ``status``: "ok",
+    "fewer than three rows" or "too short for windows" (both with no windows).
+
+    One map-side-combined count; says which series the windows leave out and why.
+    """
+    s, C, H, S = cfg.series_col, cfg.context_length, cfg.prediction_length, cfg.effective_stride
+    counted = df.groupBy(s).agg(F.count(F.lit(1)).alias("rows"))
+    counted = counted.withColumn("cut", split_index(F.col("rows"), cfg.test_size, lo=F.lit(C + H)))
+    short = (F.col("cut") < C + H) | (F.col("rows") - F.col("cut") < H)
+    status = F.when(F.col("rows") < 3, "fewer than three rows").when(short, "too short for windows").otherwise("ok")
+    number = lambda span: F.when(status == "ok", F.floor((span - H) / S) + 1).otherwise(0).cast("bigint")
+    return counted.select(s, "rows", number(F.col("cut") - C).alias("train_windows"), number(F.col("rows") - F.col("cut")).alias("test_windows"), status.alias("status"))
+
+
 def explode_horizon(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per horizon step: ``series_id, window_id, split, step, ts, y`` (+ zipped ``extra`` arrays)."""
-    keep = [c for c in ("series_id", "window_id", "split") if c in df.columns]
+    """One row per horizon step: the window's keys, ``step, ts, y`` (+ zipped ``extra`` arrays)."""
+    keep = window_keys(df)
     if not extra:
         return df.select(*keep, F.posexplode("horizon").alias("step", "h")).select(*keep, "step", "h.ts", "h.y")
     zipped = F.arrays_zip(F.col("horizon").alias("h"), *[F.col(c).alias(c) for c in extra])
@@ -122,7 +142,7 @@ def first_step(df: DataFrame) -> DataFrame:
     if "step" in df.columns:
         return df.filter(F.col("step") == 0)
     return df.select(
-        *[c for c in ("series_id", "window_id", "split") if c in df.columns],
+        *window_keys(df),
         F.get(F.col("horizon"), 0)["ts"].alias("ts"),
         F.get(F.col("horizon"), 0)["y"].alias("y"),
     )

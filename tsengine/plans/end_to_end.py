@@ -7,26 +7,38 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.operators import align, clean, metrics, probabilistic, tabular, windows
+from tsengine.plans.layout import resolve_layout
 from tsengine.session import materialize
+from tsengine.sources.files import require_rows
+
+SCORES = (*metrics.PREFERRED, "n")
 
 
 def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cleaned: bool = False, tune_on: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Returns named DataFrames (cleaned, dataset, params, predictions_a, windows, bands,
+    """Returns named DataFrames (cleaned, series_status, dataset, params, predictions_a, windows, bands,
     aligned, truth_gap, weights, blended, metrics, comparison) and the fitted ``model``.
 
-    The clean frame is checkpointed to the shared checkpoint folder: both branches read it, and
-    the lineage (windows over windows) is cut so a lost executor recomputes from the checkpoint.
-    ``tune_on`` (default: the scored aligned frame, as in the reproduced behaviour) is the
-    frame the blend weight is tuned on.
+    The clean frame and the aligned frame are checkpointed to the shared checkpoint folder: both
+    branches read the one, and weights, metrics and charts the other, so nothing is cut, sampled or
+    predicted twice. ``tune_on`` (default: the scored aligned frame, as in the reproduced behaviour) is
+    the frame the blend weight is tuned on.
+
+    Raises on no rows, on series of fewer than three rows, on series too short for windows (unless
+    ``cfg.on_short="skip"``; ``series_status`` then names them), on forecasts with no row in common, and
+    on missing or non-finite values among the rows to score.
     """
     s, t, y = cfg.series_col, cfg.time_col, cfg.target
     base = series if cleaned else clean.clean_series(series, cfg, value_cols=[c for c in series.columns if c not in (s, t)])
-    base = materialize(base)
+    base = require_rows(materialize(base), s, least=3)
+    status = windows.series_status(base, cfg)
     # decide the physical layout once, on the materialised clean frame (a cheap scan)
-    from tsengine.plans.layout import resolve_layout
-
     cfg = resolve_layout(base, cfg)
 
+    win = windows.context_windows(base.select(s, t, y), cfg, phases=("test",))
+    paths = probabilistic.sample_paths(win, cfg)
+    bands = probabilistic.prediction_bands(paths, cfg.confidence)
+    pred_b = bands.select(s, F.col("ts").alias(t), F.col("y").alias("y_true_b"), F.col("median").alias("pred_b"), "low", "high")
+
     # the flagged feature frame is materialised inside tabular_dataset; the scaled frame is a
     # projection plus a small parameter join over it, so it is not written a second time
     ds, params, cols = tabular.tabular_dataset(base, cfg)
@@ -35,12 +47,8 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
         s, t, F.col("y_raw").alias("y_true_a"), F.col("prediction").alias("pred_a")
     )
 
-    win = windows.context_windows(base.select(s, t, y), cfg, phases=("test",))
-    paths = probabilistic.sample_paths(win, cfg)
-    bands = probabilistic.prediction_bands(paths, cfg.confidence)
-    pred_b = bands.select(s, "ts", F.col("y").alias("y_true_b"), F.col("median").alias("pred_b"), "low", "high")
-
-    aligned = align.align_forecasts(pred_a, pred_b, s, t, cfg=cfg).withColumn("y_true", F.col("y_true_b"))
+    aligned = materialize(align.align_forecasts(pred_a, pred_b, s, t, cfg=cfg).withColumn("y_true", F.col("y_true_b")))
+    metrics.assert_complete(aligned, ["y_true", "pred_a", "pred_b"])
     # mean |truth_a - truth_b| over the aligned rows; above 1e-6 the two branches disagree on truth
     gap = align.truth_gap(aligned, "y_true_a", "y_true_b")
     if cfg.auto_tune:
@@ -48,9 +56,10 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
     else:
         weights = aligned.sparkSession.createDataFrame([(min(max(cfg.blend_weight, 0.0), 1.0), None)], "weight DOUBLE, rmse DOUBLE")
     blended = align.blend_tuned(aligned, weights)
-    m = metrics.forecast_metrics(blended, {"gbt": "pred_a", "probabilistic": "pred_b", "hybrid": "hybrid_pred"}, y="y_true")
+    m = metrics.forecast_metrics(blended, {"gbt": "pred_a", "probabilistic": "pred_b", "hybrid": "hybrid_pred"}, y="y_true", metrics=SCORES)
     return {
         "cleaned": base,
+        "series_status": status,
         "dataset": ds,
         "params": params,
         "predictions_a": pred_a,
@@ -61,6 +70,6 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
         "weights": weights,
         "blended": blended,
         "metrics": m,
-        "comparison": metrics.compare_models(m),
+        "comparison": metrics.compare_models(m, extra=["n"]),
         "model": model,
     }
