@@ -8,6 +8,7 @@ the comparison table (CSV), the fitted tree model, and chart-ready frames (Parqu
 from __future__ import annotations
 
 import argparse
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ from tsengine.session import ensure_checkpoint_dir
 from tsengine.sources import files, sinks
 
 
+#: Settings of ForecastConfig that the command line takes, by the same names.
+SETTINGS = (
+    "test_size", "validation_ratio", "max_lag", "scaler", "context_length", "prediction_length", "on_short", "num_samples", "confidence", "season_length",
+    "sampler", "blend_weight", "search_points", "seed", "max_iter", "patience", "step_size", "max_depth", "subsample", "min_instances_per_node", "min_info_gain", "layout",
+)
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+
+
 def main(argv: list[str] | None = None) -> dict:
     p = argparse.ArgumentParser(prog="tsengine")
     p.add_argument("--input", required=True, help="raw CSV file or folder (any Hadoop path)")
@@ -26,12 +35,11 @@ def main(argv: list[str] | None = None) -> dict:
     p.add_argument("--time-col", default="timestamp")
     p.add_argument("--target", default="value")
     p.add_argument("--series-col", default=None, help="column naming the series (default: one series)")
-    p.add_argument("--time-format", default="yyyy-MM-dd HH:mm:ss")
-    p.add_argument("--max-iter", type=int, default=ForecastConfig.max_iter)
-    p.add_argument("--context-length", type=int, default=ForecastConfig.context_length)
-    p.add_argument("--prediction-length", type=int, default=ForecastConfig.prediction_length)
-    p.add_argument("--season-length", type=int, default=ForecastConfig.season_length)
-    p.add_argument("--max-lag", type=int, default=ForecastConfig.max_lag)
+    p.add_argument("--time-format", action="append", help="pattern of the time column; may be repeated, the first that fits counts")
+    for f in fields(ForecastConfig):
+        if f.name in SETTINGS:
+            p.add_argument("--" + f.name.replace("_", "-"), type=type(f.default), default=f.default)
+    p.add_argument("--no-auto-tune", action="store_true", help="blend with --blend-weight instead of tuning it")
     a = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("tsengine").getOrCreate()
@@ -41,15 +49,9 @@ def main(argv: list[str] | None = None) -> dict:
     raw = files.read_series(spark, landed)
     files.require_columns(raw, [a.time_col, a.target])
     series = raw.withColumn("series_id", F.col(a.series_col).cast("string") if a.series_col else F.lit("all"))
-    values = [c for c in raw.columns if c not in (a.time_col, a.series_col)]
-    cfg = ForecastConfig(
-        max_iter=a.max_iter,
-        context_length=a.context_length,
-        prediction_length=a.prediction_length,
-        season_length=a.season_length,
-        max_lag=a.max_lag,
-    )
-    cleaned = clean.clean_series(series.select("series_id", a.time_col, *values), cfg, value_cols=values, time_raw=a.time_col, fmt=a.time_format)
+    values = [c for c in raw.columns if c not in (a.time_col, a.series_col, files.INPUT_ORDER)]
+    cfg = ForecastConfig(auto_tune=not a.no_auto_tune, **{name: getattr(a, name) for name in SETTINGS})
+    cleaned = clean.clean_series(series.select("series_id", a.time_col, files.INPUT_ORDER, *values), cfg, value_cols=values, time_raw=a.time_col, fmt=a.time_format or TIME_FORMATS)
     cleaned = cleaned.withColumnRenamed(a.target, cfg.target) if a.target != cfg.target else cleaned
     res = run_end_to_end(cleaned, cfg, cleaned=True)
     sinks.write_metrics(res["metrics"], f"{out}/metrics")

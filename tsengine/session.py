@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,8 +34,8 @@ def local_session(cores: int | str = "*", app: str = "tsengine", extra: dict | N
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is. Only when
-    it is unset (local tests) a private temporary folder is created and registered.
+    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is; without it this
+    raises. Only on a local master (tests) a private temporary folder is created and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="tsengine-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -16,6 +17,20 @@ def require_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df
 
 
+#: Column of a landed table that holds the place of a row in its source: file, block, row.
+INPUT_ORDER = "_input_order"
+
+
+def require_rows(df: DataFrame, by: str, least: int = 1) -> DataFrame:
+    """Raise when there are no rows, or a series has fewer than ``least`` (one grouped count)."""
+    seen = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("fewest"), F.min_by(by, "n").alias("of")).first()
+    if seen["fewest"] is None:
+        raise ValueError("The input has no rows")
+    if seen["fewest"] < least:
+        raise ValueError(f"Series {seen['of']!r} has {seen['fewest']} rows; at least {least} are needed")
+    return df
+
+
 def land_csv(
     spark: SparkSession,
     src: str,
@@ -27,7 +42,8 @@ def land_csv(
 
     Re-running is a no-op when the landing table already exists (``mode("ignore")``). Without an
     explicit schema every column is read as STRING so that coercion happens in ``clean_series``
-    rather than in CSV type inference.
+    rather than in CSV type inference. ``_input_order`` keeps the place of every row in its source,
+    so that the last of several rows can be told later.
     """
     if not src:
         raise ValueError("land_csv: source path is empty")
@@ -36,7 +52,8 @@ def land_csv(
         reader = reader.schema(schema)
     else:
         reader = reader.option("inferSchema", False)
-    reader.csv(src).write.mode("ignore").parquet(dst)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    reader.csv(src).select("*", place.alias(INPUT_ORDER)).write.mode("ignore").parquet(dst)
     return dst
 
 

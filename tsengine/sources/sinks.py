@@ -12,14 +12,14 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_comparison(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Model x metric comparison as a headed CSV (a handful of rows: one file)."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """Model x metric comparison as headed CSV files."""
+    df.write.mode(mode).option("header", True).csv(path)
     return path
 
 
 def save_model(model, path: str) -> str:
     if model is None:
-        raise RuntimeError("Model is not trained; nothing to save.")
+        raise RuntimeError("There are no trees to save: fit a model first")
     model.write().overwrite().save(path)
     return path
 

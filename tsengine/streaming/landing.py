@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from tsengine.session import scratch_path
-
 
 def land_stream(
     spark: SparkSession,
@@ -32,7 +30,7 @@ def land_stream(
     stream = reader.load(src_dir)
     q = (
         stream.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "landing-ckpt"))
+        .option("checkpointLocation", checkpoint or f"{dst.rstrip('/')}/_landing_checkpoint")
         .outputMode("append")
         .trigger(availableNow=True)
         .start(dst)
