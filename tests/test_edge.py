@@ -20,7 +20,7 @@ def test_single_row_series_everywhere(spark):
     df = frame(spark, [("one", h(0), 5.0)])
     assert [r.split for r in split.split_chrono(df, 0.2).collect()] == ["test"]
     assert features.build_features(df, ForecastConfig(max_lag=1, seasonal_anchors=(1,), rolling_candidates=(3,))).count() == 0
-    assert windows.context_windows(df, ForecastConfig(context_length=1, prediction_length=1)).count() == 0
+    assert windows.context_windows(df, ForecastConfig(context_length=1, prediction_length=1, on_short="skip")).count() == 0
     assert clean.interpolate_time(df, ["y"]).first().y == 5.0
 
 

@@ -55,7 +55,7 @@ def _direct(series, C, H, S, t=0.2):
 def test_windows_property(spark, n, C, H, S):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("a", t0 + dt.timedelta(hours=i), float(i * 3 % 17)) for i in range(n)]
-    cfg = ForecastConfig(context_length=C, prediction_length=H, stride=S)
+    cfg = ForecastConfig(context_length=C, prediction_length=H, stride=S, on_short="skip")
     got = {(r.split, r.window_id): list(r.ctx) + [h.y for h in r.horizon] for r in windows.context_windows(frame(spark, rows), cfg).collect()}
     assert got == _direct([r[2] for r in rows], C, H, S)
 

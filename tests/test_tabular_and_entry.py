@@ -23,14 +23,30 @@ def test_gbt_fit_predict_importance_and_reload(spark, tmp_path):
     imp = tabular.feature_importance(model, str(tmp_path / "m"))
     rows = imp.collect()
     assert len(rows) == len(cols) and rows[0].gain >= rows[-1].gain
-    again = tabular.GbtForecaster(cfg).load(str(tmp_path / "m"), cols)
-    assert again.predict(test).count() == test.count()
+    again = tabular.GbtForecaster().load(str(tmp_path / "m"))
+    assert (again.cfg, again.feature_cols, again.best_iteration) == (cfg, cols, model.best_iteration)
+    one, two = (sorted((r.series_id, r.ts, r.prediction) for r in m.predict(test).collect()) for m in (model, again))
+    assert one == two
     with pytest.raises(FileNotFoundError):
-        tabular.GbtForecaster(cfg).load(str(tmp_path / "missing"), cols)
+        tabular.GbtForecaster().load(str(tmp_path / "missing"))
     with pytest.raises(RuntimeError):
         tabular.GbtForecaster(cfg).predict(test)
 
 
+def test_first_trees_are_the_boosting_cut_short(spark):
+    cfg = ForecastConfig(max_lag=3, seasonal_anchors=(1,), rolling_candidates=(3,), max_iter=5, max_depth=2, step_size=0.5, min_info_gain=0.0)
+    ds, _, cols = tabular.tabular_dataset(fx.lineitem_daily(spark, SF001), cfg)
+    whole = tabular.GbtForecaster(cfg)
+    whole.feature_cols = cols
+    rows = whole.assemble(ds.filter("split = 'fit'")).select("features", "y").cache()
+    fitted = whole._estimator(5).fit(rows)
+    short = tabular.first_trees(fitted, 2)
+    assert len(short.trees) == 2 and short.treeWeights == fitted.treeWeights[:2]
+    again = whole._estimator(2).fit(rows)
+    a, b = (sorted(round(r.prediction, 9) for r in m.transform(rows).select("prediction").collect()) for m in (short, again))
+    assert a == b
+
+
 def test_entry_smoke(spark):
     from __spark_entry__ import entry, oracle_sql, queries
 
@@ -41,9 +57,16 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", ["clean_series", "build_features", "context_windows", "prediction_bands", "align_tail_fallback", "forecast_metrics", "plot_frame"])
 def test_registered_queries_run_on_smallest_data(spark, name):
-    from __spark_entry__ import queries
+    """As many rows, with the same columns, as the SQL gives on the same files."""
+    import duckdb
+    from __spark_entry__ import oracle_sql, queries
 
-    assert queries()[name](spark, SF001).count() >= 0
+    con = duckdb.connect()
+    for table in ("events", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF001}/{table}.parquet')")
+    expected = con.execute(oracle_sql()[name]).df()
+    got = queries()[name](spark, SF001)
+    assert sorted(got.columns) == sorted(expected.columns) and got.count() == len(expected)
 
 
 def test_tabular_dataset_float32_and_assemble(spark):

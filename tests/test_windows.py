@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 from conftest import frame
+from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.operators import probabilistic, windows
@@ -51,9 +52,11 @@ def test_windows_block_layout_and_superblocks(spark, monkeypatch):
 def test_short_series_skip_or_error(spark):
     df = frame(spark, rows_for(20))
     cfg = ForecastConfig(context_length=16, prediction_length=4)
-    assert windows.context_windows(df, cfg).count() == 0
+    assert windows.context_windows(df, cfg.with_(on_short="skip")).count() == 0
     with pytest.raises(ValueError):
-        windows.context_windows(df, cfg.with_(on_short="error"))
+        windows.context_windows(df, cfg)
+    status = windows.series_status(df.unionByName(frame(spark, rows_for(200)).withColumn("series_id", F.lit("long"))), cfg).collect()
+    assert {r.series_id: r.status for r in status}["long"] == "ok" and {r.status for r in status} == {"ok", "too short for windows"}
 
 
 def test_bands_lower_median_and_order(spark):

@@ -305,9 +305,9 @@ def summarize_windows(w: DataFrame) -> DataFrame:
     return rounded(out)
 
 
-WIN30 = ForecastConfig()  # C=1024, H=24, stride H
-STRIDE_CFG = ForecastConfig(context_length=60, prediction_length=14, stride=7)
-ORDERS_CFG = ForecastConfig(context_length=364, prediction_length=28)
+WIN30 = ForecastConfig(on_short="skip")  # C=1024, H=24, stride H
+STRIDE_CFG = ForecastConfig(context_length=60, prediction_length=14, stride=7, on_short="skip")
+ORDERS_CFG = ForecastConfig(context_length=364, prediction_length=28, on_short="skip")
 
 
 def _win30(spark, d):
@@ -670,7 +670,7 @@ def q_scaler_inverse(spark, d):
     return rounded(back.select("series_id", "ts", *[F.col(c).cast("double").alias(c) for c in SCALE_COLS]))
 
 
-TAB_CFG = ForecastConfig(max_lag=14, seasonal_anchors=(1, 7, 28), rolling_candidates=(3, 7, 14), max_iter=12, patience=3, max_depth=4)
+TAB_CFG = ForecastConfig(max_lag=14, seasonal_anchors=(1, 7, 28), rolling_candidates=(3, 7, 14), max_iter=12, patience=3, max_depth=4, step_size=0.1, min_info_gain=0.0)
 
 
 def _tab(spark, d):
@@ -788,13 +788,16 @@ def q_land_roundtrip(spark, d):
     fx.events_dirty(spark, d).write.option("header", True).csv(src)
     dst = files.land_csv(spark, src, scratch_path(spark, "landed"), schema=DIRTY_SCHEMA)
     files.land_csv(spark, src, dst, schema=DIRTY_SCHEMA)  # second run is a no-op
-    return files.read_series(spark, dst)
+    return files.read_series(spark, dst).drop(files.INPUT_ORDER)
 
 
 def q_land_stream_roundtrip(spark, d):
-    src = scratch_path(spark, "raw-csv")
-    fx.events_dirty(spark, d).write.option("header", True).csv(src)
-    dst = land_stream(spark, src, scratch_path(spark, "landed-stream"), DIRTY_SCHEMA)
+    """Two batches of files in two calls: the second lands exactly the new ones."""
+    src, dst = scratch_path(spark, "raw-csv"), scratch_path(spark, "landed-stream")
+    rows = fx.events_dirty(spark, d)
+    for part in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        rows.filter(part).write.mode("append").option("header", True).csv(src)
+        land_stream(spark, src, dst, DIRTY_SCHEMA)
     return spark.read.parquet(dst)
 
 
@@ -815,7 +818,7 @@ def q_flagship(spark, d):
 
 
 PIPE_CFG = ForecastConfig(
-    max_lag=14, seasonal_anchors=(1, 7, 28), rolling_candidates=(3, 7, 14), max_iter=12, patience=3, max_depth=4,
+    max_lag=14, seasonal_anchors=(1, 7, 28), rolling_candidates=(3, 7, 14), max_iter=12, patience=3, max_depth=4, step_size=0.1, min_info_gain=0.0,
     context_length=364, prediction_length=28, season_length=28,
 )
 
@@ -909,7 +912,7 @@ def q_clean_series_blocks(spark, d):
 
 
 def q_context_windows_blocks(spark, d):
-    return summarize_windows(windows.context_windows(fx.events_30min(spark, d), BLOCKS))
+    return summarize_windows(windows.context_windows(fx.events_30min(spark, d), BLOCKS.with_(on_short="skip")))
 
 
 def q_position_blocks(spark, d):
@@ -975,7 +978,7 @@ QUERIES["align_tail_fallback_blocks"] = q_align_tail_fallback_blocks
 ORACLE_SQL["align_tail_fallback_blocks"] = ORACLE_SQL["align_tail_fallback"]
 
 
-MANY_CFG = ForecastConfig(context_length=20, prediction_length=5, stride=5)
+MANY_CFG = ForecastConfig(context_length=20, prediction_length=5, stride=5, on_short="skip")
 
 
 def q_context_windows_many(spark, d):
@@ -1047,3 +1050,185 @@ FROM pts GROUP BY series_id, e, split""",
     extra=_windows_ctes("events_30min", 1024, 24, 24),
 )
 QUERIES["truncate_context"] = q_truncate_context
+
+
+# ----------------------------------------------------------------------------- refusals, layouts, input order
+def q_series_status(spark, d):
+    """Every user's series: how many windows it gives, or why none."""
+    return windows.series_status(fx.user_events(spark, d), MANY_CFG)
+
+
+QUERIES["series_status"] = q_series_status
+ORACLE_SQL["series_status"] = with_fixtures(
+    f"""SELECT series_id, n AS "rows", CASE WHEN status = 'ok' THEN (cut - 20 - 5) // 5 + 1 ELSE 0 END AS train_windows,
+  CASE WHEN status = 'ok' THEN (n - cut - 5) // 5 + 1 ELSE 0 END AS test_windows, status
+FROM (SELECT *, CASE WHEN n < 3 THEN 'fewer than three rows' WHEN cut < 25 OR n - cut < 5 THEN 'too short for windows' ELSE 'ok' END AS status
+  FROM (SELECT series_id, n, least(greatest({SPLIT_EXPR.format(n="n", t="0.2")}, 25), n - 1) AS cut FROM (SELECT series_id, count(*) AS n FROM user_events GROUP BY 1)))""",
+    "user_events",
+)
+
+
+def q_metrics_common_rows(spark, d):
+    """Two forecasts with gaps of their own: both are scored, and the blend is tuned, on shared rows."""
+    both = fx.events_hourly_by_type(spark, d)
+    both = features.add_lags(both, [1, 24]).withColumn("y_true", F.col("y"))
+    scored = metrics.forecast_metrics(both, {"naive": "y_lag_1", "seasonal": "y_lag_24"}, by=["series_id"], metrics=("rmse", "mae", "n"))
+    tuned = align.tune_blend(both, a="y_lag_1", b="y_lag_24", by=["series_id"])
+    more = tuned.select("series_id", F.lit("blend").alias("model"), F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("weight", "rmse")])))
+    return rounded(scored.unionByName(more))
+
+
+_COMMON = [
+    ("al", "SELECT * FROM (SELECT series_id, y AS y_true, lag(y, 1) OVER w AS pred_a, lag(y, 24) OVER w AS pred_b FROM events_hourly_by_type WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE pred_b IS NOT NULL")
+]
+
+
+def _common_rows_sql() -> str:
+    parts = [
+        f"SELECT series_id, '{model}' AS model, '{m}' AS metric, round(CAST({'count(*)' if m == 'n' else _metric_sql(col, m)} AS DOUBLE), 6) AS value FROM al GROUP BY series_id"
+        for model, col in (("naive", "pred_a"), ("seasonal", "pred_b"))
+        for m in ("rmse", "mae", "n")
+    ]
+    tuned = (
+        "SELECT series_id, w AS weight, rmse FROM (SELECT series_id, g.w, sqrt(avg(power(y_true - (g.w * pred_a + (1 - g.w) * pred_b), 2))) AS rmse FROM al, "
+        "(SELECT CASE WHEN i = 100 THEN CAST(1.0 AS DOUBLE) ELSE i * (CAST(1.0 AS DOUBLE) / 100) END AS w FROM range(0, 101) t(i)) g GROUP BY series_id, g.w) "
+        "QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rmse, w) = 1"
+    )
+    parts += [f"SELECT series_id, 'blend' AS model, '{c}' AS metric, round({c}, 6) AS value FROM tuned" for c in ("weight", "rmse")]
+    return with_fixtures(" UNION ALL ".join(parts), "events_hourly_by_type", extra=[*_COMMON, ("tuned", tuned)])
+
+
+QUERIES["metrics_common_rows"] = q_metrics_common_rows
+ORACLE_SQL["metrics_common_rows"] = _common_rows_sql()
+
+
+def q_dedup_input_order(spark, d):
+    """Landed from text files that hold the events by id: of equal stamps the last line counts."""
+    src = scratch_path(spark, "raw-csv")
+    rows = fx.events_dirty(spark, d)
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.option("header", True).csv(src)
+    landed = files.read_series(spark, files.land_csv(spark, src, scratch_path(spark, "landed"), schema=DIRTY_SCHEMA))
+    parsed = clean.parse_ts(landed, "ts_raw", out="ts", on_unparsed="error")
+    return clean.dedup_last(parsed, ["series_id", "ts"], [files.INPUT_ORDER]).select("series_id", "ts", "event_id", "value_raw")
+
+
+QUERIES["dedup_input_order"] = q_dedup_input_order
+ORACLE_SQL["dedup_input_order"] = ORACLE_SQL["dedup_last"]
+
+
+def q_interpolate_time_blocks(spark, d):
+    return rounded(clean.interpolate_time(_coerced(spark, d), ["y"], cfg=BLOCKS))
+
+
+def q_fill_edges_blocks(spark, d):
+    return rounded(clean.fill_edges(_coerced(spark, d), ["y"], cfg=BLOCKS))
+
+
+QUERIES.update({"interpolate_time_blocks": q_interpolate_time_blocks, "fill_edges_blocks": q_fill_edges_blocks})
+ORACLE_SQL.update({"interpolate_time_blocks": ORACLE_SQL["interpolate_time"], "fill_edges_blocks": ORACLE_SQL["fill_edges"]})
+
+ODD_CFG = ForecastConfig(max_lag=3, seasonal_anchors=(1,), rolling_candidates=(3,))
+
+
+def _odd_values(spark, d, layout: str):
+    """Features over a target with NaN and NULL, beside a BIGINT beyond 2**53 with NULLs."""
+    eid = F.col("event_id")
+    rows = fx.user_events(spark, d).select(
+        "series_id",
+        "ts",
+        F.when(eid % 11 == 0, F.lit(float("nan"))).when(eid % 13 != 0, F.col("y")).alias("y"),
+        F.when(eid % 7 != 0, eid + 9_007_199_254_740_993).alias("big"),
+    )
+    out = features.build_features(rows, ODD_CFG.with_(layout=layout, block_rows=64), drop_nulls=False)
+    odd = [F.col(c).isNull().alias(f"{n}_null") for n, c in (("lag", "y_lag_1"), ("mean", "y_roll_mean_3"))]
+    odd += [F.coalesce(F.isnan(c), F.lit(False)).alias(f"{n}_nan") for n, c in (("lag", "y_lag_1"), ("mean", "y_roll_mean_3"))]
+    return rounded(out.select("series_id", "ts", "big", *odd, F.when(~F.isnan("y_lag_1"), F.col("y_lag_1")).alias("lag")))
+
+
+def q_odd_values(spark, d):
+    return _odd_values(spark, d, "series")
+
+
+def q_odd_values_blocks(spark, d):
+    return _odd_values(spark, d, "blocks")
+
+
+QUERIES.update({"odd_values": q_odd_values, "odd_values_blocks": q_odd_values_blocks})
+ORACLE_SQL["odd_values"] = ORACLE_SQL["odd_values_blocks"] = with_fixtures(
+    """SELECT series_id, ts, big, l IS NULL AS lag_null, coalesce(isnan(l), false) AS lag_nan, (known < 3) AS mean_null, (known = 3 AND nans > 0) AS mean_nan,
+  round(CASE WHEN NOT isnan(l) THEN l END, 6) AS lag
+FROM (SELECT *, lag(y) OVER w AS l, count(y) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS known,
+    count(*) FILTER (WHERE isnan(y)) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS nans
+  FROM (SELECT series_id, ts, CASE WHEN event_id % 11 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 13 <> 0 THEN y END AS y,
+      CASE WHEN event_id % 7 <> 0 THEN event_id + 9007199254740993 END AS big FROM user_events)
+  WINDOW w AS (PARTITION BY series_id ORDER BY ts))""",
+    "user_events",
+)
+
+
+def q_sample_paths_ragged(spark, d):
+    """Contexts of different lengths through the plugin: each keeps all the samples it allows."""
+    cut = F.slice("ctx", F.lit(1), (F.size("ctx") - F.pmod("window_id", F.lit(1000))).cast("int"))
+    ragged = _win30(spark, d).withColumn("ctx", cut)
+    paths = probabilistic.sample_paths(ragged, WIN30, method="plugin", fn=probabilistic.seasonal_analog_plugin(48))
+    return paths.select("series_id", "window_id", "split", F.size("samples").cast("bigint").alias("n_samples"), F.round(F.get(F.get(F.col("samples"), F.size("samples") - 1), 0), 6).alias("oldest"))
+
+
+QUERIES["sample_paths_ragged"] = q_sample_paths_ragged
+ORACLE_SQL["sample_paths_ragged"] = with_fixtures(
+    """SELECT r.series_id, CAST(r.e AS BIGINT) AS window_id, r.split, CAST(r.j AS BIGINT) AS n_samples, round(s.y, 6) AS oldest
+FROM (SELECT *, CAST(least(32, (1024 - e % 1000) // 48) AS BIGINT) AS j, e - e % 1000 AS stop FROM win) r
+LEFT JOIN s ON s.series_id = r.series_id AND r.j > 0 AND s.pos = r.stop - r.j * 48""",
+    "events_30min",
+    extra=_windows_ctes("events_30min", 1024, 24, 24)[:4],
+)
+
+_M = probabilistic.DRAW_MODULUS
+BOOT_SQL = f"""SELECT w.series_id, w.e, w.split, h.h AS step, a.y + b.y - c.y AS value
+FROM (SELECT *, {{first}} AS k FROM win) w, range(1, {WIN30.num_samples + 1}) j(j), range(0, {WIN30.prediction_length}) h(h),
+  LATERAL (SELECT (w.k + w.e * 7919 + j.j * 104729 + h.h * 1299709 + {WIN30.seed} * 15485863) % {_M} AS m) x1,
+  LATERAL (SELECT (((x1.m * x1.m + 12345) % {_M}) * 48271) % {_M} AS t) x2,
+  LATERAL (SELECT {WIN30.season_length} + ((x2.t * x2.t + x1.m) % {_M}) % {WIN30.context_length - WIN30.season_length} AS p) x3,
+  s a, s b, s c
+WHERE a.series_id = w.series_id AND a.pos = w.e - {WIN30.season_length} + h.h % {WIN30.season_length}
+  AND b.series_id = w.series_id AND b.pos = w.e - {WIN30.context_length} + x3.p
+  AND c.series_id = w.series_id AND c.pos = w.e - {WIN30.context_length} + x3.p - {WIN30.season_length}""".format(first="CAST('0x' || substr(md5(series_id), 1, 7) AS BIGINT)")
+ORACLE_SQL["sample_paths_bootstrap"] = with_fixtures(BANDS_SQL, "events_30min", extra=_windows_ctes("events_30min", 1024, 24, 24)[:4] + [("samples", BOOT_SQL)])
+
+
+def q_gbt_predict_rows(spark, d):
+    """The exact part of the tree predictions: their rows, truth, and that each has one."""
+    out = q_gbt_predict(spark, d)
+    return rounded(out.select("series_id", "ts", "y_true", (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("predicted")))
+
+
+QUERIES["gbt_predict_rows"] = q_gbt_predict_rows
+ORACLE_SQL["gbt_predict_rows"] = f"SELECT series_id, ts, y_raw AS y_true, true AS predicted FROM ({ORACLE_SQL['tabular_dataset']}) WHERE split = 'test'"
+
+
+def q_end_to_end_aligned(spark, d):
+    """The exact part of the pipeline's aligned frame: rows, both truths, median and bands."""
+    out = run_end_to_end(fx.lineitem_daily(spark, d), PIPE_CFG)["aligned"]
+    return rounded(out.select("series_id", "ts", "y_true_a", "y_true_b", "pred_b", "low", "high"))
+
+
+def _aligned_sql() -> str:
+    C, H, S = PIPE_CFG.context_length, PIPE_CFG.prediction_length, PIPE_CFG.season_length
+    n_paths = min(PIPE_CFG.num_samples, C // S)
+    samples = (
+        f"SELECT w.series_id, w.e, h.h AS step, s.y AS value FROM win w, range(1, {n_paths + 1}) j(j), range(0, {H}) h(h), s "
+        f"WHERE w.split = 'test' AND s.series_id = w.series_id AND s.pos = w.e - j.j * {S} + (h.h % {S})"
+    )
+    bands = (
+        "SELECT b.series_id, s.ts, s.y, b.med, b.lo, b.hi FROM (SELECT series_id, e, step, list_sort(list(value))[CAST((count(*) - 1) // 2 AS BIGINT) + 1] AS med, "
+        f"quantile_cont(value, {_LOQ!r}) AS lo, quantile_cont(value, {_HIQ!r}) AS hi FROM samples GROUP BY ALL) b JOIN s ON s.series_id = b.series_id AND s.pos = b.e + b.step"
+    )
+    body = (
+        f"SELECT series_id, ts, y_raw AS y_true_a, round(bands.y, 6) AS y_true_b, round(med, 6) AS pred_b, round(lo, 6) AS low, round(hi, 6) AS high "
+        f"FROM bands JOIN ({ORACLE_SQL['tabular_dataset']}) t USING (series_id, ts) WHERE t.split = 'test'"
+    )
+    return with_fixtures(body, "lineitem_daily", extra=[*_windows_ctes("lineitem_daily", C, H, H)[:4], ("samples", samples), ("bands", bands)])
+
+
+QUERIES["end_to_end_aligned"] = q_end_to_end_aligned
+ORACLE_SQL["end_to_end_aligned"] = _aligned_sql()
