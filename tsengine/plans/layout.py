@@ -135,9 +135,9 @@ def positions_and_counts(df: DataFrame, cfg: ForecastConfig, pos: str = POS, n:
             n, F.count(F.lit(1)).over(Window.partitionBy(s)).cast("bigint")
         )
     positioned = range_positions(df, s, t, out=pos)
-    lengths = positioned.groupBy(s).agg((F.max(pos) + 1).cast("bigint").alias(n))
+    lengths = positioned.groupBy(F.col(s).alias("__s")).agg((F.max(pos) + 1).cast("bigint").alias(n))
     # one row per series: AQE broadcasts it when small, else splits skewed join partitions
-    return positioned.join(lengths, s, "left")
+    return positioned.join(lengths, F.col(s).eqNullSafe(F.col("__s")), "left").drop("__s")
 
 
 def partition_blocks(df: DataFrame, series_col: str, time_col: str, num_partitions: int | None = None) -> DataFrame:
