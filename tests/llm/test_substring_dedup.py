@@ -68,3 +68,10 @@ def test_other_columns_pass(small):
     out = substring_dedup.dedup_substrings(small(rows, "doc_id LONG, text STRING, n_words STRING, extra DOUBLE"), bits=1 << 16)
     assert sorted(out.columns) == ["doc_id", "extra", "n_removed", "n_words", "text"]
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.extra) for r in out.collect()) == [(1, 60, 0, 5.0), (2, 60, 60, None)]
+
+
+def test_doubling_ends_when_no_candidates_survive(small):
+    w = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(w)), (2, "x " + " ".join(w[:45]) + " y"), (3, " ".join(w[50:75])), (4, " ".join(w)), (5, "none of them")]
+    got = {r.doc_id: r.longest for r in substring_dedup.longest_repeats(small(rows, "doc_id LONG, text STRING"), 10, bits=1 << 16).collect()}
+    assert got == {2: 40, 3: 20, 4: 160}
