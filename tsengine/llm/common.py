@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.session import scratch_path
@@ -13,15 +17,37 @@ from tsengine.session import scratch_path
 U64 = np.uint64
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Python workers import this package by its name. Where neither PYTHONPATH nor the working folder
+    shows it to them (as after ``sys.path.insert`` alone), it goes along with the session's jobs, once."""
+    sc = spark.sparkContext
+    shown = {os.path.realpath(p) for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd())}
+    if os.path.realpath(ROOT) in shown or getattr(sc, "_tsengine_sent", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="tsengine-"), "tsengine.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(ROOT, "tsengine")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), ROOT))
+    sc.addPyFile(archive)
+    sc._tsengine_sent = True
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back: cuts the lineage,
     survives lost executors and gives joins a plain scan whose skewed partitions AQE can split."""
+    reachable(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -49,7 +75,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string array; nulls are empty."""
-    arr = pc.fill_null(arr.cast(pa.large_string()), "")
+    arr = arr.cast(pa.large_string())
+    arr = pc.fill_null(arr, "") if arr.null_count else arr
     offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = arr.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -29,7 +29,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 .. n-1 of an odd base, and of its inverse, modulo 2**64."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         _powers[base] = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(size, b, U64))])[:size] for b in (base, pow(base, -1, 1 << 64)))
     return _powers[base]
 
