@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from .common import U64, mix, stored, text_slices, with_columns
 
 BLANK = b" \t\n\x0b\x0c\r"
-SHARD_KEYS, BUCKET_KEYS = 4096, 4
+SHARD_KEYS, BUCKET_KEYS = 4096, 2
+CHAIN = 4  # groups of shards that one stage holds at a time
 INDEX = "shard INT, n INT, seeds BINARY, prints BINARY, counts BINARY"
 
 
@@ -182,6 +183,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
     for i, group in enumerate(groups):
         out = out.mapInArrow(probe(group, i == len(groups) - 1), schema)
+        if i % CHAIN == CHAIN - 1 and i < len(groups) - 1:
+            out = stored(out, "line-passes")
     return out.drop("__gone")
 
 
