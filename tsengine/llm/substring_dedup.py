@@ -12,7 +12,8 @@ through the shuffle. Those that several documents have are kept in a bit array o
 are settled at once: all but the first document's are repeats. What is left (one segment for each
 distinct one) gives its windows one by one, and these find the first document of each window.
 
-*Beyond.* ``longest_repeats`` goes on doubling until no candidates survive.
+*Beyond.* Longer windows cover no more words, so removal ends here. ``longest_repeats`` goes on
+doubling until no candidates survive.
 
 Texts are read again for each step rather than shuffled; only documents that lose words are joined
 with what they lose.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from .common import U64, bit_array, in_bits, mix, stored, text_slices, with_columns
 from .words import SPACED, Words, ranges_hash, sliding_argmin
 
+SLICE = 1 << 19  # bytes of text whose arrays are held at a time
 BITS = 1 << 27  # 16 MiB: more repeats than it can tell apart cost time, never results
 
 
@@ -75,7 +78,7 @@ def _scan(docs: DataFrame, words: int, schema: str, rows) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 s = Segments(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays([_long(c) for c in rows(s, part.column("doc_id").to_numpy(), part.column("__key").to_numpy())], names)
 
@@ -121,6 +124,19 @@ def repeats(docs: DataFrame, words: int = 50, bits: int = BITS) -> DataFrame:
     return stored(told.filter("settled").select("doc_id", "__key", "a", (F.col("a") + F.col("n")).alias("b")).unionByName(late), "repeats")
 
 
+def longest_repeats(docs: DataFrame, words: int = 50, bits: int = BITS) -> DataFrame:
+    """(doc_id, longest): for documents that repeat a smaller doc_id's words, the greatest of ``words``,
+    twice that, four times that, ... whose windows still do. Rows as in :func:`dedup_substrings`."""
+    keyed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("__key"))
+    levels = []
+    while not levels or not levels[-1].isEmpty():
+        levels.append(repeats(keyed, words << len(levels), bits).select("doc_id", F.lit(words << len(levels)).alias("longest")))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+
+
 def _kept(text: str, ranges: list[dict]) -> tuple[list[bytes], int]:
     words = (text or "").encode().split()  # bytes split at 0x20 and 0x09-0x0D
     gone = np.zeros(len(words) + 1, np.int64)
@@ -150,28 +166,31 @@ def dedup_substrings(docs: DataFrame, words: int = 50, bits: int = BITS) -> Data
     out = with_columns(docs, n_words=F.lit(0).cast("long"), n_removed=F.lit(0).cast("long"), __key=key)
     names = out.columns
 
-    def choose(wanted):
-        def run(batches):
-            for b in batches:
-                hit = in_bits(losing.value, b.column(names.index("__key")).to_numpy())
-                yield b.filter(pa.array(hit == wanted))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
+
+    def kept(rows, ranges):
+        """The rows with their text and counts after the loss of ``ranges``."""
+        done = [_kept(t, r) for t, r in zip(rows.column("text").to_pylist(), ranges, strict=True)]
+        new = {"text": pa.array([b" ".join(k).decode() for k, _ in done], pa.string()), "n_words": pa.array([n for _, n in done], pa.int64()), "n_removed": pa.array([n - len(k) for k, n in done], pa.int64())}
+        return pa.RecordBatch.from_arrays([new.get(c, rows.column(i)) for i, c in enumerate(names)], names)
+
+    def loses(batch):
+        return pa.array(in_bits(losing.value, batch.column(names.index("__key")).to_numpy()))
 
-        return out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema]))
+    def unchanged(batches):
+        for batch in batches:
+            for part in text_slices(batch.filter(pc.invert(loses(batch))), "text"):
+                yield kept(part, [None] * len(part))
 
-    def strip(batches):
+    def changed(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                done = [_kept(t, r) for t, r in zip(part.column("text").to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
-                new = {"text": pa.array([b" ".join(k).decode() for k, _ in done], pa.string()), "n_words": pa.array([n for _, n in done], pa.int64()), "n_removed": pa.array([n - len(k) for k, n in done], pa.int64())}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(names)], names)
+                yield kept(part, part.column(len(names)).to_pylist())
 
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    kind = "ARRAY<STRUCT<a: LONG, b: LONG>>"
     other = ranges.select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__of"), "__ranges")
-    some = choose(True)
+    some = out.mapInArrow(lambda batches: (b.filter(loses(b)) for b in batches), schema)
     some = some.join(other, (some["__key"] == other["__of"]) & (some["doc_id"] == other["__doc"]), "left").select(*(F.col(f"`{c}`") for c in names), "__ranges")
-    none = choose(False).withColumn("__ranges", F.lit(None).cast(kind))
-    return none.mapInArrow(strip, schema).unionByName(some.mapInArrow(strip, schema)).drop("__key")
+    return out.mapInArrow(unchanged, schema).unionByName(some.mapInArrow(changed, schema)).drop("__key")
 
 
 def digest(docs: DataFrame) -> DataFrame:
