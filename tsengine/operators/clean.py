@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.functions.columns import micros_between, nan_to_null, numeric_or_null
-from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, resolve_layout
+from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, pin_layout, resolve_layout
 from tsengine.sources.files import INPUT_ORDER, require_columns
 
 
@@ -30,6 +30,20 @@ def _wall_clock(text, fmt: str):
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
+def _parsed(df: DataFrame, col: str, fmt: str | Sequence[str]):
+    dtype = dict(df.dtypes)[col]
+    if dtype == "timestamp_ntz":
+        return F.col(col)
+    if dtype in ("timestamp", "date"):
+        return F.col(col).cast("timestamp_ntz")
+    return F.coalesce(*[_wall_clock(F.col(col).cast("string"), f) for f in ([fmt] if isinstance(fmt, str) else fmt)])
+
+
+def _require_parsed(rows: int, parsed: int, col: str, fmt) -> None:
+    if rows and not parsed:
+        raise ValueError(f"None of {rows} values of {col!r} fits the time format {fmt!r}")
+
+
 def parse_ts(df: DataFrame, col: str, fmt: str | Sequence[str] = "yyyy-MM-dd HH:mm:ss", out: str = "ts", on_unparsed: str = "drop") -> DataFrame:
     """Parse ``col`` with explicit patterns (the first that fits) into TIMESTAMP_NTZ.
 
@@ -38,17 +52,10 @@ def parse_ts(df: DataFrame, col: str, fmt: str | Sequence[str] = "yyyy-MM-dd HH:
     ``col`` alone).
     """
     require_columns(df, [col])
-    dtype = dict(df.dtypes)[col]
-    if dtype == "timestamp_ntz":
-        parsed = F.col(col)
-    elif dtype in ("timestamp", "date"):
-        parsed = F.col(col).cast("timestamp_ntz")
-    else:
-        parsed = F.coalesce(*[_wall_clock(F.col(col).cast("string"), f) for f in ([fmt] if isinstance(fmt, str) else fmt)])
+    parsed = _parsed(df, col, fmt)
     if on_unparsed == "error":
         seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(parsed).alias("parsed")).first()
-        if seen["rows"] and not seen["parsed"]:
-            raise ValueError(f"None of {seen['rows']} values of {col!r} fits the time format {fmt!r}")
+        _require_parsed(seen["rows"], seen["parsed"], col, fmt)
     rest = [c for c in df.columns if c not in (col, out)]
     return df.select(*rest, parsed.alias(out)).filter(F.col(out).isNotNull())
 
@@ -233,8 +240,13 @@ def clean_series(
     if value_cols is None:
         value_cols = [c for c in df.columns if c not in (s, time_raw, *(tie_break or []))]
     require_columns(df, value_cols)
-    layout = resolve_layout(df, cfg).layout  # decided on the raw rows (an upper bound of the clean size)
-    out = parse_ts(df, time_raw, fmt, out=t, on_unparsed="error")
+    # one pass over two raw columns: does any stamp parse, and how large are the series (an upper
+    # bound of their clean size, which decides the layout)
+    seen = df.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.count(_parsed(df, time_raw, fmt)).alias("p"))
+    seen = seen.agg(F.max("n").alias("biggest"), F.sum("n").alias("rows"), F.sum("p").alias("parsed")).first()
+    _require_parsed(seen["rows"] or 0, seen["parsed"] or 0, time_raw, fmt)
+    layout = pin_layout(df.sparkSession, cfg, seen["biggest"] or 0, seen["rows"] or 0).layout
+    out = parse_ts(df, time_raw, fmt, out=t)
     if layout == "series":
         # one shuffle by series serves both the dedup aggregate (clustered by series, ts) and
         # the per-series windows; duplicates are rare, so a map-side combine would save little

@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.operators import align, clean, metrics, probabilistic, tabular, windows
-from tsengine.plans.layout import resolve_layout
+from tsengine.plans.layout import pin_layout
 from tsengine.session import materialize
-from tsengine.sources.files import require_rows
 
 SCORES = (*metrics.PREFERRED, "n")
 
 
+def _checked(base: DataFrame, status: DataFrame, cfg: ForecastConfig) -> ForecastConfig:
+    """Refuse what cannot be forecast, and pin the physical layout: both from one count per series."""
+    s = cfg.series_col
+    short = F.col("status") != "ok"
+    seen = status.agg(
+        F.count(F.lit(1)).alias("series"), F.min("rows").alias("fewest"), F.max("rows").alias("most"), F.sum("rows").alias("total"),
+        F.min_by(s, "rows").alias("smallest"), F.count(F.when(short, 1)).alias("short"), F.min(F.when(short, F.col(s))).alias("one"),
+    ).first()
+    if not seen["series"]:
+        raise ValueError("The input has no rows")
+    if seen["fewest"] < 3:
+        raise ValueError(f"Series {seen['smallest']!r} has {seen['fewest']} rows; at least 3 are needed")
+    if seen["short"] and (cfg.on_short == "error" or seen["short"] == seen["series"]):
+        raise ValueError(f"{seen['short']} of {seen['series']} series are too short for windows of {cfg.context_length} + {cfg.prediction_length} rows and a test part, such as {seen['one']!r}")
+    return pin_layout(base.sparkSession, cfg, seen["most"], seen["total"])
+
+
 def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cleaned: bool = False, tune_on: DataFrame | None = None) -> dict[str, DataFrame]:
     """Returns named DataFrames (cleaned, series_status, dataset, params, predictions_a, windows, bands,
     aligned, truth_gap, weights, blended, metrics, comparison) and the fitted ``model``.
@@ -29,12 +45,12 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
     """
     s, t, y = cfg.series_col, cfg.time_col, cfg.target
     base = series if cleaned else clean.clean_series(series, cfg, value_cols=[c for c in series.columns if c not in (s, t)])
-    base = require_rows(materialize(base), s, least=3)
+    base = materialize(base)
     status = windows.series_status(base, cfg)
-    # decide the physical layout once, on the materialised clean frame (a cheap scan)
-    cfg = resolve_layout(base, cfg)
+    cfg = _checked(base, status, cfg)
 
-    win = windows.context_windows(base.select(s, t, y), cfg, phases=("test",))
+    # series too short for windows were refused above, or are to be left out
+    win = windows.context_windows(base.select(s, t, y), cfg.with_(on_short="skip"), phases=("test",))
     paths = probabilistic.sample_paths(win, cfg)
     bands = probabilistic.prediction_bands(paths, cfg.confidence)
     pred_b = bands.select(s, F.col("ts").alias(t), F.col("y").alias("y_true_b"), F.col("median").alias("pred_b"), "low", "high")

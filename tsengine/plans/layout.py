@@ -44,8 +44,14 @@ def resolve_layout(df: DataFrame, cfg: ForecastConfig) -> ForecastConfig:
     """
     if cfg.layout in ("series", "blocks"):
         return cfg
-    biggest, total = series_stats(df, cfg.series_col)
-    par = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return pin_layout(df.sparkSession, cfg, *series_stats(df, cfg.series_col))
+
+
+def pin_layout(spark, cfg: ForecastConfig, biggest: int, total: int) -> ForecastConfig:
+    """The layout for a largest series and a number of rows that are known already."""
+    if cfg.layout in ("series", "blocks"):
+        return cfg
+    par = max(1, spark.sparkContext.defaultParallelism)
     threshold = min(cfg.max_rows_per_task, max(cfg.min_split_rows, total // par))
     if biggest <= threshold:
         return cfg.with_(layout="series")
