@@ -18,6 +18,13 @@ def test_no_article_element():
     assert h.extract(page(body)) == f"Rivers {P1} {P2} {P3}"
 
 
+def test_names_of_layout_and_of_other_articles():
+    body = f"<form id=aspnetForm><div class='header'>Site name</div><div class='content with-sidebar'><div class='sidebar-layout'><main><article class='post no-sidebar'><header><h1>Head</h1></header><p>{P1}</p><div class='side-bar'>Side</div><p>{P2}</p></article><article class='comment'><p>{P3}</p></article></main></div></div><div class='gdpr-box'>Cookies</div></form>"
+    assert h.extract(page(body)) == f"Head {P1} {P2}"
+    replies = "".join(f"<article><p>{P2}</p><p>{P3}</p></article>" for _ in range(20))
+    assert h.extract(page(f"<main><article><p>{P1}</p></article><section id='comments'>{replies}</section></main>")) == P1
+
+
 def test_white_space_and_references():
     body = "<article><p>  a\n\t b&nbsp;c&#x41;&eacute;<i>x</i>y &lt;p&gt; </p>\n\n<p>d</p><pre>e\n  f</pre></article>"
     assert h.extract(page(body)) == "a b cAéxy <p> d e f"

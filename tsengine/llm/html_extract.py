@@ -29,8 +29,11 @@ CONTAINERS = frozenset("article main".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("table td th ul ol dl article section main div body html blockquote aside nav form figure".split())
 NOISE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|replies|disqus\w*|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])"
+    r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side[_-]bar|gdpr|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|replies|disqus\w*|widget|toolbar|pagination|pager|login|signup|search)(?:$|[_-])|^(?:(?:site|page|top|main|global)[_-]?)?header$"
 )
+LAYOUT_WORD = re.compile(r"(?:no|not|has|with|without|is|hide|show|open|closed)[_-]")  # says how a page is laid out
+OTHER_ARTICLE = re.compile(r"(?:^|[_-])(?:comments?|reply|related|teaser|promo|sponsor\w*)(?:$|[_-])")
+WRAPPERS = frozenset("div section form span table tbody tr td".split())
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
@@ -38,26 +41,35 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 class Node:
     __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "density", "score")
 
-    def __init__(self, tag, parent, noise=False):
+    def __init__(self, tag, parent, noise=0):
         self.tag, self.parent, self.items, self.noise = tag, parent, [], noise
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
 
 
-def _noise(tag: str, attributes: str, inside: set[str]) -> bool:
+def _noise(tag: str, attributes: str, inside: set[str]) -> int:
+    """0 for what may be the article, 1 for noise by the look of it, 2 for texts beside the article."""
     if tag in NOISE:
-        return True
+        return 1
     if tag == "header" and not inside & CONTAINERS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 1
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if (name in ("class", "id") and NOISE_WORD.search(value)) or (name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu")):
-            return True
+        if name in ("class", "id"):
+            words = [w for w in value.split() if not LAYOUT_WORD.match(w)]
+            if any(map(OTHER_ARTICLE.search, words)):
+                return 2
+            if tag != "article" and any(map(NOISE_WORD.search, words)):
+                return 1
+        if tag == "article":
+            continue
+        if (name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu")):
+            return 1
         if (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|>|$)", re.sub(ATTRIBUTE, "", attributes)))
+            return 1
+    return int(bool(re.search(r"(?:^|\s)hidden(?:\s|/|>|$)", re.sub(ATTRIBUTE, "", attributes))))
 
 
 def parse(page: str) -> Node:
@@ -97,6 +109,9 @@ def parse(page: str) -> Node:
                     del stack[i:]
                     break
         node = Node(tag, stack[-1], _noise(tag, m[3], {n.tag for n in stack}))
+        if tag in CONTAINERS and not node.noise:  # what wraps an article is no noise, whatever its name
+            for n in stack:
+                n.noise = 0 if n.noise == 1 and n.tag in WRAPPERS else n.noise
         stack[-1].items.append(node)
         if tag in RAW and not m[0].endswith("/>"):
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(text, at)
