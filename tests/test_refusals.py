@@ -181,6 +181,19 @@ def test_plugin_results_do_not_depend_on_the_batch(spark):
             probabilistic.sample_paths(df, cfg, method="plugin", fn=bad).collect()
 
 
+def test_scratch_tables_go_and_nothing_else(spark):
+    import os
+
+    session.clear_scratch(spark)
+    path = session.scratch_path(spark, "scratch-test")
+    spark.range(3).write.parquet(path)
+    other = f"{session.ensure_checkpoint_dir(spark)}/kept-{os.getpid()}"
+    spark.range(3).write.mode("overwrite").parquet(other)
+    session.scratch_path(spark, "never-written")
+    assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    assert not os.path.exists(path) and spark.read.parquet(other).count() == 3
+
+
 def test_no_folder_is_invented_on_a_cluster(monkeypatch):
     class Context:
         master = "spark://host:7077"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tsengine.config import ForecastConfig
 from tsengine.operators import charts, clean
 from tsengine.plans.end_to_end import run_end_to_end
-from tsengine.session import ensure_checkpoint_dir
+from tsengine.session import clear_scratch, ensure_checkpoint_dir
 from tsengine.sources import files, sinks
 
 
@@ -59,6 +59,7 @@ def main(argv: list[str] | None = None) -> dict:
     res["model"].save(f"{out}/model")
     charts.plot_frame(res["blended"], ["y_true", "pred_a", "hybrid_pred"]).write.mode("overwrite").parquet(f"{out}/plot_forecast")
     charts.plot_frame(res["blended"], ["y_true", "pred_b"], bands=True).write.mode("overwrite").parquet(f"{out}/plot_probabilistic")
+    clear_scratch(spark)
     return res
 
 
