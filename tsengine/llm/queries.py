@@ -59,11 +59,13 @@ QUERIES = {
     for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan, op10_embedding_dedup)
 }
 
-#: Substring dedup, SimHash, packing, toxicity and embeddings are tested against brute force instead.
+#: SimHash, packing and toxicity are tested against brute force and held-out labels instead.
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op8_html_extract": html_extract.ORACLE,
     "op9_secret_scan": secret_scan.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
 }
