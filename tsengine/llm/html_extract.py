@@ -225,7 +225,7 @@ def digest(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH p AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
 t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM p),
-u AS (SELECT page_id, url, replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS body FROM t),
+u AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(body, '&#x27;', ''''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS body FROM t),
 v AS (SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text FROM u)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM v
 """
