@@ -66,6 +66,16 @@ def test_empty_tables(small):
     assert run(small, rows[:20], []) == brute(rows[:20], [])
 
 
+def test_repeated_items_and_windows(small):
+    head = "one two three four five six seven eight nine ten"
+    items = [(1, head + " a b"), (1, head + " a b"), (2, "red green blue"), (2, "Red, green, blue"), (3, head + " c"), (3, head + " d"), (None, "no id at all"), (None, "no id at all"), (4, "once only here")]
+    rows = [(1, "x " + head + " y"), (2, "red green blue"), (3, "two three four five six seven eight nine ten c"), (4, "so no id at all"), (5, "once only here"), (6, "clean")]
+    assert [x[5] for x in brute(rows, items)] == [True, True, True, True, True, False]
+    assert run(small, rows, items) == brute(rows, items)
+    out = decontaminate.decontaminate(small(rows, "doc_id LONG, text STRING"), small(items, "item_id LONG, text STRING"))
+    assert [r.doc_id for r in out.collect()] == [6]
+
+
 def test_clean_documents_stay(small):
     item = [(1, "one two three four five six seven eight nine ten eleven twelve")]
     rows = [(1, "x One two, three four five six seven eight nine ten y", "a"), (2, "one two three four five", "b"), (2, "one two three four five", "b"), (3, None, None), (None, "eleven", "c")]

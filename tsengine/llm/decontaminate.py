@@ -59,7 +59,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     spark = docs.sparkSession
     cut = windows(benchmark, window)
-    parts = stored(cut.select("item_id", "at", "size", "words", F.size("shingles").alias("n"), F.inline("shingles")), "window-shingles")
+    once = cut.dropDuplicates(["item_id", "at", "size", "words"])  # else a repeated item has each shingle more than n times
+    parts = stored(once.select("item_id", "at", "size", "words", F.size("shingles").alias("n"), F.inline("shingles")), "window-shingles")
     sizes = sorted(min(r.size, SHINGLE) for r in cut.select("size").distinct().collect())  # at most ``window`` sizes
     sizes = sorted(set(sizes))
     known = spark.sparkContext.broadcast(bit_array(parts.select("h")))
