@@ -18,6 +18,15 @@ def test_no_article_element():
     assert h.extract(page(body)) == f"Rivers {P1} {P2} {P3}"
 
 
+def test_short_blocks_between_sections():
+    short = "<ul><li>item one<li>item two</ul><ol><li>first</ol><blockquote>Quoted</blockquote><pre>x = 1</pre><table><tr><td>cell</table><h4>Minor</h4><dl><dt>term<dd>meaning</dl><div>Short</div>"
+    links = "".join(f"<li><a href=/{i}>Link number {i}</a>" for i in range(9))
+    long = f"<p>{P1} {P2} {P3}</p>"
+    body = f"<div id=top><div id=content><div class=sec>{long * 3}</div>{short}<div class=sec>{long}</div><div class=sec><p>Last</p></div></div><ul>{links}</ul></div>"
+    text = f"{P1} {P2} {P3}"
+    assert h.extract(page(body)) == f"{text} {text} {text} item one item two first Quoted x = 1 cell Minor term meaning Short {text} Last"
+
+
 def test_names_of_layout_and_of_other_articles():
     body = f"<form id=aspnetForm><div class='header'>Site name</div><div class='content with-sidebar'><div class='sidebar-layout'><main><article class='post no-sidebar'><header><h1>Head</h1></header><p>{P1}</p><div class='side-bar'>Side</div><p>{P2}</p></article><article class='comment'><p>{P3}</p></article></main></div></div><div class='gdpr-box'>Cookies</div></form>"
     assert h.extract(page(body)) == f"Head {P1} {P2}"

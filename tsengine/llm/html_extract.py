@@ -3,8 +3,10 @@
 A page becomes a tree of nodes. Every node's density is its characters per tag, damped by the share
 of link characters and link tags; a node's score is the sum of its children's densities. The node
 with the highest score is the core of the article. The least density on the path from the body to
-the core is the threshold: below the topmost node of the path that is as dense, the subtree of
-the article holds every part of at least that density, not the core alone.
+the core is the threshold: the topmost node of the path that is as dense holds the article, and all of
+its subtree is kept, short blocks too, but for noise and for blocks beside the path that are mostly
+links and below the threshold. Where the core lies in an <article> or <main>, the outermost such
+element is the article, whole but for noise.
 """
 
 from __future__ import annotations
@@ -176,7 +178,7 @@ def main_subtree(root: Node) -> list[Node]:
         n = todo.pop()
         kids = [x for x in n.items if isinstance(x, Node) and not x.noise]
         if n in path and n is not core and any(k in path for k in kids) and not any(isinstance(x, str) and x.strip() for x in n.items):
-            todo.extend(k for k in reversed(kids) if k in path or k.density >= threshold or k.tag in ("h1", "h2", "h3", "p"))
+            todo.extend(k for k in reversed(kids) if k in path or k.density >= threshold or k.tag in ("h1", "h2", "h3", "p") or 2 * k.link_chars <= k.chars)
         else:
             found.append(n)
     return found
