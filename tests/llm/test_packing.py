@@ -28,6 +28,21 @@ def test_ids_equal_the_tokenizers():
         assert np.frombuffer(ids(text), "<u4").tolist() == tokens(text), text
 
 
+def test_added_tokens_have_their_own_ids(small):
+    untouched = Tokenizer.from_file(PATH)
+    r = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "don", "'t", "É", "e", "\u0301", "ΑΣ", "한", "😀", " ", "\n", "7"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(1000)]
+    ids = packing.word_ids(PATH)
+    for text in texts:
+        assert np.frombuffer(ids(text), "<u4").tolist() == untouched.encode(text, add_special_tokens=False).ids, text
+    rows = [(i, t) for i, t in enumerate(["one<|endoftext|>two", "<|startoftext|>", "plain"])]
+    got = {x.doc_id: (x.doc_tokens, x.ids_crc32) for x in packing.pack(small(rows, "doc_id LONG, text STRING"), PATH).collect()}
+    for i, text in rows:
+        want = np.asarray([*untouched.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (len(want), zlib.crc32(want.tobytes()))
+
+
 def check(small, rows, max_tokens):
     out = packing.pack(small(rows, "doc_id LONG, text STRING, length STRING"), PATH, max_tokens).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

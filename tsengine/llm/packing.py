@@ -52,15 +52,20 @@ class WordIds:
     letters, single numbers, runs of other signs, and endings such as 's. So a text's ids are those
     of its units. Texts of characters up to U+00FF, where normal forms and lower case need no
     context, are cut by UNITS; any other text is cut at spaces and line feeds alone.
+
+    With ``added``, the tokenizer's added tokens (such as <|endoftext|>) in a text have their own ids,
+    as in the tokenizer's default; the text is cut there first. Without, they are read as other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.added = {t.content: struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        self.marks = re.compile(f"({'|'.join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))})")
 
     def units_ids(self, units: list[str], cut: bool):
         if not cut:
@@ -68,6 +73,11 @@ class WordIds:
         return [[t.id for t in self.model.tokenize(u if u.isascii() and u.isprintable() else u.encode().decode("latin-1").translate(self.letters))] for u in units]
 
     def __call__(self, text: str) -> bytes:
+        if not self.added:
+            return self.plain(text)
+        return b"".join(self.added[x] if i % 2 else self.plain(x) for i, x in enumerate(self.marks.split(text)))
+
+    def plain(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
             cut = True
@@ -93,7 +103,7 @@ def word_ids(path: str) -> WordIds:
     """The process's own tokenizer, which the tasks of a worker share."""
     if path not in _open:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _open[path] = WordIds(path)
+        _open[path] = WordIds(path, added=True)
     return _open[path]
 
 
