@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, line_dedup, packing, secret_scan, simhash, substring_dedup, toxicity
+from . import chat_format, decontaminate, embedding_dedup, html_extract, line_dedup, packing, secret_scan, simhash, substring_dedup, token_counts, toxicity
 from .common import read
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, COUNTED = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -54,12 +54,16 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.digest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_token_counts(spark, sf_dir):
+    return token_counts.digest(read(spark, sf_dir, "documents"), tokenizer_path(COUNTED))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan, op10_embedding_dedup)
+    for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan, op10_embedding_dedup, op11_token_counts)
 }
 
-#: SimHash, packing and toxicity are tested against brute force and held-out labels instead.
+#: SimHash, packing, toxicity and token counts are tested against brute force, the tokenizers and held-out labels instead.
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
