@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, line_dedup, packing, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, embedding_dedup, hard_negatives, html_extract, line_dedup, packing, secret_scan, simhash, substring_dedup, token_alignment, token_counts, toxicity
 from .common import read
 
-TOKENIZER, COUNTED = "word_bpe_49k.json", "byte_bpe_50k.json"
+TOKENIZER, COUNTED, ALIGNED = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -58,12 +58,21 @@ def op11_token_counts(spark, sf_dir):
     return token_counts.digest(read(spark, sf_dir, "documents"), tokenizer_path(COUNTED))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.digest(read(spark, sf_dir, "documents"), tokenizer_path(COUNTED), tokenizer_path(ALIGNED))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan, op10_embedding_dedup, op11_token_counts)
+    for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_chat_format, op8_html_extract, op9_secret_scan, op10_embedding_dedup, op11_token_counts, op12_hard_negatives, op13_token_alignment)
 }
 
-#: SimHash, packing, toxicity and token counts are tested against brute force, the tokenizers and held-out labels instead.
+#: SimHash, packing, toxicity, token counts and alignment are tested against brute force, the tokenizers
+#: and held-out labels instead.
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
@@ -72,4 +81,5 @@ ORACLE_SQL = {
     "op8_html_extract": html_extract.ORACLE,
     "op9_secret_scan": secret_scan.ORACLE,
     "op10_embedding_dedup": embedding_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
