@@ -57,6 +57,7 @@ class ForecastConfig:
     seed: int = 42
     max_iter: int = 1800
     patience: int = 80
+    boost_chunk: int = 10  # rounds between stored residuals once training may stop
     step_size: float = 0.025
     max_depth: int = 8
     subsample: float = 0.9

@@ -15,7 +15,7 @@ array expressions on the window rows (no shuffle, no Python):
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,3 +175,67 @@ def prediction_bands(paths: DataFrame, confidence: float = 0.9) -> DataFrame:
         F.when(n > 0, _quantile(F.col("v"), n, lo_q)).alias("low"),
         F.when(n > 0, _quantile(F.col("v"), n, hi_q)).alias("high"),
     )
+
+
+def sample_rows(paths: DataFrame) -> DataFrame:
+    """The long form: the window's keys, ``step, ts, y, sample, value``, one row per window, step and
+    sample (a window without samples keeps one row per step, with neither)."""
+    keep = window_keys(paths)
+    steps = paths.select(*keep, "samples", F.posexplode("horizon").alias("step", "h"))
+    values = F.transform("samples", lambda s: F.get(s, F.col("step")))
+    return steps.select(*keep, "step", F.col("h.ts").alias("ts"), F.col("h.y").alias("y"), F.posexplode_outer(values).alias("sample", "value"))
+
+
+def _band_keys(rows: DataFrame, by: Sequence[str] | None) -> list[str]:
+    return list(by) if by else [c for c in rows.columns if c not in ("ts", "y", "sample", "value", "sketch", "n")]
+
+
+def prediction_bands_long(rows: DataFrame, confidence: float = 0.9, by: Sequence[str] | None = None) -> DataFrame:
+    """Bands from sample rows, in whatever order and partitions they lie: exact order statistics of each
+    group (``by``; default the window's keys and ``step``).
+
+    Same columns and values as :func:`prediction_bands`. Missing samples don't count; a group without
+    samples has NULL bands. Partial aggregates hold a group's distinct values, so this is for groups of
+    samples (``num_samples``); for groups of any size see :func:`band_sketches`.
+    """
+    _check(1, confidence)
+    alpha = 1.0 - confidence
+    by = _band_keys(rows, by)
+    shown = [F.min(c).alias(c) for c in ("ts", "y") if c in rows.columns and c not in by]
+    bands = F.percentile("value", F.array(F.lit(alpha / 2.0), F.lit(1.0 - alpha / 2.0)))
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)")
+    out = rows.groupBy(*by).agg(*shown, middle.alias("median"), bands.alias("__bands"))
+    return out.select(*[c for c in out.columns if c != "__bands"], F.get("__bands", 0).alias("low"), F.get("__bands", 1).alias("high"))
+
+
+def sketch_error(k: int) -> float:
+    """Share of a group's rows by which the rank of a sketched quantile may be off (99 % of quantiles;
+    the published bound of KLL sketches with parameter ``k``)."""
+    return 2.296 / k**0.9723
+
+
+def band_sketches(rows: DataFrame, by: Sequence[str] | None = None, k: int = 800) -> DataFrame:
+    """One quantile sketch per group: ``*by, n, sketch``, of a few kilobytes whatever the group's size.
+
+    Sketches of parts (batches, days, finer groups) can be stored and merged later, so that bands over
+    all samples need no second look at them. Aggregation combines within tasks; no group is held whole.
+    """
+    by = _band_keys(rows, by)
+    value = F.col("value").cast("double")
+    return rows.groupBy(*by).agg(F.count("value").alias("n"), F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sketches of parts as sketches of their groups ``by``."""
+    parts = F.collect_list(F.when(F.col("n") > 0, F.col("sketch")))  # one per part
+    merged = F.when(F.size("__parts") > 0, F.reduce(F.expr("slice(__parts, 2, greatest(size(__parts) - 1, 0))"), F.get("__parts", 0), F.kll_sketch_merge_double))
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), parts.alias("__parts")).select(*by, "n", merged.alias("sketch"))
+
+
+def bands_from_sketches(sketches: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """``median, low, high`` of each sketch: values whose ranks are off by :func:`sketch_error` at most."""
+    _check(1, confidence)
+    alpha = 1.0 - confidence
+    at = lambda q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    kept = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*kept, at(0.5).alias("median"), at(alpha / 2.0).alias("low"), at(1.0 - alpha / 2.0).alias("high"))

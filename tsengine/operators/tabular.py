@@ -9,7 +9,7 @@ from dataclasses import asdict
 
 from pyspark import SparkContext, StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +90,21 @@ def early_stop(errors: Sequence[float], patience: int) -> int:
     return best
 
 
+def model_of(trees: Sequence, weights: Sequence[float], num_features: int, uid: str) -> GBTRegressionModel:
+    """A boosted model of these trees (JVM objects) and their weights."""
+    sc = SparkContext._active_spark_context
+    kind = sc._jvm.org.apache.spark.ml.regression
+    n = len(trees)
+    jtrees, jweights = sc._gateway.new_array(kind.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        jtrees[i], jweights[i] = tree, float(weight)
+    return GBTRegressionModel(kind.GBTRegressionModel(uid, jtrees, jweights, num_features))
+
+
 def first_trees(model: GBTRegressionModel, k: int) -> GBTRegressionModel:
     """The model of the first ``k`` trees: what boosting would have been after ``k`` rounds."""
-    whole, sc = model._java_obj, SparkContext._active_spark_context
-    kind = sc._jvm.org.apache.spark.ml.regression
-    trees, weights = sc._gateway.new_array(kind.DecisionTreeRegressionModel, k), sc._gateway.new_array(sc._jvm.double, k)
-    for i, (tree, weight) in enumerate(zip(list(whole.trees())[:k], model.treeWeights[:k], strict=True)):
-        trees[i], weights[i] = tree, float(weight)
-    return GBTRegressionModel(kind.GBTRegressionModel(whole.uid(), trees, weights, whole.numFeatures()))
+    whole = model._java_obj
+    return model_of(list(whole.trees())[:k], model.treeWeights[:k], whole.numFeatures(), whole.uid())
 
 
 class GbtForecaster:
@@ -132,25 +139,103 @@ class GbtForecaster:
     def assemble(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.feature_cols, outputCol="features", handleInvalid="keep").transform(df)
 
-    def fit(self, scaled: DataFrame, feature_cols: Sequence[str]) -> "GbtForecaster":
-        """Fit on ``fit`` rows; pick the best iteration on ``val`` rows with the patience rule; keep
-        the trees up to it."""
+    def _one_tree(self, round_: int) -> RandomForestRegressor:
+        """The estimator of one boosting round: what GBTRegressor fits in round ``round_``, on its residuals."""
+        c = self.cfg
+        return RandomForestRegressor(
+            featuresCol="features",
+            labelCol="__residual",
+            numTrees=1,
+            bootstrap=False,
+            maxDepth=c.max_depth,
+            subsamplingRate=c.subsample,
+            featureSubsetStrategy=c.feature_subset,
+            minInstancesPerNode=c.min_instances_per_node,
+            minInfoGain=c.min_info_gain,
+            maxBins=c.max_bins,
+            seed=c.seed + round_,
+        )
+
+    def _more_rounds(self, state: DataFrame, done: int, n: int) -> list:
+        """The trees of ``n`` further rounds on the stored predictions ``__p`` of the first ``done``.
+
+        As in MLlib's boosting with squared loss, a round's tree is fitted to twice the residuals,
+        draws its rows and columns by ``seed + round``, and counts ``step_size`` times.
+        """
+        rows, trees = state.filter(F.col("split") == "fit"), []
+        for m in range(done, done + n):
+            residual = F.lit(2.0) * (F.col(self.cfg.target) - F.col("__p"))
+            trees.append(self._one_tree(m).fit(rows.withColumn("__residual", residual)).trees[0].setPredictionCol("__tree"))
+            rows = self._added(rows, trees[-1:])
+        return trees
+
+    def _added(self, rows: DataFrame, trees: Sequence) -> DataFrame:
+        for tree in trees:
+            rows = tree.transform(rows).withColumn("__p", F.col("__p") + F.lit(self.cfg.step_size) * F.col("__tree")).drop("__tree")
+        return rows
+
+    def _errors(self, state: DataFrame, trees: Sequence) -> list[float]:
+        """Validation RMSE after each of ``trees`` on top of the stored predictions, in one pass."""
+        rows, p, means = state.filter(F.col("split") == "val"), F.col("__p"), []
+        for i, tree in enumerate(trees):
+            rows = tree.transform(rows).withColumnRenamed("__tree", f"__tree_{i}")
+            p = p + F.lit(self.cfg.step_size) * F.col(f"__tree_{i}")
+            means.append(F.avg((F.col(self.cfg.target) - p) ** 2))
+        return [float(e) ** 0.5 for e in rows.agg(*means).first()]
+
+    def fit(self, scaled: DataFrame, feature_cols: Sequence[str], resume: bool = False) -> "GbtForecaster":
+        """Boost on ``fit`` rows until the error on ``val`` rows hasn't improved for ``patience`` rounds;
+        keep the trees up to the best round.
+
+        No stop can come before round ``patience``, so these rounds are one MLlib fit. From there on
+        boosting goes on in chunks of at most ``boost_chunk`` rounds over stored residuals, each just long
+        enough to reach the next possible stop: no round is trained beyond the stop, and the trees are
+        those of one MLlib fit of all rounds (of the same seed and partitions; where a fit part of over
+        10,000 rows is sampled for its bins, each tree of a chunk draws its own sample). ``resume`` goes
+        on from the trees at hand (of an earlier fit, or loaded) up to the configured rounds and patience.
+        Without ``val`` rows all rounds are trained and kept.
+        """
+        c = self.cfg
+        if resume and self.model is None:
+            raise RuntimeError("There are no trees to go on from: fit a model or load a saved one")
+        if resume and list(feature_cols) != self.feature_cols:
+            raise ValueError("resume needs the features that the trees were fitted on")
         self.feature_cols = list(feature_cols)
-        data = self.assemble(scaled.filter(F.col("split") != "test")).select("features", self.cfg.target, "split")
+        data = self.assemble(scaled.filter(F.col("split") != "test")).select("features", c.target, "split")
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        state = None
         try:
-            fit_rows = data.filter(F.col("split") == "fit")
-            val_rows = data.filter(F.col("split") == "val")
-            model = self._estimator(self.cfg.max_iter).fit(fit_rows)
-            self.val_curve = [float(e) ** 0.5 for e in model.evaluateEachIteration(val_rows, "squared")]
-            best = early_stop(self.val_curve, self.cfg.patience) if self.val_curve else self.cfg.max_iter - 1
-            if best + 1 < len(model.trees):
-                model = first_trees(model, best + 1)
-            self.model, self.best_iteration = model, best
+            fit_rows, val_rows = (data.filter(F.col("split") == part) for part in ("fit", "val"))
+            judged = not val_rows.isEmpty()
+            first = c.max_iter if not judged else min(c.max_iter, c.patience + 1)
+            model = self.model if resume else self._estimator(first).fit(fit_rows)
+            curve = [float(e) ** 0.5 for e in model.evaluateEachIteration(val_rows.withColumn("label", F.col(c.target)), "squared")] if judged else []  # a loaded model has no label column set
+            trees, weights = list(model._java_obj.trees()), list(model.treeWeights)
+            grown = []  # a tree's JVM object is let go when its wrapper is
+            while judged:
+                room = min(c.max_iter, early_stop(curve, c.patience) + c.patience + 1) - len(curve)
+                if room < 1:
+                    break
+                if state is None:
+                    state = materialize(model.setPredictionCol("__p").transform(data))
+                new = self._more_rounds(state, len(curve), min(room, c.boost_chunk))
+                curve += self._errors(state, new)
+                grown += new
+                trees += [t._java_obj for t in new]
+                weights += [c.step_size] * len(new)
+                state = materialize(self._added(state, new))
+            best = early_stop(curve, c.patience) if curve else len(trees) - 1
+            self.model = model_of(trees[: best + 1], weights[: best + 1], model.numFeatures, model.uid)
+            self.best_iteration, self.val_curve = best, curve
         finally:
             data.unpersist()
         return self
 
+    def curve(self) -> DataFrame:
+        """One row per trained round: ``round, val_rmse, is_best``; the last round is where training stopped."""
+        rows = [(i, e, i == self.best_iteration) for i, e in enumerate(self.val_curve)]
+        return self._spark().createDataFrame(rows, "round INT, val_rmse DOUBLE, is_best BOOLEAN")
+
     def predict(self, scaled: DataFrame, params: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """``prediction`` per row (inverse-scaled with the target's parameters when given)."""
         if self.model is None:

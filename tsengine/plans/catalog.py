@@ -7,11 +7,13 @@ outputs are BIGINT/SMALLINT/TINYINT on both sides.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
-from tsengine.operators import align, charts, clean, features, metrics, probabilistic, scale, split, tabular, windows
+from tsengine.operators import align, asof, charts, clean, features, metrics, probabilistic, scale, split, tabular, windows
 from tsengine.plans import flagship as flagship_plan
 from tsengine.plans.end_to_end import run_end_to_end
 from tsengine.session import scratch_path
@@ -690,6 +692,62 @@ def q_gbt_importance(spark, d):
     return tabular.feature_importance(tabular.GbtForecaster(TAB_CFG).fit(ds, cols))
 
 
+# two features of two values, and trees of one split: SQL can boost the four cells' sums
+CURVE_CFG = ForecastConfig(max_iter=12, patience=2, max_depth=1, step_size=0.1, subsample=1.0, feature_subset="all", min_instances_per_node=1, min_info_gain=0.0, boost_chunk=2)
+
+
+def q_gbt_curve(spark, d):
+    """Validation error of every round that training took until patience stopped it."""
+    rows = features.add_calendar(_li_split(spark, d, 0.2)).select(
+        "series_id", "ts", "split", (F.col("y") / 1e6).alias("y"), F.col("is_weekend").cast("double").alias("is_weekend"), (F.col("month") > 6).cast("double").alias("second_half")
+    )
+    model = tabular.GbtForecaster(CURVE_CFG).fit(rows, ["is_weekend", "second_half"])
+    return rounded(model.curve())
+
+
+CELLS = ("00", "01", "10", "11")  # is_weekend, second_half
+
+
+def _boost_step(labels: dict[str, str], table: str = "fit") -> tuple[str, dict[str, str]]:
+    """Which feature one split of the cells' mean labels takes, and each cell's leaf mean."""
+    n = {c: f"{table}.n{c}" for c in CELLS}
+    side = {}
+    for j in (0, 1):
+        for v in "01":
+            cells = [c for c in CELLS if c[j] == v]
+            side[j, v] = (f"({' + '.join(n[c] for c in cells)})", f"(({' + '.join(f'{n[c]} * {labels[c]}' for c in cells)}) / ({' + '.join(n[c] for c in cells)}))")
+    gain = {j: f"({side[j, '0'][0]} * {side[j, '1'][0]} * power({side[j, '0'][1]} - {side[j, '1'][1]}, 2))" for j in (0, 1)}
+    first = f"({gain[0]} >= {gain[1]})"
+    return first, {c: f"(CASE WHEN {first} THEN {side[0, c[0]][1]} ELSE {side[1, c[1]][1]} END)" for c in CELLS}
+
+
+def _gbt_curve_sql() -> str:
+    c = CURVE_CFG
+    err = lambda f: f"sqrt(({' + '.join(f'(v.q{x} - 2 * {f[x]} * v.s{x} + v.n{x} * {f[x]} * {f[x]})' for x in CELLS)}) / ({' + '.join(f'v.n{x}' for x in CELLS)}))"
+    sums = ", ".join(f"CAST(count(*) FILTER (WHERE cell = '{x}') AS DOUBLE) AS n{x}, coalesce(sum(y) FILTER (WHERE cell = '{x}'), 0) AS s{x}, coalesce(sum(y * y) FILTER (WHERE cell = '{x}'), 0) AS q{x}" for x in CELLS)
+    mean = {x: f"coalesce(fit.s{x} / nullif(fit.n{x}, 0), 0)" for x in CELLS}
+    _, start = _boost_step(mean)
+    _, leaf = _boost_step({x: f"(2 * ({mean[x]} - b.f{x}))" for x in CELLS})
+    extra = LI_SPLIT + [
+        ("lm", f"SELECT series_id, ts, pos, k, least(greatest({SPLIT_EXPR.format(n='k', t='0.2')}, 1), k - 1) AS kv FROM lk"),
+        ("cells", "SELECT CASE WHEN pos < kv THEN 'fit' ELSE 'val' END AS part, y / 1e6 AS y, "
+                  "concat(CASE WHEN isodow(ts) >= 6 THEN '1' ELSE '0' END, CASE WHEN month(ts) > 6 THEN '1' ELSE '0' END) AS cell "
+                  "FROM lm JOIN lineitem_daily USING (series_id, ts) WHERE pos < k"),
+        ("fit", f"SELECT {sums} FROM cells WHERE part = 'fit'"),
+        ("v", f"SELECT {sums} FROM cells WHERE part = 'val'"),
+    ]
+    first = f"SELECT 0 AS m, {', '.join(f'{start[x]} AS f{x}' for x in CELLS)} FROM fit"
+    step = f"SELECT b.m + 1 AS m, {', '.join(f'b.f{x} + {c.step_size} * {leaf[x]} AS f{x}' for x in CELLS)} FROM b, fit WHERE b.m + 1 < {c.max_iter}"
+    body = f"""SELECT m AS round, round(e, 6) AS val_rmse, m = (SELECT min(m) FROM kept WHERE e = (SELECT min(e) FROM kept)) AS is_best FROM kept"""
+    ctes = [f"{n} AS ({q})" for n, q in [("lineitem_daily", SQL_FIXTURES["lineitem_daily"]), *extra]]
+    ctes.append(f"b AS ({first} UNION ALL {step})")
+    ctes.append(f"curve AS (SELECT m, {err({x: f'b.f{x}' for x in CELLS})} AS e FROM b, v)")
+    # a round is trained while the best one before it is less than `patience` rounds back
+    ctes.append("past AS (SELECT a.m, a.e, (SELECT arg_min(z.m, z.e) FROM curve z WHERE z.m < a.m) AS best FROM curve a)")
+    ctes.append(f"kept AS (SELECT m, e FROM past WHERE m < coalesce((SELECT min(m) FROM past WHERE m - 1 - best >= {c.patience}), {c.max_iter}))")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
+
+
 LI_SPLIT = [
     (
         "ls",
@@ -765,6 +823,7 @@ QUERIES.update(
         "scaler_inverse": q_scaler_inverse,
         "gbt_predict": q_gbt_predict,
         "gbt_importance": q_gbt_importance,
+        "gbt_curve": q_gbt_curve,
     }
 )
 ORACLE_SQL.update(SQL_SCALE)
@@ -885,6 +944,8 @@ SQL_MISC = {
     + _metric_rows_sql("fb", {"naive": "pred_a", "seasonal_naive": "pred_b", "hybrid": "hybrid_pred"}),
 }
 
+ORACLE_SQL["gbt_curve"] = _gbt_curve_sql()
+
 QUERIES.update(
     {
         "plot_frame": q_plot_frame,
@@ -1232,3 +1293,73 @@ def _aligned_sql() -> str:
 
 QUERIES["end_to_end_aligned"] = q_end_to_end_aligned
 ORACLE_SQL["end_to_end_aligned"] = _aligned_sql()
+
+
+# ----------------------------------------------------------------------------- bands in long form, as-of alignment
+
+
+def q_prediction_bands_long(spark, d):
+    """The bands again, from one row per window, step and sample."""
+    return rounded(probabilistic.prediction_bands_long(probabilistic.sample_rows(_paths(spark, d))).withColumn("step", F.col("step").cast("int")))
+
+
+SKETCH_K = 800
+
+
+def q_band_sketch_error(spark, d):
+    """Are quantiles of all events of a type, from merged sketches of parts, within the stated error?"""
+    rows = fx.table(spark, d, "events").select("event_type", F.hour("ts").alias("hour"), "value")
+    merged = probabilistic.merge_sketches(probabilistic.band_sketches(rows, ["event_type", "hour"], SKETCH_K), ["event_type"])
+    bands = probabilistic.bands_from_sketches(merged, 0.9)
+    cols = {"median": 0.5, "low": 0.05, "high": 0.95}
+    below = [F.avg((F.col("value") < F.col(c)).cast("double")).alias(f"{c}_below") for c in cols]
+    to = [F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"{c}_to") for c in cols]
+    ranks = rows.join(bands, "event_type").groupBy("event_type").agg(F.max("n").alias("n"), *below, *to)
+    error = 2 * probabilistic.sketch_error(SKETCH_K)  # twice the bound of 99 %, which is all but never passed
+    fits = [((F.col(f"{c}_below") <= q + error) & (F.col(f"{c}_to") >= q - error)).alias(c) for c, q in cols.items()]
+    return ranks.select("event_type", F.col("n").cast("bigint").alias("n"), *fits)
+
+
+ASOF_COLS = "series_id, ts, round(y_true_a, 6) AS y_true_a, round(pred_a, 6) AS pred_a, round(y_true_b, 6) AS y_true_b, round(pred_b, 6) AS pred_b, ts_b"
+
+
+def _asof(spark, d, cfg=None):
+    b = _side_b(spark, d, shift_minutes=17).drop("low", "high").filter(F.hour("ts") % 5 != 0)
+    return rounded(asof.align_asof(_side_a(spark, d), b, timedelta(minutes=50), cfg=cfg))
+
+
+def q_align_asof(spark, d):
+    return _asof(spark, d)
+
+
+def q_align_asof_blocks(spark, d):
+    return _asof(spark, d, BLOCKS)
+
+
+_ASOF_SQL = with_fixtures(
+    f"SELECT {ASOF_COLS} FROM m",
+    "events_hourly_by_type",
+    extra=EVAL_CTES[:3]
+    + [
+        ("bs", "SELECT series_id, ts + INTERVAL 17 MINUTE AS ts, y_true_b, pred_b FROM b"),
+        ("bh", "SELECT * FROM bs WHERE hour(ts) % 5 <> 0"),
+        ("j", "SELECT a.*, bh.y_true_b, bh.pred_b, bh.ts AS ts_b FROM a ASOF LEFT JOIN bh ON a.series_id = bh.series_id AND a.ts >= bh.ts"),
+        ("m", "SELECT series_id, ts, y_true_a, pred_a, " + ", ".join(f"CASE WHEN ts - ts_b <= INTERVAL 50 MINUTE THEN {c} END AS {c}" for c in ("y_true_b", "pred_b", "ts_b")) + " FROM j"),
+    ],
+)
+QUERIES.update(
+    {
+        "prediction_bands_long": q_prediction_bands_long,
+        "band_sketch_error": q_band_sketch_error,
+        "align_asof": q_align_asof,
+        "align_asof_blocks": q_align_asof_blocks,
+    }
+)
+ORACLE_SQL.update(
+    {
+        "prediction_bands_long": ORACLE_SQL["prediction_bands"],
+        "band_sketch_error": "SELECT event_type, count(value) AS n, true AS median, true AS low, true AS high FROM events GROUP BY event_type",
+        "align_asof": _ASOF_SQL,
+        "align_asof_blocks": _ASOF_SQL,
+    }
+)
