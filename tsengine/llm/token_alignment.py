@@ -15,6 +15,7 @@ times the merge, and ids and ends are larger than the text they come from.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +69,14 @@ class Side:
                 self.bytes[i] = bytes(map(letters.__getitem__, name))
         self.table = Table(self.bytes)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and how many each text has."""
         if self.words is None:
-            return self.pieces.encode(texts, num_threads=1)
-        return [e.ids for e in self.words.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            ids = self.pieces.encode(texts, num_threads=1)
+        else:
+            ids = [e.ids for e in self.words.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
 
 class Sides:
@@ -143,22 +148,18 @@ def overlaps(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
 
-def lossless(side: Side, ids: list[list[int]], wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
+def lossless(side: Side, ids: np.ndarray, n: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which texts' token bytes are their wanted bytes (``at``: where each text's begin, and the end)."""
-    counts = np.asarray([len(x) for x in ids], np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))
-    ends = np.concatenate([[0], np.cumsum(side.table.size[flat], dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+    ends = np.concatenate([[0], np.cumsum(side.table.size[ids], dtype=np.int64)])[np.concatenate([[0], np.cumsum(n)])]
     ok = np.diff(ends) == np.diff(at)
-    got = side.table.gather(flat[np.repeat(ok, counts)])
-    text = np.repeat(np.arange(len(ids))[ok], np.diff(at)[ok])
+    if ok.all() and np.array_equal(side.table.gather(ids), wanted):
+        return ok
+    got = side.table.gather(ids[np.repeat(ok, n)])
+    text = np.repeat(np.arange(len(n))[ok], np.diff(at)[ok])
     ok[text[got != wanted[np.repeat(ok, np.diff(at))]]] = False
     return ok
 
 
-def flat(ids: list[list[int]]) -> np.ndarray:
-    return np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
-
-
 def render(sides: Sides, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All groups as ``a1,a2|b1;...`` with a mark after each, and where each group's text ends."""
     in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
@@ -176,15 +177,16 @@ def render(sides: Sides, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_
 def align_texts(sides: Sides, texts: list[str], work: int = WORK):
     """Counts of A tokens, B tokens and groups, rendered groups, and linked pairs (places in
     ``sides.codes``) of each text; all zero and empty where a text's bytes don't come back."""
-    ids_a, ids_b = sides.a.ids(texts), sides.b.ids(texts)
+    (a, n_a), (b, n_b) = sides.a.ids(texts), sides.b.ids(texts)
     wanted = [b" " + t.encode() if t else b"" for t in texts]
     at = np.concatenate([[0], np.cumsum([len(w) for w in wanted])])
     whole = np.frombuffer(b"".join(wanted), np.uint8)
-    ok = lossless(sides.a, ids_a, whole, at) & lossless(sides.b, ids_b, whole, at) & (np.diff(at) > 0)
-    ids_a, ids_b = ([x if k else [] for x, k in zip(ids, ok, strict=True)] for ids in (ids_a, ids_b))
-    n_a, n_b = (np.asarray([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = flat(ids_a), flat(ids_b)
-    del ids_a, ids_b
+    empty = np.diff(at) == 0
+    if empty.any():  # whatever a tokenizer makes of nothing
+        (a, n_a), (b, n_b) = ((x[np.repeat(~empty, n)], np.where(empty, 0, n)) for x, n in ((a, n_a), (b, n_b)))
+    ok = lossless(sides.a, a, n_a, whole, at) & lossless(sides.b, b, n_b, whole, at) & ~empty
+    if not ok.all():
+        (a, n_a), (b, n_b) = ((x[np.repeat(ok, n)], np.where(ok, n, 0)) for x, n in ((a, n_a), (b, n_b)))
     i, j, both = overlaps(np.cumsum(sides.a.table.size[a], dtype=np.int64), np.cumsum(sides.b.table.size[b], dtype=np.int64), work)
     last_a, last_b = i[both], j[both]
     first = np.searchsorted(last_a, np.concatenate([[0], np.cumsum(n_a)]))
