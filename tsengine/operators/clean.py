@@ -9,6 +9,7 @@ would re-aggregate the rest of the partition for every row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,6 +104,7 @@ def interpolate_time(
     time_col: str = "ts",
     carry: dict | None = None,
     cfg: ForecastConfig | None = None,
+    max_gap: timedelta | None = None,
 ) -> DataFrame:
     """Linear interpolation in elapsed time between the nearest known neighbours.
 
@@ -111,10 +113,13 @@ def interpolate_time(
     columns holding the last known ``(ts, v)`` before and first known ``(ts, v)`` after the
     partition, so edges of a block see neighbours outside it. With a ``cfg`` whose layout is or turns
     out "blocks", a series too large for one task is filled in blocks, with equal values.
+
+    With ``max_gap``, values are not made up across an outage: a row whose known neighbours lie further
+    apart stays NULL, and so does a leading or trailing row further than that from the known value.
     """
     by = _keys(by)
     if carry is None and _in_blocks(df, by, time_col, cfg):
-        return _fill_blocks(df, cols, by[0], time_col, "interpolate")
+        return _fill_blocks(df, cols, by[0], time_col, "interpolate", max_gap)
     fwd, bwd = _running(by, time_col), _running(by, time_col, descending=True)
     t = F.col(time_col)
     neighbours = []
@@ -139,8 +144,13 @@ def interpolate_time(
             pt, pv, nt, nv = (F.col(f"__{k}_{c}") for k in ("pt", "pv", "nt", "nv"))
             span = micros_between(pt, nt)
             between = pv + (nv - pv) * (micros_between(pt, t).cast("double") / span.cast("double"))
+            missing = F.lit(False)
+            if max_gap is not None:
+                reach = F.coalesce(span, micros_between(pt, t), micros_between(t, nt))
+                missing = reach > F.lit(_micros(max_gap))
             filled = (
                 F.when(F.col(c).isNotNull(), F.col(c))
+                .when(missing, F.lit(None))
                 .when(pt.isNotNull() & nt.isNotNull() & (span > 0), between)
                 .when(pt.isNotNull(), pv)
                 .otherwise(nv)
@@ -184,7 +194,7 @@ def _in_blocks(df: DataFrame, by: list[str], time_col: str, cfg: ForecastConfig
     return cfg is not None and len(by) == 1 and resolve_layout(df, cfg.with_(series_col=by[0], time_col=time_col)).layout == "blocks"
 
 
-def _fill_blocks(df: DataFrame, cols: Sequence[str], s: str, t: str, mode: str) -> DataFrame:
+def _fill_blocks(df: DataFrame, cols: Sequence[str], s: str, t: str, mode: str, max_gap: timedelta | None = None) -> DataFrame:
     """Gap filling for series too large for one task: contiguous range blocks, with the nearest
     known neighbours outside each block carried in from a small per-block table."""
     blocked = partition_blocks(df, s, t)
@@ -192,7 +202,7 @@ def _fill_blocks(df: DataFrame, cols: Sequence[str], s: str, t: str, mode: str)
     joined = blocked.join(carried, F.col(s).eqNullSafe(F.col("__s")) & (F.col(BLOCK) == F.col("__b")), "left").drop("__s", "__b")
     if mode == "interpolate":
         carry = {c: ((f"__prev_{c}.t", f"__prev_{c}.v"), (f"__next_{c}.t", f"__next_{c}.v")) for c in cols}
-        return interpolate_time(joined, cols, by=[s, BLOCK], time_col=t, carry=carry).select(df.columns)
+        return interpolate_time(joined, cols, by=[s, BLOCK], time_col=t, carry=carry, max_gap=max_gap).select(df.columns)
     fwd, bwd = _running([s, BLOCK], t), _running([s, BLOCK], t, descending=True)
 
     def filled(c):
@@ -204,6 +214,49 @@ def _fill_blocks(df: DataFrame, cols: Sequence[str], s: str, t: str, mode: str)
     return joined.select(*[filled(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _micros(span: timedelta) -> int:
+    return int(span / timedelta(microseconds=1))
+
+
+def outage_segments(
+    df: DataFrame,
+    max_gap: timedelta,
+    by: str = "series_id",
+    time_col: str = "ts",
+    out: str = "segment",
+    cfg: ForecastConfig | None = None,
+) -> DataFrame:
+    """Number the stretches of a series between outages: 0, 1, ... in time order (BIGINT).
+
+    A row more than ``max_gap`` after the one before it starts a new segment, so that windows and lags
+    by ``[series, segment]`` don't reach across. Equal stamps are one place in time; rows without a
+    stamp have no segment. In the blocks layout (``cfg``) a block counts its own starts, and the last
+    stamp and the number of segments before it come from one row per block.
+    """
+    require_columns(df, [by, time_col])
+    t = F.col(time_col)
+    limit = F.lit(_micros(max_gap))
+    timed, untimed = df.filter(t.isNotNull()), df.filter(t.isNull()).withColumn(out, F.lit(None).cast("bigint"))
+    if not _in_blocks(timed, [by], time_col, cfg):
+        order = Window.partitionBy(by).orderBy(time_col)
+        starts = timed.withColumn("__starts", (micros_between(F.lag(t).over(order), t) > limit).cast("bigint"))
+        running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        numbered = starts.withColumn(out, F.coalesce(F.sum("__starts").over(running), F.lit(0).cast("bigint"))).drop("__starts")
+        return numbered.unionByName(untimed)
+    blocked = partition_blocks(timed, by, time_col)
+    order = Window.partitionBy(by, BLOCK).orderBy(time_col)
+    starts = blocked.withColumn("__starts", F.coalesce((micros_between(F.lag(t).over(order), t) > limit).cast("bigint"), F.lit(0).cast("bigint")))
+    blocks = starts.groupBy(F.col(by).alias("__s"), F.col(BLOCK).alias("__k")).agg(F.min(t).alias("__t0"), F.max(t).alias("__t1"), F.sum("__starts").alias("__n"))
+    along = Window.partitionBy("__s").orderBy("__k")
+    blocks = blocks.withColumn("__edge", F.coalesce((micros_between(F.lag("__t1").over(along), F.col("__t0")) > limit).cast("bigint"), F.lit(0).cast("bigint")))
+    before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.sum("__edge").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + before
+    shifts = blocks.select("__s", "__k", shift.alias("__shift"))
+    inside = F.sum("__starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = starts.withColumn("__inside", inside).join(shifts, F.col(by).eqNullSafe(F.col("__s")) & (F.col(BLOCK) == F.col("__k")))
+    return numbered.select(*df.columns, (F.col("__inside") + F.col("__shift")).cast("bigint").alias(out)).unionByName(untimed)
+
+
 def _all_null_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     row = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
     return [c for c in cols if row[c] == 0]

@@ -57,14 +57,51 @@ def forecast_metrics(
     by = _keys(by)
     pmap = dict(preds) if isinstance(preds, Mapping) else {p: p for p in preds}
     yc = as_col(y).cast("double")
-    aggs = []
+    df, aggs = _scored(df, pmap, yc)
+    grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return grouped.select(*by, F.inline(_records(pmap, metrics)))
+
+
+def metrics_hierarchy(
+    df: DataFrame,
+    preds: Mapping[str, str | Column] | Sequence[str],
+    levels: Sequence[Sequence[str]],
+    y: str | Column = "y_true",
+    metrics: Sequence[str] = PREFERRED,
+) -> DataFrame:
+    """:func:`forecast_metrics` at several levels of a hierarchy in one aggregate.
+
+    ``levels`` are lists of grouping columns, such as ``[["region", "series_id"], ["region"], []]``;
+    ``[]`` is the total. Output: all grouping columns (NULL where a level doesn't group by one),
+    ``level`` (the place in ``levels``), ``model, metric, value``. Levels are GROUPING SETS: one scan and
+    one shuffle of partial sums, also where a column itself holds NULLs (``level`` tells them apart).
+    Repeated levels and an empty list of them are refused. No rows give no records but the total's.
+    """
+    levels = [_keys(level) for level in levels]
+    if not levels or len({frozenset(level) for level in levels}) < len(levels):
+        raise ValueError("levels must be a non-empty list of different groupings")
+    by = list(dict.fromkeys(c for level in levels for c in level))
+    pmap = dict(preds) if isinstance(preds, Mapping) else {p: p for p in preds}
+    df, aggs = _scored(df, pmap, as_col(y).cast("double"))
+    if not by:
+        return df.agg(*aggs).select(F.lit(0).alias("level"), F.inline(_records(pmap, metrics)))
+    # grouping_id has one bit per column, the first column's the highest; 1 = not grouped by
+    bits = [sum((c not in level) << (len(by) - 1 - i) for i, c in enumerate(by)) for level in levels]
+    number = F.element_at(F.create_map(*[F.lit(x) for i, b in enumerate(bits) for x in (b, i)]), F.col("__gid").cast("int"))
+    grouped = df.groupingSets([[F.col(c) for c in level] for level in levels], *by).agg(F.grouping_id().alias("__gid"), *aggs)
+    return grouped.select(*by, number.alias("level"), F.inline(_records(pmap, metrics)))
+
+
+def _scored(df: DataFrame, pmap: Mapping[str, str | Column], yc: Column) -> tuple[DataFrame, list[Column]]:
+    """The rows that all models share, and the partial sums of all models."""
+    aggs, common = [], yc.isNotNull()
     for name, col in pmap.items():
         aggs += _partials(name, yc, as_col(col).cast("double"))
-    common = yc.isNotNull()
-    for col in pmap.values():
         common = common & as_col(col).isNotNull()
-    df = df.filter(common)
-    grouped = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return df.filter(common), aggs
+
+
+def _records(pmap: Mapping[str, str | Column], metrics: Sequence[str]) -> Column:
     recs = []
     for name in pmap:
         c = lambda k: F.col(f"{name}__{k}")
@@ -78,7 +115,7 @@ def forecast_metrics(
         }
         for m in metrics:
             recs.append(F.struct(F.lit(name).alias("model"), F.lit(m).alias("metric"), values[m].cast("double").alias("value")))
-    return grouped.select(*by, F.inline(F.array(*recs)))
+    return F.array(*recs)
 
 
 def compare_models(metrics: DataFrame, order: Sequence[str] = PREFERRED, extra: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:

@@ -1363,3 +1363,88 @@ ORACLE_SQL.update(
         "align_asof_blocks": _ASOF_SQL,
     }
 )
+
+
+# ----------------------------------------------------------------------------- metrics by level, outages
+
+LEVELS = [["daypart", "series_id"], ["daypart"], ["series_id"], []]
+LEVEL_PREDS = {"a": "pred_a", "b": "pred_b", "hybrid": "hybrid_pred"}
+
+
+def q_metrics_hierarchy(spark, d):
+    """Metrics by part of the day and series, each alone, and in all: one aggregate."""
+    rows = _blended(spark, d).withColumn("daypart", F.when(F.hour("ts") < 12, "am").otherwise("pm"))
+    out = metrics.metrics_hierarchy(rows, LEVEL_PREDS, LEVELS, metrics=[*metrics.PREFERRED, "n"])
+    return rounded(out)
+
+
+def _hierarchy_sql() -> str:
+    parts = []
+    for i, level in enumerate(LEVELS):
+        keys = ", ".join(f"{c if c in level else 'CAST(NULL AS VARCHAR)'} AS {c}" for c in ("daypart", "series_id"))
+        group = f" GROUP BY {', '.join(level)}" if level else ""
+        for model, col in LEVEL_PREDS.items():
+            for m in (*metrics.PREFERRED, "n"):
+                value = "CAST(count(*) AS DOUBLE)" if m == "n" else f"round(CAST({_metric_sql(col, m)} AS DOUBLE), 6)"
+                parts.append(f"SELECT {keys}, {i} AS level, '{model}' AS model, '{m}' AS metric, {value} AS value FROM dp{group}")
+    extra = EVAL_CTES + [("dp", "SELECT *, CASE WHEN hour(ts) < 12 THEN 'am' ELSE 'pm' END AS daypart FROM bl")]
+    return with_fixtures(" UNION ALL ".join(parts), "events_hourly_by_type", extra=extra)
+
+
+GAP = timedelta(hours=3)
+
+
+def _outage(spark, d, cfg=None):
+    return rounded(clean.interpolate_time(_coerced(spark, d), ["y"], max_gap=GAP, cfg=cfg))
+
+
+def q_interpolate_outages(spark, d):
+    return _outage(spark, d)
+
+
+def q_interpolate_outages_blocks(spark, d):
+    return _outage(spark, d, BLOCKS)
+
+
+def _segments(spark, d, cfg=None):
+    known = _coerced(spark, d).filter("y IS NOT NULL")
+    return clean.outage_segments(known, GAP, cfg=cfg).select("series_id", "ts", "segment")
+
+
+def q_outage_segments(spark, d):
+    return _segments(spark, d)
+
+
+def q_outage_segments_blocks(spark, d):
+    return _segments(spark, d, BLOCKS)
+
+
+_OUTAGE = INTERP_SQL.replace(
+    "WHEN y IS NOT NULL THEN y",
+    "WHEN y IS NOT NULL THEN y WHEN coalesce(epoch_us(nt) - epoch_us(pt), epoch_us(ts) - epoch_us(pt), epoch_us(nt) - epoch_us(ts)) > 10800000000 THEN NULL",
+)
+_OUTAGE_SQL = with_fixtures("SELECT series_id, ts, round(y, 6) AS y FROM interp", "events_dirty", extra=CLEAN_CHAIN + [("interp", _OUTAGE)])
+_SEGMENT_SQL = with_fixtures(
+    "SELECT series_id, ts, CAST(sum(starts) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS segment "
+    "FROM (SELECT series_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)) > 10800000000 THEN 1 ELSE 0 END AS starts FROM coerced WHERE y IS NOT NULL)",
+    "events_dirty",
+    extra=CLEAN_CHAIN,
+)
+QUERIES.update(
+    {
+        "metrics_hierarchy": q_metrics_hierarchy,
+        "interpolate_outages": q_interpolate_outages,
+        "interpolate_outages_blocks": q_interpolate_outages_blocks,
+        "outage_segments": q_outage_segments,
+        "outage_segments_blocks": q_outage_segments_blocks,
+    }
+)
+ORACLE_SQL.update(
+    {
+        "metrics_hierarchy": _hierarchy_sql(),
+        "interpolate_outages": _OUTAGE_SQL,
+        "interpolate_outages_blocks": _OUTAGE_SQL,
+        "outage_segments": _SEGMENT_SQL,
+        "outage_segments_blocks": _SEGMENT_SQL,
+    }
+)
