@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from tsengine.config import ForecastConfig
 from tsengine.operators import charts, clean
 from tsengine.plans.end_to_end import run_end_to_end
+from tsengine.plans.layout import resolve_layout
 from tsengine.session import clear_scratch, ensure_checkpoint_dir
-from tsengine.sources import files, sinks
+from tsengine.sources import artefacts, files, sinks
 
 
 #: Settings of ForecastConfig that the command line takes, by the same names.
@@ -40,6 +41,7 @@ def main(argv: list[str] | None = None) -> dict:
         if f.name in SETTINGS:
             p.add_argument("--" + f.name.replace("_", "-"), type=type(f.default), default=f.default)
     p.add_argument("--no-auto-tune", action="store_true", help="blend with --blend-weight instead of tuning it")
+    p.add_argument("--versioned", action="store_true", help="write a new version of all artefacts under <output>/artefacts instead of replacing the last run's")
     a = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("tsengine").getOrCreate()
@@ -51,14 +53,22 @@ def main(argv: list[str] | None = None) -> dict:
     series = raw.withColumn("series_id", F.col(a.series_col).cast("string") if a.series_col else F.lit("all"))
     values = [c for c in raw.columns if c not in (a.time_col, a.series_col, files.INPUT_ORDER)]
     cfg = ForecastConfig(auto_tune=not a.no_auto_tune, **{name: getattr(a, name) for name in SETTINGS})
+    cfg = resolve_layout(series, cfg)
     cleaned = clean.clean_series(series.select("series_id", a.time_col, files.INPUT_ORDER, *values), cfg, value_cols=values, time_raw=a.time_col, fmt=a.time_format or TIME_FORMATS)
     cleaned = cleaned.withColumnRenamed(a.target, cfg.target) if a.target != cfg.target else cleaned
     res = run_end_to_end(cleaned, cfg, cleaned=True)
-    sinks.write_metrics(res["metrics"], f"{out}/metrics")
-    sinks.write_comparison(res["comparison"], f"{out}/model_comparison")
-    res["model"].save(f"{out}/model")
-    charts.plot_frame(res["blended"], ["y_true", "pred_a", "hybrid_pred"]).write.mode("overwrite").parquet(f"{out}/plot_forecast")
-    charts.plot_frame(res["blended"], ["y_true", "pred_b"], bands=True).write.mode("overwrite").parquet(f"{out}/plot_probabilistic")
+
+    def write(out: str) -> None:
+        sinks.write_metrics(res["metrics"], f"{out}/metrics")
+        sinks.write_comparison(res["comparison"], f"{out}/model_comparison")
+        res["model"].save(f"{out}/model")
+        charts.plot_frame(res["blended"], ["y_true", "pred_a", "hybrid_pred"]).write.mode("overwrite").parquet(f"{out}/plot_forecast")
+        charts.plot_frame(res["blended"], ["y_true", "pred_b"], bands=True).write.mode("overwrite").parquet(f"{out}/plot_probabilistic")
+
+    if a.versioned:  # all of a run's artefacts become current together, or none
+        artefacts.publish(spark, f"{out}/artefacts", write, {"input": a.input})
+    else:
+        write(out)
     clear_scratch(spark)
     return res
 

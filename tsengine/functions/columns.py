@@ -41,6 +41,12 @@ def micros_between(start: str | Column, end: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end))
 
 
+def ntz_from_micros(micros: str | Column) -> Column:
+    """TIMESTAMP_NTZ that lies so many microseconds after 1970, whatever the session zone."""
+    seconds = (as_col(micros) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def floor_ts(c: str | Column, duration: str) -> Column:
     """Tumbling bucket start, e.g. ``floor_ts("ts", "30 minutes")``; keeps TIMESTAMP_NTZ."""
     return F.window(as_col(c), duration).start

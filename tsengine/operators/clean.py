@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.functions.columns import micros_between, nan_to_null, numeric_or_null
-from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, pin_layout, resolve_layout
+from tsengine.plans.layout import BLOCK, edge_carry, partition_blocks, resolve_layout
 from tsengine.sources.files import INPUT_ORDER, require_columns
 
 
@@ -262,6 +262,21 @@ def _all_null_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if row[c] == 0]
 
 
+def _raw_layout(df: DataFrame, cfg: ForecastConfig) -> str:
+    """The layout that the raw rows call for (an upper bound of the clean ones): a count that reads the
+    series column alone, or nothing where the layout is given."""
+    return resolve_layout(df, cfg).layout
+
+
+def _require_any_parsed(df: DataFrame, col: str, fmt) -> None:
+    """Raise if there are rows but not one stamp parses. Stops at the first that does, so only a wrong
+    pattern costs a pass over the column."""
+    if dict(df.dtypes)[col] in ("timestamp_ntz", "timestamp", "date"):
+        return
+    if df.filter(_parsed(df, col, fmt).isNotNull()).isEmpty():
+        _require_parsed(df.count(), 0, col, fmt)
+
+
 def clean_series(
     df: DataFrame,
     cfg: ForecastConfig = ForecastConfig(),
@@ -293,12 +308,8 @@ def clean_series(
     if value_cols is None:
         value_cols = [c for c in df.columns if c not in (s, time_raw, *(tie_break or []))]
     require_columns(df, value_cols)
-    # one pass over two raw columns: does any stamp parse, and how large are the series (an upper
-    # bound of their clean size, which decides the layout)
-    seen = df.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.count(_parsed(df, time_raw, fmt)).alias("p"))
-    seen = seen.agg(F.max("n").alias("biggest"), F.sum("n").alias("rows"), F.sum("p").alias("parsed")).first()
-    _require_parsed(seen["rows"] or 0, seen["parsed"] or 0, time_raw, fmt)
-    layout = pin_layout(df.sparkSession, cfg, seen["biggest"] or 0, seen["rows"] or 0).layout
+    layout = _raw_layout(df, cfg)
+    _require_any_parsed(df, time_raw, fmt)
     out = parse_ts(df, time_raw, fmt, out=t)
     if layout == "series":
         # one shuffle by series serves both the dedup aggregate (clustered by series, ts) and

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tsengine.functions.columns import FLOAT64_EPS, ZERO_ATOL, as_col
@@ -126,14 +126,37 @@ def compare_models(metrics: DataFrame, order: Sequence[str] = PREFERRED, extra:
     return metrics.groupBy(*by, "model").pivot("metric", cols).agg(F.first("value"))
 
 
-def assert_complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Raise when there are no rows, or a listed column has NULLs (which SQL aggregates would skip),
-    NaN or infinite values (which would take over every average)."""
+def _odd_counts(cols: Sequence[str]) -> list[Column]:
+    """Number of rows, and of NULL, NaN or infinite values in each column."""
     x = lambda c: F.col(c).cast("double")
     odd = lambda c: F.col(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))
-    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.when(odd(c), 1)).alias(c) for c in cols]).first()
-    if not row["__n"]:
+    return [F.count(F.lit(1)).alias("__n"), *[F.count(F.when(odd(c), 1)).alias(c) for c in cols]]
+
+
+def _refuse_odd(seen: Mapping[str, int], cols: Sequence[str]) -> None:
+    if not seen["__n"]:
         raise ValueError("No rows to score: the forecasts have nothing in common")
-    if bad := {c: row[c] for c in cols if row[c]}:
+    if bad := {c: seen[c] for c in cols if seen[c]}:
         raise ValueError(f"Columns have missing or non-finite values after alignment: {bad}")
+
+
+def completeness(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``*by, n`` and, for each column, how many of its values are NULL, NaN or infinite."""
+    out = df.groupBy(*by).agg(*_odd_counts(cols)) if by else df.agg(*_odd_counts(cols))
+    return out.withColumnRenamed("__n", "n")
+
+
+def assert_complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Raise when there are no rows, or a listed column has NULLs (which SQL aggregates would skip),
+    NaN or infinite values (which would take over every average)."""
+    _refuse_odd(df.agg(*_odd_counts(cols)).first().asDict(), cols)
     return df
+
+
+def write_complete(df: DataFrame, cols: Sequence[str], write: Callable[[DataFrame], DataFrame], extra: Sequence[Column] = ()) -> tuple[DataFrame, dict]:
+    """:func:`assert_complete` without a job of its own: the counts (and ``extra`` aggregates) are taken
+    while ``write`` stores the frame. Returns what ``write`` returned, and the observed values."""
+    seen = Observation()
+    out = write(df.observe(seen, *_odd_counts(cols), *extra))
+    _refuse_odd(seen.get, cols)
+    return out, {k: v for k, v in seen.get.items() if k != "__n"} | {"n": seen.get["__n"]}

@@ -8,6 +8,10 @@ array expressions on the window rows (no shuffle, no Python):
 * ``bootstrap``: the seasonal-naive path plus seasonal residuals ``ctx[t] - ctx[t - S]`` drawn
   by integer arithmetic on (series, window, sample, step, seed): deterministic, independent of how
   the rows are partitioned, and repeatable in any SQL.
+* ``model``: a scorer that has to be loaded, such as a network with its weights. ``factory()`` loads it,
+  once per Python worker and not per batch or task, and returns ``fn(contexts, lengths)``: contexts are a
+  batch x context_length array, padded with NaN on the left, and the result is a batch x samples x
+  horizon array; samples that are all NaN are left out.
 * ``plugin``: any user scorer ``fn(contexts, horizon, num_samples, seed)`` run with ``mapInPandas``
   on Arrow batches, ``batch_size`` contexts per call. It returns one array (samples x horizon) for
   each context; the numbers of samples may differ, and 0 rows mean none.
@@ -17,11 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsengine.config import ForecastConfig
+from tsengine.functions.columns import nan_to_null
 from tsengine.operators.windows import truncate_context, window_keys
 
 SAMPLES = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -55,6 +61,7 @@ def sample_paths(
     seed: int | None = None,
     fn: Callable | None = None,
     batch_size: int = 16,
+    factory: Callable | None = None,
 ) -> DataFrame:
     """Add ``samples ARRAY<ARRAY<DOUBLE>>`` (sample x step) to every window row."""
     method = method or cfg.sampler
@@ -95,9 +102,39 @@ def sample_paths(
         if fn is None:
             raise ValueError("method='plugin' needs fn")
         return _plugin(df, fn, H, J, seed, batch_size)
+    if method == "model":
+        if factory is None:
+            raise ValueError("method='model' needs factory")
+        return _loaded(df, factory, cfg.context_length, H, J, batch_size)
     raise ValueError(f"unknown sampler {method!r}")
 
 
+def _loaded(df: DataFrame, factory: Callable, C: int, H: int, J: int, batch_size: int) -> DataFrame:
+    """Windows scored by a model that each worker loads once and keeps between batches and tasks."""
+
+    def make():
+        import numpy as np
+
+        score = factory()
+
+        def predict(contexts, lengths):
+            paths = np.asarray(score(contexts, lengths.astype(np.int64)), dtype=np.float64)
+            if paths.shape != (len(contexts), J, H):
+                raise ValueError(f"the model must return {len(contexts)} x {J} x {H} values, not {paths.shape}")
+            return paths.reshape(len(contexts), J * H)
+
+        return predict
+
+    udf = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[C], []])
+    known = F.coalesce("ctx", F.array().cast("array<double>"))
+    context = F.transform(known, lambda v: F.coalesce(v, F.lit(float("nan"))))
+    padded = F.concat(F.array_repeat(F.lit(float("nan")), F.lit(C) - F.size(context)), context)
+    flat = df.withColumn("__flat", udf(padded, F.size(context).cast("double")))
+    paths = F.transform(F.sequence(F.lit(0), F.lit(J - 1)), lambda j: F.slice("__flat", j * H + 1, H))
+    there = F.filter(paths, lambda p: F.exists(p, lambda v: v.isNotNull() & ~F.isnan(v)))
+    return flat.withColumn("samples", F.transform(there, lambda p: F.transform(p, nan_to_null))).drop("__flat")
+
+
 def _plugin(df: DataFrame, fn: Callable, H: int, J: int, seed: int, batch_size: int) -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField("samples", SAMPLES, True)])
 
@@ -141,6 +178,26 @@ def seasonal_analog_plugin(season_length: int = 48):
     return fn
 
 
+def seasonal_analog_model(num_samples: int, horizon: int, season_length: int = 48):
+    """A factory with the ``analog`` rule, for tests and examples of ``method="model"``."""
+
+    def factory():
+        import numpy as np
+
+        h = np.arange(horizon) % season_length
+
+        def fn(contexts, lengths):
+            out = np.full((len(contexts), num_samples, horizon), np.nan)
+            for j in range(1, num_samples + 1):
+                enough = lengths >= j * season_length
+                out[enough, j - 1] = contexts[enough][:, contexts.shape[1] - j * season_length + h] if enough.any() else 0
+            return out
+
+        return fn
+
+    return factory
+
+
 def _quantile(vals, n, q: float):
     """Linear-interpolated quantile of a sorted array (the usual ``linear`` method)."""
     rank = F.lit(q) * (n - 1).cast("double")

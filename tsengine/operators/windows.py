@@ -52,14 +52,15 @@ def context_windows(
     if C < 1 or H < 1 or S < 1:
         raise ValueError("context_length, prediction_length and stride must be >= 1")
 
+    if cfg.on_short == "error":  # judged by one count per series, before any row is numbered
+        status = series_status(df, cfg.with_(context_length=C, prediction_length=H, stride=S, test_size=tsz))
+        short = status.filter(F.col("status") != "ok").select(s_col).limit(5).collect()
+        if short:
+            raise ValueError(f"Series too short for windows (need C+H train and H test rows): {[r[0] for r in short]}")
     base = positions_and_counts(df.select(s_col, t_col, y_col), cfg, pos="pos", n="n")
     split = split_index(F.col("n"), tsz, lo=F.lit(C + H))
     base = base.withColumn("cut", split)
     usable = (F.col("cut") >= C + H) & (F.col("n") - F.col("cut") >= H)
-    if cfg.on_short == "error":
-        short = base.filter(~usable).select(s_col).distinct().limit(5).collect()
-        if short:
-            raise ValueError(f"Series too short for windows (need C+H train and H test rows): {[r[0] for r in short]}")
     base = base.filter(usable)
 
     # one pass: a row belongs to the train phase (before the split) and/or to the test phase

@@ -17,9 +17,9 @@ from tsengine.operators import align, asof, charts, clean, features, metrics, pr
 from tsengine.plans import flagship as flagship_plan
 from tsengine.plans.end_to_end import run_end_to_end
 from tsengine.session import scratch_path
-from tsengine.sources import files, sinks
+from tsengine.sources import artefacts, files, sinks
 from tsengine.sources import fixtures as fx
-from tsengine.streaming import land_stream
+from tsengine.streaming import land_stream, stream_clean_lags
 
 DIGITS = 6
 
@@ -696,20 +696,23 @@ def q_gbt_importance(spark, d):
 CURVE_CFG = ForecastConfig(max_iter=12, patience=2, max_depth=1, step_size=0.1, subsample=1.0, feature_subset="all", min_instances_per_node=1, min_info_gain=0.0, boost_chunk=2)
 
 
-def q_gbt_curve(spark, d):
-    """Validation error of every round that training took until patience stopped it."""
+def _curve_model(spark, d):
     rows = features.add_calendar(_li_split(spark, d, 0.2)).select(
         "series_id", "ts", "split", (F.col("y") / 1e6).alias("y"), F.col("is_weekend").cast("double").alias("is_weekend"), (F.col("month") > 6).cast("double").alias("second_half")
     )
-    model = tabular.GbtForecaster(CURVE_CFG).fit(rows, ["is_weekend", "second_half"])
-    return rounded(model.curve())
+    return tabular.GbtForecaster(CURVE_CFG).fit(rows, ["is_weekend", "second_half"])
+
+
+def q_gbt_curve(spark, d):
+    """Validation error of every round that training took until patience stopped it."""
+    return rounded(_curve_model(spark, d).curve())
 
 
 CELLS = ("00", "01", "10", "11")  # is_weekend, second_half
 
 
-def _boost_step(labels: dict[str, str], table: str = "fit") -> tuple[str, dict[str, str]]:
-    """Which feature one split of the cells' mean labels takes, and each cell's leaf mean."""
+def _boost_step(labels: dict[str, str], table: str = "fit") -> tuple[str, str, dict[str, str]]:
+    """Which feature one split of the cells' mean labels takes, its gain, and each cell's leaf mean."""
     n = {c: f"{table}.n{c}" for c in CELLS}
     side = {}
     for j in (0, 1):
@@ -718,16 +721,18 @@ def _boost_step(labels: dict[str, str], table: str = "fit") -> tuple[str, dict[s
             side[j, v] = (f"({' + '.join(n[c] for c in cells)})", f"(({' + '.join(f'{n[c]} * {labels[c]}' for c in cells)}) / ({' + '.join(n[c] for c in cells)}))")
     gain = {j: f"({side[j, '0'][0]} * {side[j, '1'][0]} * power({side[j, '0'][1]} - {side[j, '1'][1]}, 2))" for j in (0, 1)}
     first = f"({gain[0]} >= {gain[1]})"
-    return first, {c: f"(CASE WHEN {first} THEN {side[0, c[0]][1]} ELSE {side[1, c[1]][1]} END)" for c in CELLS}
+    rows = " + ".join(n.values())
+    won = f"((CASE WHEN {first} THEN {gain[0]} ELSE {gain[1]} END) / power({rows}, 2))"
+    return first, won, {c: f"(CASE WHEN {first} THEN {side[0, c[0]][1]} ELSE {side[1, c[1]][1]} END)" for c in CELLS}
 
 
-def _gbt_curve_sql() -> str:
+def _gbt_curve_sql(importance: bool = False) -> str:
     c = CURVE_CFG
     err = lambda f: f"sqrt(({' + '.join(f'(v.q{x} - 2 * {f[x]} * v.s{x} + v.n{x} * {f[x]} * {f[x]})' for x in CELLS)}) / ({' + '.join(f'v.n{x}' for x in CELLS)}))"
     sums = ", ".join(f"CAST(count(*) FILTER (WHERE cell = '{x}') AS DOUBLE) AS n{x}, coalesce(sum(y) FILTER (WHERE cell = '{x}'), 0) AS s{x}, coalesce(sum(y * y) FILTER (WHERE cell = '{x}'), 0) AS q{x}" for x in CELLS)
     mean = {x: f"coalesce(fit.s{x} / nullif(fit.n{x}, 0), 0)" for x in CELLS}
-    _, start = _boost_step(mean)
-    _, leaf = _boost_step({x: f"(2 * ({mean[x]} - b.f{x}))" for x in CELLS})
+    split0, gain0, start = _boost_step(mean)
+    split, gain, leaf = _boost_step({x: f"(2 * ({mean[x]} - b.f{x}))" for x in CELLS})
     extra = LI_SPLIT + [
         ("lm", f"SELECT series_id, ts, pos, k, least(greatest({SPLIT_EXPR.format(n='k', t='0.2')}, 1), k - 1) AS kv FROM lk"),
         ("cells", "SELECT CASE WHEN pos < kv THEN 'fit' ELSE 'val' END AS part, y / 1e6 AS y, "
@@ -736,8 +741,8 @@ def _gbt_curve_sql() -> str:
         ("fit", f"SELECT {sums} FROM cells WHERE part = 'fit'"),
         ("v", f"SELECT {sums} FROM cells WHERE part = 'val'"),
     ]
-    first = f"SELECT 0 AS m, {', '.join(f'{start[x]} AS f{x}' for x in CELLS)} FROM fit"
-    step = f"SELECT b.m + 1 AS m, {', '.join(f'b.f{x} + {c.step_size} * {leaf[x]} AS f{x}' for x in CELLS)} FROM b, fit WHERE b.m + 1 < {c.max_iter}"
+    first = f"SELECT 0 AS m, {split0} AS weekend, {gain0} AS gain, {', '.join(f'{start[x]} AS f{x}' for x in CELLS)} FROM fit"
+    step = f"SELECT b.m + 1 AS m, {split}, {gain}, {', '.join(f'b.f{x} + {c.step_size} * {leaf[x]} AS f{x}' for x in CELLS)} FROM b, fit WHERE b.m + 1 < {c.max_iter}"
     body = f"""SELECT m AS round, round(e, 6) AS val_rmse, m = (SELECT min(m) FROM kept WHERE e = (SELECT min(e) FROM kept)) AS is_best FROM kept"""
     ctes = [f"{n} AS ({q})" for n, q in [("lineitem_daily", SQL_FIXTURES["lineitem_daily"]), *extra]]
     ctes.append(f"b AS ({first} UNION ALL {step})")
@@ -745,6 +750,10 @@ def _gbt_curve_sql() -> str:
     # a round is trained while the best one before it is less than `patience` rounds back
     ctes.append("past AS (SELECT a.m, a.e, (SELECT arg_min(z.m, z.e) FROM curve z WHERE z.m < a.m) AS best FROM curve a)")
     ctes.append(f"kept AS (SELECT m, e FROM past WHERE m < coalesce((SELECT min(m) FROM past WHERE m - 1 - best >= {c.patience}), {c.max_iter}))")
+    if importance:  # splits of the kept trees
+        body = """SELECT feature, CAST(count(m) AS BIGINT) AS weight, round(coalesce(avg(gain), 0), 6) AS gain
+FROM (VALUES ('is_weekend', true), ('second_half', false)) names(feature, weekend)
+LEFT JOIN (SELECT * FROM b WHERE m <= (SELECT arg_min(m, e) FROM kept)) k USING (weekend) GROUP BY feature"""
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
@@ -904,7 +913,10 @@ def _plot_sql(lines, bands: bool) -> str:
             "FROM st JOIN bd USING (series_id)",
         ),
     ]
-    body = "SELECT series_id, bucket, line, min(ts) AS ts, round(avg(v), 6) AS value, round(min(v), 6) AS v_min, round(max(v), 6) AS v_max FROM bk GROUP BY series_id, bucket, line"
+    body = (
+        "SELECT series_id, bucket, line, min(ts) AS ts, round(avg(v), 6) AS value, round(min(v), 6) AS v_min, round(max(v), 6) AS v_max, "
+        "min({'v': v, 't': ts}).t AS ts_min, min({'v': -v, 't': ts}).t AS ts_max FROM bk GROUP BY series_id, bucket, line"
+    )
     return with_fixtures(body, "events_hourly_by_type", extra=extra)
 
 
@@ -1002,7 +1014,7 @@ ORACLE_SQL.update(
 )
 
 
-def _tabular_sql(cfg: ForecastConfig) -> str:
+def _tabular_sql(cfg: ForecastConfig, shown: str = "round({}, 6)") -> str:
     steps = features.lag_steps(cfg.max_lag, cfg.seasonal_anchors)
     widths = features.rolling_windows(cfg.max_lag, cfg.rolling_candidates)
     cal = ["hour", "day_of_week", "month", "quarter", "day_of_year", "is_weekend"]
@@ -1021,7 +1033,7 @@ def _tabular_sql(cfg: ForecastConfig) -> str:
     ) + " FROM f3 WHERE split <> 'test' GROUP BY series_id"
     body = (
         "SELECT f3.series_id, ts, split, round(y, 6) AS y_raw, "
-        + ", ".join(f"round((CAST(f3.{c} AS DOUBLE) - c__{c}) / s__{c}, 6) AS {c}" for c in all_cols)
+        + ", ".join(f"{shown.format(f'(CAST(f3.{c} AS DOUBLE) - c__{c}) / s__{c}')} AS {c}" for c in all_cols)
         + " FROM f3 JOIN pw USING (series_id)"
     )
     return with_fixtures(body, "lineitem_daily", extra=[("f0", f0), ("f1", f1), ("f2", f2), ("f3", f3), ("pw", pw)])
@@ -1448,3 +1460,112 @@ ORACLE_SQL.update(
         "outage_segments_blocks": _SEGMENT_SQL,
     }
 )
+
+
+# ----------------------------------------------------------------------------- loaded scorer, arriving data, versions, guards
+
+
+def q_sample_paths_model(spark, d):
+    """The paths of the plugin sampler, from a scorer that each worker loads once."""
+    factory = probabilistic.seasonal_analog_model(WIN30.num_samples, WIN30.prediction_length, WIN30.season_length)
+    return rounded(probabilistic.prediction_bands(probabilistic.sample_paths(_win30(spark, d), WIN30, method="model", factory=factory), 0.9))
+
+
+STREAM_STEPS, STREAM_DELAY = (1, 2, 24), "12 hours"
+STREAM_SCHEMA = "series_id STRING, ts TIMESTAMP_NTZ, y DOUBLE, event_id BIGINT"
+
+
+def q_stream_clean_lags(spark, d):
+    """Lags of events that arrive in two calls; every fifth event of the last hours before the cut comes late."""
+    raw = fx.table(spark, d, "events").select(
+        F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("y"), "event_id"
+    )
+    cut = raw.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("at")).select(F.timestamp_micros("at").cast("timestamp_ntz")).first()[0]
+    late = (F.col("event_id") % 5 == 0) & (F.col("ts") > F.lit(cut) - F.expr("INTERVAL 6 HOURS"))
+    first = (F.col("ts") <= F.lit(cut)) & ~late
+    src, dst = scratch_path(spark, "arriving"), scratch_path(spark, "stream-lags")
+    for part in (raw.filter(first), raw.filter(~first)):
+        part.write.mode("append").parquet(src)
+        stream_clean_lags(spark, src, dst, STREAM_SCHEMA, STREAM_STEPS, STREAM_DELAY, "event_id")
+    return rounded(files.read_series(spark, dst))
+
+
+def _stream_sql() -> str:
+    src = "SELECT event_type AS series_id, ts, arg_max({'y': CASE WHEN event_id % 17 <> 0 THEN value END}, event_id).y AS y FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
+    filled = "SELECT series_id, ts, last_value(y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM last"
+    lagged = f"SELECT series_id, ts, round(y, 6) AS y, {', '.join(lag_sql('y', STREAM_STEPS))} FROM (SELECT * FROM filled WHERE y IS NOT NULL) WINDOW w AS (PARTITION BY series_id ORDER BY ts)"
+    return f"WITH last AS ({src}), filled AS ({filled}), lagged AS ({lagged}) SELECT * FROM lagged WHERE ts <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 12 HOUR"
+
+
+def q_artefact_versions(spark, d):
+    """The comparison table read back from its current version, after a further version failed."""
+    m = metrics.forecast_metrics(_blended(spark, d), PREDS)
+    root = scratch_path(spark, "versions")
+    artefacts.publish(spark, root, lambda path: sinks.write_comparison(metrics.compare_models(m.filter("model <> 'hybrid'")), path))
+    artefacts.publish(spark, root, lambda path: sinks.write_comparison(metrics.compare_models(m), path))
+    broken = m.withColumn("value", F.raise_error(F.lit("no")).cast("double"))
+    try:
+        artefacts.publish(spark, root, lambda path: sinks.write_comparison(metrics.compare_models(broken), path))
+    except Exception as e:  # noqa: BLE001 - the version is meant to fail
+        if "no" not in str(e):
+            raise
+    schema = "model STRING, " + ", ".join(f"{x} DOUBLE" for x in metrics.PREFERRED)
+    return rounded(files.read_series(spark, artefacts.current(spark, root), fmt="csv", schema=schema))
+
+
+def q_blend_fixed(spark, d):
+    """Fixed weights, clipped to [0, 1]."""
+    out = _aligned(spark, d).withColumn("y_true", F.col("y_true_b"))
+    for name, w in (("over", 1.7), ("under", -0.3), ("fixed", ForecastConfig().blend_weight)):
+        out = align.blend(out, w, out=f"hybrid_{name}")
+    return rounded(out.select("series_id", "ts", "hybrid_over", "hybrid_under", "hybrid_fixed"))
+
+
+def q_completeness(spark, d):
+    """What the guard before scoring counts: missing and non-finite values."""
+    odd = _coerced(spark, d).withColumn("x", F.when(F.col("y") > 0, F.when(F.dayofmonth("ts") == 3, F.lit(float("inf"))).when(F.dayofmonth("ts") == 4, F.lit(float("nan"))).otherwise(F.col("y"))))
+    return metrics.completeness(odd, ["y", "x"], by=["series_id"])
+
+
+def q_tabular_float32(spark, d):
+    """The scaled matrix narrowed to FLOAT."""
+    ds, _, cols = tabular.tabular_dataset(fx.lineitem_daily(spark, d), TAB_CFG.with_(float32=True))
+    shown = [(F.round(F.col(c).cast("double"), 4) + F.lit(0.0)).alias(c) for c in ("y", "y_lag_1", "y_roll_mean_7", "x_qty")]  # no -0.0
+    return ds.select("series_id", "ts", "split", *shown)
+
+
+def q_gbt_importance_rows(spark, d):
+    """Number of splits and mean gain per feature, read from the saved nodes of the curve's trees."""
+    return rounded(tabular.feature_importance(_curve_model(spark, d)))
+
+
+QUERIES.update(
+    {
+        "sample_paths_model": q_sample_paths_model,
+        "stream_clean_lags": q_stream_clean_lags,
+        "artefact_versions": q_artefact_versions,
+        "blend_fixed": q_blend_fixed,
+        "completeness": q_completeness,
+        "tabular_float32": q_tabular_float32,
+        "gbt_importance_rows": q_gbt_importance_rows,
+    }
+)
+ORACLE_SQL.update(
+    {
+        "sample_paths_model": ORACLE_SQL["sample_paths_plugin"],
+        "stream_clean_lags": _stream_sql(),
+        "artefact_versions": ORACLE_SQL["write_comparison"],
+        "blend_fixed": with_fixtures(
+            "SELECT series_id, ts, round(pred_a, 6) AS hybrid_over, round(pred_b, 6) AS hybrid_under, round(hybrid_pred, 6) AS hybrid_fixed FROM bl",
+            "events_hourly_by_type",
+            extra=EVAL_CTES,
+        ),
+        "completeness": with_fixtures(
+            "SELECT series_id, count(*) AS n, count(*) FILTER (WHERE y IS NULL) AS y, count(*) FILTER (WHERE y IS NULL OR y <= 0 OR day(ts) IN (3, 4)) AS x FROM coerced GROUP BY series_id",
+            "events_dirty",
+            extra=CLEAN_CHAIN,
+        ),
+        "tabular_float32": f"SELECT series_id, ts, split, y, y_lag_1, y_roll_mean_7, x_qty FROM ({_tabular_sql(TAB_CFG.with_(float32=True), 'round(CAST(CAST({} AS FLOAT) AS DOUBLE), 4) + 0')})",
+        "gbt_importance_rows": _gbt_curve_sql(importance=True),
+    }
+)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tsengine.config import ForecastConfig
 from tsengine.operators import align, clean, metrics, probabilistic, tabular, windows
-from tsengine.plans.layout import pin_layout
-from tsengine.session import materialize
+from tsengine.plans.layout import pin_layout, resolve_layout
+from tsengine.session import bucketed, materialize
 
 SCORES = (*metrics.PREFERRED, "n")
 
@@ -34,9 +34,10 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
     """Returns named DataFrames (cleaned, series_status, dataset, params, predictions_a, windows, bands,
     aligned, truth_gap, weights, blended, metrics, comparison) and the fitted ``model``.
 
-    The clean frame and the aligned frame are checkpointed to the shared checkpoint folder: both
-    branches read the one, and weights, metrics and charts the other, so nothing is cut, sampled or
-    predicted twice. ``tune_on`` (default: the scored aligned frame, as in the reproduced behaviour) is
+    The clean frame and the aligned frame are stored in the shared checkpoint folder: both branches
+    read the one (bucketed by series, so neither shuffles it again, unless a series is too large for one
+    task or the frame came cleaned with its layout unknown), and weights, metrics and charts the other, so
+    nothing is cut, sampled or predicted twice. ``tune_on`` (default: the scored aligned frame, as in the reproduced behaviour) is
     the frame the blend weight is tuned on.
 
     Raises on no rows, on series of fewer than three rows, on series too short for windows (unless
@@ -44,8 +45,11 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
     on missing or non-finite values among the rows to score.
     """
     s, t, y = cfg.series_col, cfg.time_col, cfg.target
+    if not cleaned:  # the one count that cleaning would take anyway
+        cfg = resolve_layout(series, cfg)
     base = series if cleaned else clean.clean_series(series, cfg, value_cols=[c for c in series.columns if c not in (s, t)])
-    base = materialize(base)
+    # while no series is too large for one task, both branches read a table that is laid out by series
+    base = bucketed(base, s, t) if cfg.layout == "series" else materialize(base)
     status = windows.series_status(base, cfg)
     cfg = _checked(base, status, cfg)
 
@@ -63,10 +67,12 @@ def run_end_to_end(series: DataFrame, cfg: ForecastConfig = ForecastConfig(), cl
         s, t, F.col("y_raw").alias("y_true_a"), F.col("prediction").alias("pred_a")
     )
 
-    aligned = materialize(align.align_forecasts(pred_a, pred_b, s, t, cfg=cfg).withColumn("y_true", F.col("y_true_b")))
-    metrics.assert_complete(aligned, ["y_true", "pred_a", "pred_b"])
-    # mean |truth_a - truth_b| over the aligned rows; above 1e-6 the two branches disagree on truth
-    gap = align.truth_gap(aligned, "y_true_a", "y_true_b")
+    aligned = align.align_forecasts(pred_a, pred_b, s, t, cfg=cfg).withColumn("y_true", F.col("y_true_b"))
+    # mean |truth_a - truth_b| over the aligned rows; above 1e-6 the two branches disagree on truth.
+    # It and the counts of missing values are observed while the frame is written
+    difference = F.avg(F.abs(F.col("y_true_a") - F.col("y_true_b"))).alias("truth_gap")
+    aligned, seen = metrics.write_complete(aligned, ["y_true", "pred_a", "pred_b"], materialize, [difference])
+    gap = aligned.sparkSession.createDataFrame([(seen["truth_gap"], seen["n"])], "truth_gap DOUBLE, n BIGINT")
     if cfg.auto_tune:
         weights = align.tune_blend(tune_on if tune_on is not None else aligned, points=cfg.search_points)
     else:

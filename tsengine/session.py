@@ -60,6 +60,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _scratch: list[str] = []
+_tables: list[str] = []
 
 
 def clear_scratch(spark: SparkSession) -> int:
@@ -69,6 +70,8 @@ def clear_scratch(spark: SparkSession) -> int:
     afterwards. Nothing else in the shared folder is touched.
     """
     jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _scratch:
         path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         gone += bool(path.getFileSystem(conf).delete(path, True))
@@ -83,6 +86,22 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def bucketed(df, by: str, sort: str):
+    """Like :func:`materialize`, but what is read back knows its layout: a table in the shared folder, in
+    as many buckets of ``by`` as there are shuffle partitions, sorted by ``sort`` within a series. Windows,
+    aggregates and joins on ``by`` over it need no shuffle, however often it is read.
+
+    A series lies in one bucket, so a series too large for one task belongs in the blocks layout.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "bucketed")
+    name = "tsengine_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(n, by).sortBy(by, sort).option("path", path).format("parquet").saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Starting-point settings for a cluster run, sized from the input volume.
 
