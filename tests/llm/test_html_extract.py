@@ -1,3 +1,5 @@
+import time
+
 from tsengine.llm import html_extract as h
 
 P1, P2, P3 = ("The river rises in the hills and runs through three valleys before it meets the sea." * 2, "Its banks are settled by farmers who know the floods and the long dry months alike." * 2, "A last word on the bridges: five are of stone, one is of wood, none is new.")
@@ -45,6 +47,59 @@ def test_broken_pages():
     assert h.extract("plain  text") == "plain text" and h.extract("<article><p>x") == "x" and h.extract("<script>alert(1)") == ""
 
 
+def test_names_alone_remove_no_article_text():
+    for name in ("class='social'", "class='comments-off'", "id='search-results'", "class='alert-levels'", "class='related'", "class='login'"):
+        for body in ("body...", P1):
+            got = h.extract(f"<article><h1>Social life of ants</h1><section {name}><p>{body}</p></section><p>x</p></article>")
+            assert got == f"Social life of ants {body} x", name
+    text = f"<p>{P1}</p><p>{P2}</p>"
+    for name in ("menu", "sidebar", "comments", "footer", "promo"):
+        assert h.extract(page(f"<article><h1>Head</h1>{text}<section class={name}>{text}</section><p>{P3}</p></article>")) == f"Head {P1} {P2} {P1} {P2} {P3}", name
+        assert h.extract(page(f"<article><h1>Head</h1>{text}<div class={name}>Some words</div><p>{P3}</p></article>")) == f"Head {P1} {P2} {P3}", name
+
+
+def test_density_decides_inside_containers_too():
+    links = "<ul><li><a href=/1>Link one</a><li><a href=/2>Other page</a></ul>"
+    assert h.extract(page(f"<main><h1>Head</h1><p>{P1}</p><p>{P2}</p>{links}</main>")) == f"Head {P1} {P2}"
+    assert h.extract(page(f"<article><p>{P1} <a href=/1>one</a> and <a href=/2>two</a></p><p><a href=/1>one</a> <a href=/2>two</a></p></article>")) == f"{P1} one and two one two"
+
+
+def test_feet_without_names():
+    body = f"<div><h1>Head</h1><p>{P1}</p><p>{P2}</p></div><div>Copyright 2020</div><p>All rights reserved by us</p><div>© 2021 we</div>"
+    assert h.extract(page(body)) == f"Head {P1} {P2}"
+    assert h.extract(page(f"<article><p>{P1}</p><p>Copyright is a right.</p></article>")) == f"{P1} Copyright is a right."
+
+
+def test_one_paragraph_and_articles_own_element():
+    assert h.extract(page(f"<div class=ad>Buy this</div><article><p>{P1}</p></article><div>Welcome to us</div>")) == P1
+    assert h.extract(page(f"<nav>Menu</nav><div class=ad>Buy this</div><div><p>{P1}</p></div><footer>us</footer>")) == P1
+    assert h.extract(page(f"<form><div><p>{P1}</p><p>{P2}</p></div></form>")) == f"{P1} {P2}"
+
+
+def test_given_pages_need_no_article_element():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    for text in pages:
+        other = text.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert h.extract(other) == h.extract(text)
+
+
+def test_cells_and_items_end_each_other():
+    root = h.parse("<table><tr><td>a<b>b<td>c<tr><td><ul><li>d<li><i>e<li>f</ul><td>g</table><dl><dt>h<dd>i<dt>j</dl>")
+    rows = [n for n in h._nodes(root) if n.tag in ("td", "li", "dt", "dd")]
+    text = lambda n: "".join(x if isinstance(x, str) else text(x) for x in n.items)
+    assert [text(n) for n in rows] == ["ab", "c", "def", "d", "e", "f", "g", "h", "i", "j"]
+
+
+def test_time_grows_with_the_page():
+    n = 100_000
+    for text in ("<div>" * n + "x", "<b>" * n + "x", "</x>" * n, "<article>" * n, "<p><b>" * (n // 2), "<p>" + "<b>" * (n // 2) + "<hr>" * (n // 2), "<ul><li><table><tr><td>" * (n // 5), "<div class=menu>" * n):
+        begin = time.process_time()
+        h.extract(text)
+        assert time.process_time() - begin < 4, text[:30]
+
+
 def test_rows(small):
     rows = [(1, "u", page(f"<article><p>{P3}</p></article>"), "x"), (1, "u", page(f"<article><p>{P3}</p></article>"), "x"), (2, None, None, None), (None, "v", "", "y"), (3, "w", page("<article>" + f"<p>{P1}</p>" * 5000 + "</article>"), "z")]
     got = h.extract_pages(small(rows, "page_id LONG, url STRING, html STRING, text STRING")).collect()
