@@ -75,3 +75,21 @@ def test_doubling_ends_when_no_candidates_survive(small):
     rows = [(1, " ".join(w)), (2, "x " + " ".join(w[:45]) + " y"), (3, " ".join(w[50:75])), (4, " ".join(w)), (5, "none of them")]
     got = {r.doc_id: r.longest for r in substring_dedup.longest_repeats(small(rows, "doc_id LONG, text STRING"), 10, bits=1 << 16).collect()}
     assert got == {2: 40, 3: 20, 4: 160}
+
+
+def test_levels_read_survivors_only(small):
+    w = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(w)), (2, "x " + " ".join(w[:45]) + " y"), (3, " ".join(w[50:75])), (4, " ".join(w))]
+    rows += [(10 + i, " ".join(f"{i}-{k}" for k in range(300))) for i in range(40)]  # shared by nobody
+    read = [(words, docs.count()) for words, docs, _ in substring_dedup.levels(small(rows, "doc_id LONG, text STRING"), 10, bits=1 << 20)]
+    assert read == [(10, 44), (20, 4), (40, 4), (80, 3), (160, 2), (320, 2)]
+
+
+def test_repeated_rows_are_linear(small):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(62))
+    begin = time.time()
+    got = run(small, [(1, text)] + [(2, text)] * 20_000 + [(3, text[5:])] * 50, 50)
+    assert time.time() - begin < 90
+    assert [x[2] for x in got] == [0] + [62] * 20_000 + [got[-1][2]] * 50 and got[-1][2] > 50

@@ -12,8 +12,8 @@ through the shuffle. Those that several documents have are kept in a bit array o
 are settled at once: all but the first document's are repeats. What is left (one segment for each
 distinct one) gives its windows one by one, and these find the first document of each window.
 
-*Beyond.* Longer windows cover no more words, so removal ends here. ``longest_repeats`` goes on
-doubling until no candidates survive.
+*Beyond.* Longer windows cover no more words, so removal ends here. ``levels`` goes on doubling until
+no candidates survive: each level reads only the documents that share a window of the level before.
 
 Texts are read again for each step rather than shuffled; only documents that lose words are joined
 with what they lose.
@@ -85,10 +85,12 @@ def _scan(docs: DataFrame, words: int, schema: str, rows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, words: int = 50, bits: int = BITS) -> DataFrame:
-    """Stored (doc_id, __key, a, b): ranges of words covered by windows that a smaller doc_id has.
+def repeats(docs: DataFrame, words: int = 50, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, __key, a, b): ranges of words covered by windows that a smaller doc_id has; and
+    (doc_id, __key) of the documents that share a window with another doc_id, the first ones too.
 
-    ``docs`` has doc_id (long, not null), text and __key, a hash of both.
+    ``docs`` has doc_id (long, not null), text and __key, a hash of both. Rows that are equal in
+    doc_id and text have their ranges once.
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -104,7 +106,7 @@ def repeats(docs: DataFrame, words: int = 50, bits: int = BITS) -> DataFrame:
 
     found = stored(_scan(docs, words, "h1 LONG, h2 LONG, doc_id LONG, __key LONG, a LONG, n LONG", segments), "segments")
     firsts = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "segment-firsts")
-    told = found.join(firsts, ["h1", "h2"], "left").select("doc_id", "__key", "a", "n", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("settled"))
+    told = found.join(firsts, ["h1", "h2"], "left").select("doc_id", "__key", "a", "n", F.col("least").isNotNull().alias("shared"), F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("settled"))
     told = stored(told, "segments-told")
 
     open_at = told.filter("NOT settled").select("__key", "a").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([_long(_place(b.column(0).to_numpy(), b.column(1).to_numpy()))], ["h"]) for b in batches), "h LONG")
@@ -120,20 +122,44 @@ def repeats(docs: DataFrame, words: int = 50, bits: int = BITS) -> DataFrame:
 
     windows = _scan(docs, words, "h1 LONG, h2 LONG, doc_id LONG, __key LONG, a LONG", single)
     firsts = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "window-firsts")
-    late = windows.join(firsts, ["h1", "h2"]).filter("least < doc_id").select("doc_id", "__key", "a", (F.col("a") + words).alias("b"))
-    return stored(told.filter("settled").select("doc_id", "__key", "a", (F.col("a") + F.col("n")).alias("b")).unionByName(late), "repeats")
+    shared = stored(windows.join(firsts, ["h1", "h2"]).select("doc_id", "__key", "a", (F.col("least") < F.col("doc_id")).alias("late")), "shared-windows")
+    late = shared.filter("late").select("doc_id", "__key", "a", (F.col("a") + words).alias("b"))
+    found = told.filter("settled").select("doc_id", "__key", "a", (F.col("a") + F.col("n")).alias("b")).unionByName(late)
+    holders = told.filter("shared").select("doc_id", "__key").unionByName(shared.select("doc_id", "__key"))
+    return stored(found.dropDuplicates(), "repeats"), holders
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("__key"))
+
+
+def levels(docs: DataFrame, words: int = 50, bits: int = BITS):
+    """(words, documents read, their repeats) of each level: ``words``, twice that, four times that, ...
+    until no candidates survive. A longer window is shared only by documents that share a shorter one, so
+    a level reads the documents that survived the one before (told by a bit array of their keys)."""
+    share = docs.sparkSession.sparkContext.broadcast
+    own = _keyed(docs)
+    while True:
+        found, holders = repeats(own, words, bits)
+        yield words, own, found
+        if found.isEmpty():
+            return
+        survivors = share(bit_array(holders.select(F.col("__key").alias("h")), bits))
+
+        def kept(batches, survivors=survivors):
+            for b in batches:
+                yield b.filter(pa.array(in_bits(survivors.value, b.column("__key").to_numpy())))
+
+        own, words = _keyed(docs).mapInArrow(kept, own.schema), 2 * words
 
 
 def longest_repeats(docs: DataFrame, words: int = 50, bits: int = BITS) -> DataFrame:
-    """(doc_id, longest): for documents that repeat a smaller doc_id's words, the greatest of ``words``,
-    twice that, four times that, ... whose windows still do. Rows as in :func:`dedup_substrings`."""
-    keyed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("__key"))
-    levels = []
-    while not levels or not levels[-1].isEmpty():
-        levels.append(repeats(keyed, words << len(levels), bits).select("doc_id", F.lit(words << len(levels)).alias("longest")))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    """(doc_id, longest): for documents that repeat a smaller doc_id's words, the greatest of the
+    ``levels`` whose windows still do. Rows as in :func:`dedup_substrings`."""
+    out = None
+    for size, _, found in levels(docs, words, bits):
+        level = found.select("doc_id", F.lit(size).alias("longest"))
+        out = level if out is None else out.unionByName(level)
     return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
 
 
@@ -156,11 +182,12 @@ def dedup_substrings(docs: DataFrame, words: int = 50, bits: int = BITS) -> Data
     first document that has it. Rows that share a doc_id are one document: they take no words from
     each other. Rows without a doc_id neither give nor lose words. Null, empty and shorter texts lose
     nothing; a null text comes back empty. Other columns pass; columns named ``n_words`` or
-    ``n_removed`` are replaced. An empty table gives an empty result.
+    ``n_removed`` are replaced. An empty table gives an empty result. Very long texts are read whole,
+    each by one task, and are cut into no parts.
     """
     spark = docs.sparkSession
     key = F.xxhash64("doc_id", "text")
-    found = repeats(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("__key")), words, bits)
+    found, _ = repeats(_keyed(docs), words, bits)
     ranges = stored(found.groupBy("doc_id", "__key").agg(F.collect_list(F.struct("a", "b")).alias("__ranges")), "ranges")
     losing = spark.sparkContext.broadcast(bit_array(ranges.select(F.col("__key").alias("h")), bits))
     out = with_columns(docs, n_words=F.lit(0).cast("long"), n_removed=F.lit(0).cast("long"), __key=key)
