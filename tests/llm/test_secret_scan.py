@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 from tsengine.llm import secret_scan as s
 
@@ -27,11 +28,15 @@ def every(text):
             allowed = [*s.ALLOWED, "^[0-9A-Fa-f]+$"] if kind == "entropy_base64" else ["^[0-9]+$", s.ALLOWED[-1]]
             if any(re.search(a, w) for a in allowed):
                 continue
-            at = [i for i in range(len(w) - s.WIDTH + 1) if bits(w[i : i + s.WIDTH]) >= least]
-            if at:
-                x = (m.start() + at[0], rank, m.start() + at[-1] + s.WIDTH, kind)
-                if not any(b[0] < x[2] and x[0] < b[2] for b in known):
-                    out.append(x)
+            at = [m.start() + i for i in range(len(w) - s.WIDTH + 1) if bits(w[i : i + s.WIDTH]) >= least]
+            at = [i for i in at if not any(b[0] < i + s.WIDTH and i < b[2] for b in known)]
+            spans = []
+            for i in at:  # stretches that windows cover
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + s.WIDTH
+                else:
+                    spans.append([i, i + s.WIDTH])
+            out += [(a, rank, b, kind) for a, b in spans]
     return sorted(out)
 
 
@@ -50,6 +55,44 @@ def test_planted(small):
     check(small, [f"PassWord : '{key}' é{key}", "x" * 30_000 + f" token=abc secret=abcdef {hexes}", "AKIA" + "Q" * 15, "AKIA" + "Q7" * 8 + " AKIAQ", "password: token: abcdefgh", f"{hexes.upper()} {hexes[:20]} id 123e4567-e89b-12d3-a456-426614174000", f"a{key}+/{key}= {key}éé{key}", "some/path/to/a/file/that/is/long 01234567890123456789", "api_key==abcde apikey\"='abcdef", None, "", "plain", "😀 token=😀abcdef token=abcdef😀"])
 
 
+def test_parts_outside_known_formats_are_found(small):
+    r = random.Random(7)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    low = "aA" * 40
+    texts = [f"{key(30)}{'AKIA' + 'Q7' * 10}+{key(30)}", f"{key(25)}{low}{key(25)}", f"{key(40)}/{'deadbeef' * 4}/{key(40)}", f"{key(19)}{'0f' * 12}{key(19)}", f"{key(20)}password={key(9)}/{key(20)} {key(30)}"]
+    texts += ["".join(r.choice([key(3), key(22), "AKIA" + "Q7" * 9, "0f" * 13, "token=", "=", "aaaa", "_", " "]) for _ in range(14)) for _ in range(150)]
+    check(small, texts)
+    assert sum(len([x for x in every(t) if x[1] > 2]) for t in texts[:2]) == 4
+
+
+def test_long_candidates_are_cut_where_no_window_is_lost(small):
+    r = random.Random(8)
+    letters = "ABCDEFGHabcdefgh0123456789+/"
+    words = ["".join(r.choice(letters if r.random() < 0.5 else "aA") for _ in range(r.choice([19, 20, 500, 511, 512, 513, 530, 531, 532, 1023, 1024, 1043, 1600]))) for _ in range(60)]
+    mixed = ["".join("".join(r.choice(letters) for _ in range(r.randrange(30))) + "aA" * r.randrange(30) for _ in range(40)) for _ in range(20)]
+    check(small, words + mixed)
+
+
+def test_random_keys_are_found(small):
+    import numpy as np
+
+    g = np.random.default_rng(9)
+    for letters, kinds in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "entropy_base64"), ("0123456789abcdef".upper(), "entropy_hex")):
+        for n in (20, 22, 24, 32, 40):
+            keys = ["".join(letters[i] for i in g.integers(0, len(letters), n)) for _ in range(500)]
+            got = s.scan_secrets(small([(i, f"key {k} end") for i, k in enumerate(keys)], "doc_id LONG, text STRING")).collect()
+            assert sum(any(x.kind == kinds for x in row.found) for row in got) >= 0.95 * len(keys), (letters, n)
+
+
+def test_time_grows_with_the_text(small):
+    r = random.Random(10)
+    base64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    for text, n in (("token=" * 350_000, 1), ("token=abcdef " * 100_000, 100_000), (base64, None), ("token=aB3dE6gH9jK2mN5pQ8sT " * 40_000, 40_000), ("aB3dE6gH9jK2mN5pQ8sT " * 40_000, 40_000)):
+        begin = time.time()
+        row = s.scan_secrets(small([(1, text)], "doc_id LONG, text STRING")).selectExpr("size(base) AS b", "size(found) AS f", "element_at(found, -1).stop AS last").first()
+        assert (row.f == n if n else row.f < 50) and row.last and time.time() - begin < 60, (text[:30], row, time.time() - begin)
+
+
 def test_random_texts(small):
     r = random.Random(2)
     bits_ = ["password", "Token", "apikey", "=", ": ", "'", '"', "AKIA", "AB12", "deadbeef", "0f", "Xy9", "/", "+", " ", "\n", "é", "zQ7kT2"]
