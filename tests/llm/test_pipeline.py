@@ -73,3 +73,33 @@ def test_stages_equal_plain_versions(spark, tmp_path):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == ids
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect()), key=str) == sorted(((r.doc_id, r.start, r.length, r.ids_crc32) for r in at["packing"]), key=str)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls everywhere, repeated rows, ties and columns that clash with the stages' own."""
+    sf = str(tmp_path)
+    extra = "doc_id LONG, text STRING, score STRING, predicted INT, n_lines STRING, n_dropped INT, component_id LONG, fingerprint STRING, __key INT, length INT, N INT"
+    item = " ".join(f"i{k}" for k in range(12))
+    rows = [(1, "kind words of one", "s", 9, "l", 9, 9, "f", 9, 9, 9)] * 3 + [(2, None, None, None, None, None, None, None, None, None, None), (None, None, "s", 1, "l", 1, 1, "f", 1, 1, 1), (None, "no id", "s", 1, "l", 1, 1, "f", 1, 1, 1)]
+    rows += [(3, "", "s", 1, "l", 1, 1, "f", 1, 1, 1), (4, f"see {item} here", "s", 1, "l", 1, 1, "f", 1, 1, 1), (1, "other words under the same number", "t", 1, "l", 1, 1, "f", 1, 1, 1), (6, "long " * 100_000, "s", 1, "l", 1, 1, "f", 1, 1, 1)]
+    labels = [(None, None, None), (1, 1, None), (1, 1, 0)]
+    for name, data, schema in (("documents", rows, extra), ("labels", labels, "doc_id LONG, quality INT, toxic INT"), ("benchmark", [(None, item), (1, None), (None, item)], "item_id LONG, text STRING")):
+        spark.createDataFrame(data, schema).write.parquet(f"{sf}/{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        if i < 4:
+            assert out.columns == docs.columns
+            out.write.parquet(f"{sf}/{name}")
+            out = spark.read.parquet(f"{sf}/{name}")
+            docs = out
+        counts.append(out.count())
+    kept = {(r.doc_id, (r.text or "")[:5], r.score) for r in docs.collect()}
+    assert counts[:2] == [len(rows)] * 2
+    # equal rows once, both texts of one number, rows without a number; null and empty are one text
+    assert kept == {(1, "kind ", "s"), (1, "other", "t"), (2, "", None), (None, "", "s"), (None, "no id", "s"), (6, "long ", "s")}
+    empty = str(tmp_path / "empty")
+    for name, schema in (("documents", extra), ("labels", "doc_id LONG, quality INT, toxic INT"), ("benchmark", "item_id LONG, text STRING")):
+        spark.createDataFrame([], schema).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0

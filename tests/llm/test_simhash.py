@@ -78,6 +78,15 @@ def test_dedup_keeps_one_of_each_component(small):
     assert sorted(str(x.doc_id) for x in out) == ["2", "4", "9", "None"]
 
 
+def test_dedup_judges_each_text_of_a_shared_number(small):
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = [(5, other, "x"), (5, text, "y"), (2, text, "z"), (5, other, "a"), (7, other, "b")]
+    out = simhash.dedup(small(rows, "doc_id LONG, text STRING, first STRING")).collect()
+    again = simhash.dedup(small(rows[::-1], "doc_id LONG, text STRING, first STRING").repartition(3)).collect()
+    assert sorted((x.doc_id, x.text) for x in out) == [(2, text), (5, other)]
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))  # of equal rows the same one, however they lie
+
+
 def test_empty(small):
     assert simhash.digest(small([], "doc_id LONG, text STRING")).count() == 0
 

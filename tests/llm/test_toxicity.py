@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,9 +26,82 @@ def test_clauses_not_words():
     assert use("", forms) == ({}, 0, 1)
 
 
+def test_reported_speech_and_negation():
+    forms = {"idiot": "insult", "kill": "threat", "ass": "insult"}
+    for text in ('she said: "you idiot"', "she said: you idiot", 'she said "fine. you idiot. really"', "he called you an idiot", "they wrote “you idiot”", 'he said "you will kill him"'):
+        assert {u for _, u in use(text, forms)[0]} == {"reported"}, text
+    for text in ('she said: fine. you idiot', 'she said "fine" and you idiot', "she said it\nyou idiot", '"you idiot"'):
+        assert use(text, forms)[0] == {("idiot", "aimed"): 1}, text
+    for text in ("you won't be an idiot", "you don’t look like an idiot", "you cannot be idiot", "du bist kein idiot", "tu n'es pas idiot", "you werent an idiot", "never an idiot"):
+        assert {u for _, u in use(text, forms)[0]} == {"negated"}, text
+    assert use("passing class, you ass", forms)[0] == {("ass", "aimed"): 1}  # short forms are whole words
+
+
+def enumerated(symbols):
+    """Uses of a text's insults and threats, straight from the rules."""
+    out, clauses, here = set(), [], []
+    for i, s in enumerate(symbols):
+        here.append(i)
+        if s in ("break", "line", "colon", "quote"):
+            clauses.append(here)
+            here = []
+    clauses.append(here)
+    found = []
+    for clause in clauses:
+        got = set()
+        inside = [i for i in clause if symbols[i] not in ("break", "line", "colon", "quote")]
+        for i in inside:
+            before = [symbols[j] for j in inside if j < i]
+            mark = "negated" if "negation" in before[-5:] else "reported" if told(symbols, i) else ""
+            use = mark or ("aimed" if "target" in before[-6:] else "plain")
+            if symbols[i] == "insult":
+                got.add((i, use))
+            if symbols[i] == "threat":
+                back = before[-3:][::-1]
+                near = back.index("modal") if "modal" in back else None
+                if near is not None and "threat" not in back[:near]:
+                    got.add((i, use))
+                    continue
+                after = [symbols[j] for j in inside if j > i][:3]
+                near = after.index("target") if "target" in after else None
+                if near is not None and not {"threat", "modal"} & set(after[:near]):
+                    got.add((i, mark or "aimed"))
+        found += sorted(got)
+    return found
+
+
+def told(symbols, at):
+    """Is the symbol in reported speech?"""
+    line = max([j for j in range(at) if symbols[j] == "line"], default=-1)
+    quoted, level = False, 0
+    for j in range(line + 1, at):
+        s = symbols[j]
+        if s == "quote":
+            quoted, level = not quoted, 0 if quoted else (3 if level else 0)
+        elif s == "break" and level != 3:
+            level = 0
+        elif s == "colon" and level == 1:
+            level = 2
+        elif s == "report":
+            level = max(level, 1)
+    return level > 0
+
+
+def test_machine_equals_enumeration():
+    r = random.Random(6)
+    kinds = ["insult", "threat", "modal", "target", "negation", "report", "other", "break", "line", "colon", "quote"]
+    weights = [3, 3, 2, 3, 2, 2, 5, 1, 0.4, 0.7, 0.9]
+    run = x.machine()
+    for _ in range(6000):
+        symbols = r.choices(kinds, weights, k=r.randrange(1, 16))
+        named = [(s, str(i)) if s in ("insult", "threat") else (s, "") for i, s in enumerate(symbols)]
+        want = Counter((str(i), u) for i, u in enumerated(symbols))
+        assert x.matches(named, run)[0] == want, symbols
+
+
 def test_composition_reaches_few_states():
     run, r = x.machine(), random.Random(1)
-    symbols = ["insult", "threat", "modal", "target", "negation", "report", "other"]
+    symbols = ["insult", "threat", "modal", "target", "negation", "report", "other", "break", "line", "colon", "quote"]
     state = run.start
     for _ in range(50_000):
         state, _ = run.step(state, r.choice(symbols))

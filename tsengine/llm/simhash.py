@@ -15,12 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, stored, text_slices
+from .common import U64, apart, bit_array, in_bits, stored, text_slices
 from .groups import block_pairs, connected_components, forest
 
 SEGMENTS, BITS = 4, 16
 SEED = 42
 BLOCK = 512
+BITS_SENT = 1 << 27  # 16 MiB: more copies than it can tell apart cost a shuffle, never results
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -35,15 +36,21 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> DataFrame:
-    """Stored (doc_id, fingerprint as a signed long) of all rows."""
+    """Stored (doc_id, fingerprint as a signed long, key: a hash of doc_id and text) of all rows. Very
+    long texts are read whole, each by one task."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, text):
                 h = np.asarray([fingerprint(x, words) for x in part.column(text).to_pylist()], U64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(h.view(np.int64))], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(h.view(np.int64)), part.column("__key")], ["doc_id", "fingerprint", "key"])
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias(text)).mapInArrow(run, "doc_id LONG, fingerprint LONG"), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias(text), _key(text).alias("__key"))
+    return stored(rows.mapInArrow(run, "doc_id LONG, fingerprint LONG, key LONG"), "fingerprints")
+
+
+def _key(text: str = "text"):
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col(f"`{text}`"))
 
 
 def ring_keys(fingerprint: str = "fingerprint"):
@@ -78,6 +85,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, text: st
     the component of their fingerprint, null if no row with a doc_id has it. Other columns are
     ignored. An empty table gives an empty result.
     """
+    return _near(docs, words, distance, text).drop("key")
+
+
+def _near(docs: DataFrame, words: int, distance: int, text: str = "text") -> DataFrame:
     if not 0 <= distance < SEGMENTS:
         raise ValueError(f"the ring of {SEGMENTS} segments finds distances up to {SEGMENTS - 1}")
     rows = fingerprints(docs, words, text)
@@ -105,15 +116,46 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, text: st
     groups = block_pairs(keyed, "key", "fingerprint", ["fingerprint", "first"], BLOCK)
     found = connected_components(groups.mapInArrow(link, "a LONG, b LONG"))
     named = stored(classes.join(found, classes["first"] == found["node"], "left").select("fingerprint", F.coalesce("component", "first").alias("component_id")), "components")
-    return rows.join(named, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return rows.join(named, "fingerprint", "left").select("doc_id", "fingerprint", "component_id", "key")
 
 
 def dedup(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id, once if its row is
-    repeated. Rows without a doc_id stay. All columns pass."""
-    keep = near_duplicates(docs, words, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(stored(keep, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """``docs`` with one document of each component: that of the least doc_id.
+
+    Rows that are equal in doc_id and text are one document and stay once (of rows that differ in other
+    columns, the one whose columns have the least hash). Rows that share a doc_id but not the text are
+    judged each by its own component, so none is lost for another's sake. Rows without a doc_id stay,
+    and so do empty and null texts as one document like any other. All columns pass.
+
+    Only rows that may go (a bit array of fixed size tells) are shuffled; the others pass as they are.
+    """
+    spark = docs.sparkSession
+    docs, back = apart(docs, "__key", "__of", "__doc", "__n")
+    names = docs.columns
+    near = _near(docs, words, distance).filter("doc_id IS NOT NULL")
+    told = stored(near.groupBy("doc_id", "key").agg(F.count("*").alias("__n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")), "documents-told")
+    doubtful = told.filter("NOT first OR __n > 1")
+    bits = spark.sparkContext.broadcast(bit_array(doubtful.select(F.col("key").alias("h")), BITS_SENT))
+    keyed = docs.select("*", _key().alias("__key"))
+
+    def parted(doubt):
+        def run(batches):
+            for batch in batches:
+                found = in_bits(bits.value, batch.column(len(names)).to_numpy())
+                yield batch.filter(pa.array(found if doubt else ~found))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    sure = parted(False).drop("__key")
+    kept = told.filter("first").select(F.col("key").alias("__of"), F.col("doc_id").alias("__doc"), "__n")
+    some = parted(True)
+    some = some.join(kept, (some["__key"] == kept["__of"]) & (some["doc_id"].cast("long") == kept["__doc"]))
+    columns = [F.col(f"`{c}`") for c in names]
+    once = some.filter("__n = 1").select(*columns)
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    several = some.filter("__n > 1").groupBy("__doc", "__key").agg(F.min_by(F.struct(*columns), hashed).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    nameless = docs.filter("doc_id IS NULL")
+    return back(sure.filter("doc_id IS NOT NULL").unionByName(once).unionByName(several).unionByName(nameless))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,17 +1,20 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer reads words as symbols: insult, threat, modal, target, negation, report, or
-nothing. Small transducers read the symbols of a clause: one accepts insults, one threats (a modal
-before or a target after), one marks a target nearby, one a negation in front, one reported speech.
-They run in step as their composition, whose states are built when first met. So what is scored is
-an insult or a threat as it stands in its clause; words alone score nothing.
-
-The lexicon starts from seed words and is learned from labelled documents: word beginnings
-(inflected words share them) whose documents are toxic far more often than chance allows. A form's
-weight is a lower bound of its log-odds, and each way of use (aimed, plain, negated, reported) keeps
-the share of its weight that its own documents bear out. A document's score is a logistic function
-of its matched clauses: their weight against the number of clauses, the strongest form, the distinct
-forms, and the numbers of matched and of all clauses.
+Three transducers are composed, each reading what the one before writes. The *lexicon* reads words and
+writes symbols (insult, threat, modal, target, negation, report, or none), with the word's weight. The
+*scopes* read symbols and write them marked as negated, reported or neither: negation reaches five
+symbols; reported speech reaches to the end of its clause, after a colon to the end of the next
+sentence, and inside quotes, over their sentences, to the closing one. The *clause grammar* reads marked
+symbols and accepts insults and threats (a threat needs a modal before or a target after), aimed if a
+target is near; each arc weighs a use: aimed, plain, negated or reported. A match weighs its word's
+weight times its arc's. The composition's states are built when first met.
+
+The lexicon starts from seed words and is learned from labelled documents: whole words and word
+beginnings (inflected words share them) whose documents are toxic far more often than chance allows.
+A form's weight is a lower bound of its log-odds, and each use keeps the share of it that its own
+documents bear out. A document's score is a logistic function of its matched clauses: their weight
+against the number of clauses, the strongest form, the distinct forms, and the numbers of matched and
+of all clauses.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ INSULTS = "idiot moron stupid dumb loser pathetic worthless scum trash garbage c
 THREATS = "kill hurt destroy murder burn stab shoot beat strangle crush matar quemar töten verbrennen tuer brûler".split()
 MODALS = "will gonna shall must should voy vas werde wirst vais".split()
 TARGETS = "you your yours yourself u he she they them him her tu tú usted vosotros du dich dein ihr vous toi ton".split()
-NEGATIONS = "not never no n't don't isn't aren't nicht kein keine nie ne pas jamais nunca".split()
+NEGATION = re.compile(r"not|no|nor|never|none|neither|cannot|without|[a-z]+n't|(?:do|does|did|is|are|was|were|wo|ca|could|would|should|have|has|had)nt|nicht|kein(?:e[mnrs]?)?|nie|niemals|ne|n'.+|pas|jamais|nunca|ni")
 REPORTS = "said says told claimed wrote quoted called reported dijo sagte schrieb disait écrit".split()
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
-SHORTEST, LONGEST = 4, 12
+MARKS = dict.fromkeys(".!?;", "break") | {"\n": "line", ":": "colon"} | dict.fromkeys("\"“”«»", "quote")
+SHORTEST, LONGEST = 4, 12  # letters of learned beginnings; whole words are learned at any length
+NEGATED = 5  # symbols that a negation reaches
 SEED_DOCS = 4  # a seed word counts as if so many toxic documents had shown it
 USES = ("aimed", "plain", "negated", "reported")
 CLEAR = 3.0  # a use whose documents bear out log-odds of so much keeps its forms' whole weight
@@ -53,78 +58,107 @@ class Grammar:
     prior: float
     weights: dict[str, tuple[str, float]] = field(default_factory=dict)
     shares: dict[str, float] = field(default_factory=lambda: dict(ASSUMED))
-    factors: tuple[float, ...] = (0.0, 0.0, 1.0, 0.0, 0.0)
+    factors: tuple[float, ...] = (0.0, 0.0, 2.0, 0.0, 0.0)
 
 
-class Insult:
-    """Outputs a match for every insult."""
-
-    def step(self, state, symbol):
-        return 0, ("match",) if symbol == "insult" else ()
+class Scopes:
+    """Marks symbols as negated or reported. State: symbols that negation still reaches; whether speech
+    is reported (1 to the end of the clause, 2 of the sentence after a colon, 3 of the quotes); whether
+    a quote is open."""
 
-
-class Threat:
-    """Outputs a match for a threat word up to 2 symbols after a modal, or before a target."""
+    start = (0, 0, False)
 
     def step(self, state, symbol):
-        near, open_ = state or (0, 0)
-        if symbol == "modal":
-            return (3, 0), ()
-        if symbol == "threat":
-            return ((0, 0), ("match",)) if near else ((0, 3), ())
-        if symbol == "target" and open_:
-            return (0, 0), ("late",)
-        return (max(near - 1, 0), max(open_ - 1, 0)), ()
-
-
-class Scope:
-    """Outputs ``name`` for what stands up to ``reach`` symbols after one of ``opens``."""
-
-    def __init__(self, name: str, opens: str, reach: int):
-        self.name, self.opens, self.reach = name, opens, reach
+        negated, reported, quoted = state
+        if symbol == "line":
+            return self.start, symbol
+        if symbol == "break":
+            return (0, reported if reported == 3 else 0, quoted), symbol
+        if symbol == "colon":
+            return (0, 2 if reported == 1 else reported, quoted), "break"
+        if symbol == "quote":
+            if quoted:
+                return (0, 0, False), "break"
+            return (0, 3 if reported else 0, True), "break"
+        mark = "negated" if negated else "reported" if reported else ""
+        if symbol == "negation":
+            return (NEGATED, reported, quoted), "other"
+        if symbol == "report":
+            return (max(negated - 1, 0), max(reported, 1), quoted), "other"
+        return (max(negated - 1, 0), reported, quoted), (symbol, mark) if symbol in ("insult", "threat") else symbol
+
+
+class Clauses:
+    """Accepts insults and threats of a clause. State: symbols that a target, a modal and an open threat
+    (with its mark) still reach. Writes the use of the word just read, or ("late", use) of the open threat."""
+
+    start = (0, 0, 0, "")
 
     def step(self, state, symbol):
-        if symbol == self.opens:
-            return self.reach, ()
-        return max((state or 0) - 1, 0), (self.name,) if state else ()
+        target, modal, open_, mark = state
+        passed = max(target - 1, 0), max(modal - 1, 0), max(open_ - 1, 0), mark if open_ > 1 else ""
+        if symbol in ("break", "line"):
+            return self.start, None
+        if symbol == "target":
+            return (6, passed[1], 0, ""), ("late", mark or "aimed") if open_ else None
+        if symbol == "modal":
+            return (passed[0], 3, 0, ""), None
+        if isinstance(symbol, tuple):
+            kind, of = symbol
+            use = of or ("aimed" if target else "plain")
+            if kind == "insult":
+                return passed, use
+            return ((passed[0], 0, 0, ""), use) if modal else ((passed[0], 0, 3, of), None)
+        return passed, None
 
 
 class Composition:
-    """Transducers in step: a state is the tuple of their states; each step is worked out once."""
+    """Transducers in a row: each reads what the one before writes. A state is the tuple of their states;
+    each step is worked out once."""
 
     def __init__(self, *machines):
         self.machines, self.table = machines, {}
-        self.start = (None,) * len(machines)
+        self.start = tuple(m.start for m in machines)
 
     def step(self, state, symbol):
         if (found := self.table.get((state, symbol))) is None:
-            steps = [m.step(s, symbol) for m, s in zip(self.machines, state, strict=True)]
-            found = self.table[state, symbol] = (tuple(s for s, _ in steps), frozenset(o for _, out in steps for o in out))
+            after, out = [], symbol
+            for m, s in zip(self.machines, state, strict=True):
+                s, out = m.step(s, out)
+                after.append(s)
+            found = self.table[state, symbol] = (tuple(after), out)
         return found
 
 
 def machine() -> Composition:
-    return Composition(Insult(), Threat(), Scope("negated", "negation", 3), Scope("reported", "report", 50), Scope("aimed", "target", 6))
+    return Composition(Scopes(), Clauses())
 
 
 class Lexicon:
-    """Word -> (symbol, form), remembered for repeated words. A form is the longest known beginning."""
+    """Word -> (symbol, form), remembered for repeated words. A form is the longest known beginning of a
+    word; forms of under SHORTEST letters are whole words."""
 
     def __init__(self, forms: dict[str, str]):
         self.forms = forms
-        self.lengths = sorted({len(f) for f in forms}, reverse=True)
-        self.fixed = {w: s for s, ws in (("modal", MODALS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
+        self.lengths = sorted({len(f) for f in forms if len(f) >= SHORTEST}, reverse=True)
+        self.fixed = {w: s for s, ws in (("modal", MODALS), ("target", TARGETS), ("report", REPORTS)) for w in ws}
         self.known: dict[str, tuple[str, str] | None] = {}
 
     def look_up(self, word: str):
+        if word in MARKS:
+            return MARKS[word], ""
         for n in self.lengths:
             if n <= len(word) and word[:n] in self.forms:
                 return self.forms[word[:n]], word[:n]
-        return (self.fixed[word], "") if word in self.fixed else None
+        if NEGATION.fullmatch(word):
+            return "negation", ""
+        if word in self.fixed:
+            return self.fixed[word], ""
+        return (self.forms[word], word) if word in self.forms else None
 
     def symbols(self, text: str) -> list[tuple[str, str] | None]:
-        """Symbols of a text; None for other words, ("break", "") between clauses."""
-        known, words = self.known, TOKEN.findall(text.lower())
+        """Symbols of a text; None for other words."""
+        known, words = self.known, TOKEN.findall(text.lower().replace("\u2019", "'"))
         out = []
         for w in words:
             try:
@@ -132,7 +166,7 @@ class Lexicon:
             except KeyError:
                 if len(known) > 500_000:
                     known.clear()
-                known[w] = got = ("break", "") if not w[0].isalpha() else self.look_up(w)
+                known[w] = got = self.look_up(w)
                 out.append(got)
         return out
 
@@ -140,23 +174,23 @@ class Lexicon:
 def matches(symbols, run: Composition) -> tuple[Counter, int, int]:
     """Matched clauses by (form, use), the number of matched clauses, and of all clauses."""
     found: Counter = Counter()
-    clauses = 1 + sum(s is not None and s[0] == "break" for s in symbols)
+    ends = ("break", "line", "colon", "quote")
+    clauses = 1 + sum(s is not None and s[0] in ends for s in symbols)
     if not any(s and s[0] in ("insult", "threat") for s in symbols):
         return found, 0, clauses
-    matched, here, state, last = 0, set(), run.start, None
-    for s in [*symbols, ("break", "")]:
-        if s and s[0] == "break":
+    matched, here, state, last = 0, set(), run.start, ""
+    for s in [*symbols, ("line", "")]:
+        symbol, form = s or ("other", "")
+        state, out = run.step(state, symbol)
+        if symbol in ends:
             found.update(here)
             matched += bool(here)
-            here, state, last = set(), run.start, None
+            here = set()
             continue
-        symbol, form = s or ("other", "")
-        state, out = run.step(state, symbol)
         if symbol == "threat":
             last = form
-        if "match" in out or ("late" in out and last):
-            use = "negated" if "negated" in out else "reported" if "reported" in out else "aimed" if "aimed" in out or "late" in out else "plain"
-            here.add((form if "match" in out else last, use))
+        if out:
+            here.add((last, out[1]) if isinstance(out, tuple) else (form, out))
     return found, matched, clauses
 
 
@@ -167,7 +201,7 @@ def signs(found: Counter, matched: int, clauses: int, grammar: Grammar) -> list[
     for (form, _), w in weight.items():
         forms[form] = max(forms.get(form, 0.0), w)
     total = sum(n * weight[k] for k, n in found.items())
-    return [total / (clauses + 4), max(forms.values(), default=0.0), min(sum(forms.values()), 12.0), math.log1p(matched), math.log1p(clauses)]
+    return [total / (clauses + 4), max(forms.values(), default=0.0), math.log1p(sum(forms.values())), math.log1p(matched), math.log1p(clauses)]
 
 
 def score(values: list[float], grammar: Grammar) -> float:
@@ -200,12 +234,13 @@ def log_odds(toxic: float, clean: float, of_toxic: float, of_clean: float, error
     return math.log(a / (of_toxic + 1)) - math.log(b / (of_clean + 1)) - errors * math.sqrt(1 / a + 1 / b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int = 4_000, least: float = 1.5, errors: float = 2.0) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: float = 1.5, errors: float = 2.0) -> Grammar:
     """Learn the grammar from at most ``sample`` labelled documents outside the held-out fifth.
 
-    The documents are those with the least hash of their doc_id. Counts by word beginning are
-    gathered by Spark; at most ``lexicon`` of them, the most telling, reach the driver. Labels that
-    are null are ignored, repeated ones are read as toxic if one is. Without labels the seeds stand.
+    The documents are those with the least hash of their doc_id. Counts by whole word and beginning are
+    gathered by Spark; those reach the driver whose log-odds, less ``errors`` standard errors, are
+    ``least`` or more, which ``sample`` bounds. Labels that are null are ignored, repeated ones are read
+    as toxic if one is. Without labels the seeds stand.
     """
     rows = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     chosen = stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
@@ -219,8 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int =
             for part in text_slices(batch, "text"):
                 counts: Counter = Counter()
                 for label, text in zip(part.column("__toxic").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    words = {w for w in TOKEN.findall(text.lower()) if len(w) >= SHORTEST}
-                    counts.update((p, label) for p in {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+                    words = {w for w in TOKEN.findall(text.lower().replace("\u2019", "'")) if w not in MARKS}
+                    counts.update((p, label) for p in words | {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
                 keys = list(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([counts[k] if k[1] == y else 0 for k in keys], pa.int64()) for y in (1, 0))], ["form", "toxic", "clean"])
 
@@ -228,17 +263,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int =
     counted = texts.mapInArrow(beginnings, "form STRING, toxic LONG, clean LONG").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     bound = F.log(a / (toxic + 1)) - F.log(b / (clean + 1)) - errors * F.sqrt(1 / a + 1 / b)
-    counted = stored(counted.filter((F.col("toxic") >= 5) | F.col("form").isin(*seeds)), "beginnings")
-    best = counted.withColumn("bound", bound).filter(F.col("bound") >= least).orderBy(F.col("toxic").desc(), F.length("form").desc(), "form").limit(lexicon).collect()
+    counted = stored(counted.withColumn("bound", bound).filter((F.col("bound") >= least) | F.col("form").isin(*seeds)), "beginnings")
+    best = counted.filter(F.col("bound") >= least).orderBy(F.col("toxic").desc(), F.length("form").desc(), "form").collect()
     of_seeds = {r.form: (r.toxic, r.clean) for r in counted.filter(F.col("form").isin(*seeds)).collect()}
     grammar = Grammar(prior)
     for form, kind in seeds.items():
         t, c = of_seeds.get(form, (0, 0))
         if (w := log_odds(t + SEED_DOCS, c, toxic + SEED_DOCS, max(clean, 40), errors)) > 0.5:
             grammar.weights[form] = (kind, w)
+    begun = {f[:n] for f in grammar.weights for n in range(SHORTEST, len(f) + 1)}
     for r in best:  # of beginnings of one word the most frequent stands, and of equals the longest
-        if not any(r.form.startswith(f) or f.startswith(r.form) for f in grammar.weights):
-            grammar.weights[r.form] = ("insult", r.bound)
+        f = r.form
+        if f not in grammar.weights and f not in begun and not any(f[:n] in grammar.weights for n in range(SHORTEST, len(f))):
+            grammar.weights[f] = ("insult", r.bound)
+            begun.update(f[:n] for n in range(SHORTEST, len(f) + 1))
 
     forms = {f: kind for f, (kind, _) in grammar.weights.items()}
 
@@ -274,13 +312,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int =
 def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more).
 
-    Scores depend on the whole text alone. Null and empty texts, and texts without matches, have the
+    Scores depend on the whole text alone, however long. Null and empty texts, and texts without matches, have the
     prior's score. Repeated rows have the same score each; other columns pass; columns named
     ``score`` or ``predicted`` are replaced. An empty table gives an empty result.
     """
     out = with_columns(docs, score=F.lit(0.0), predicted=F.lit(0))
     names = out.columns
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by ``lexicon``
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by the sample it was learned from
 
     def run(batches):
         grammar = shared.value
