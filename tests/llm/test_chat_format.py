@@ -58,3 +58,37 @@ def test_conversations(small):
     got = c.digest(small([(*r, "extra") for r in rows], SCHEMA + ", spans STRING")).collect()
     assert sorted(((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got), key=str) == brute(rows)
     assert [r.conv_id for r in c.digest(small([], SCHEMA)).collect()] == [-7]
+
+
+def test_turns_join_to_the_conversation(spark, small):
+    r = random.Random(3)
+    texts = ["", None, "plain", "### user: x</turn>", "\\", "é😀", "a\nb", "long " * 300]
+    rows = [(r.choice([1, 2, 3, None]), r.choice([None, 0, 1, 2, 3]), r.choice(["user", "assistant", "sys:tem", None]), r.choice(texts), "x") for _ in range(300)]
+    rows += [(9, i, "assistant" if i % 2 else "user", f"turn {i}", "x") for i in range(5000)]
+    df = small(rows, "conv_id LONG, turn LONG, role STRING, text STRING, start STRING")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        turns = c.format_turns(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = {x.conv_id: x for x in c.format_chats(df).collect()}
+    assert {x.conv_id for x in turns} == set(whole) and len(turns) == len(rows)
+    for conv, chat in whole.items():
+        mine = sorted((x for x in turns if x.conv_id == conv), key=lambda x: x.start)
+        assert "".join(x.formatted for x in mine) == chat.formatted
+        assert [tuple(s) for x in mine for s in x.spans] == [tuple(s) for s in chat.spans]
+        assert all(x.start + len(x.formatted) == y.start for x, y in zip(mine, mine[1:], strict=False))
+
+
+def test_templates_whose_turns_depend_on_each_other_are_refused(small):
+    df = small([(1, 0, "user", "x")], "conv_id LONG, turn LONG, role STRING, text STRING")
+    for template in ("start {% for m in messages %}{{ m.text }}{% endfor %}", "{% for m in messages %}{{ system }}{% endfor %}", "{% for m in messages %}{% set x = m.text %}{% endfor %}", "{% for m in messages %}{% for n in messages %}{{ n.text }}{% endfor %}{% endfor %}"):
+        with pytest.raises(c.TemplateError):
+            c.format_turns(df, template)
+    assert c.format_turns(df, "{% for m in messages %}{% if m.role == 'user' %}{{ m.text }}!{% endif %}{% endfor %}").first().formatted == "x!"
+
+
+def test_a_conversation_of_many_turns_is_a_stream(small):
+    rows = small([(0, "")], "conv_id LONG, text STRING").selectExpr("explode(sequence(1, 200000)) AS i").selectExpr("7L AS conv_id", "CAST(i AS LONG) AS turn", "IF(i % 2 = 0, 'assistant', 'user') AS role", "repeat('words ', 20) AS text")
+    got = {x.conv_id: x for x in c.digest(rows).collect()}
+    assert got[7].n_turns == 200_000 and got[7].loss_chars == 100_000 * 120 and set(got) == {7, -7}

@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, text_slices
 
 
 class TemplateError(ValueError):
@@ -435,7 +435,8 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     ``rows`` has conv_id, turn, role, text; other columns are ignored. Turns go by ``turn``, ties by
     role and then text, nulls first; repeated rows are repeated turns. Null roles and texts are
     empty. Rows without a conv_id are one conversation. An empty table gives an empty result. A
-    conversation is one rendered text, so one task holds it, but never more than a few at a time.
+    conversation is one rendered text, so one task holds it; ``format_turns`` is for conversations too
+    long for that.
     """
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
 
@@ -451,25 +452,106 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     return chats.mapInArrow(render, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, formatted STRING, spans ARRAY<STRUCT<start: LONG, stop: LONG>>")
 
 
+def turn_template(source: str, filters: dict | None = None):
+    """For a template that is one loop over ``messages`` whose body knows the turn alone: a function from
+    a turn to (text, spans). Others raise ``TemplateError``, as their turns can't be rendered apart."""
+    filters = dict(filters or {})
+    tree = fold(parse(source), filters)
+    if len(tree) != 1 or not isinstance(tree[0], For) or tree[0].over != Name("messages"):
+        raise TemplateError("the template isn't one loop over messages")
+    if _names(tree[0].body, {tree[0].name}):
+        raise TemplateError(f"a turn needs {sorted(_names(tree[0].body, {tree[0].name}))}, which it doesn't have")
+    loop, action = tree[0].name, _action(tree[0].body, filters)
+
+    def render(turn: dict) -> tuple[str, list[tuple[int, int]]]:
+        out = Output()
+        action({loop: turn}, out)
+        return "".join(out.parts), out.spans
+
+    return render
+
+
+def _names(node, known: set[str]) -> set[str]:
+    """Names that a part of a tree reads or sets beyond those it is given."""
+    if isinstance(node, tuple):
+        return set().union(*(_names(x, known) for x in node)) if node else set()
+    if isinstance(node, Name):
+        return {node.name} - known
+    if isinstance(node, Set):
+        return {node.name}  # what one turn sets, the next would read
+    if isinstance(node, For):
+        return _names(node.over, known) | _names(node.body, known | {node.name})
+    if is_dataclass(node):
+        return set().union(*(_names(getattr(node, f.name), known) for f in fields(node))) if fields(node) else set()
+    return set()
+
+
+def format_turns(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """One row per turn: conv_id, turn, formatted, start (the code points of its conversation before it)
+    and spans (code points in its conversation of the text to learn).
+
+    A conversation is the ``formatted`` of its rows in order; partitions hold whole conversations, sorted.
+    Turns pass as a stream, so a conversation of any length takes bounded memory; it takes one task, as
+    offsets run through it. Order, nulls, ties, repeated rows and other columns as in ``format_chats``.
+    """
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    order = ["conv_id", "turn", "role", "text"]
+    own = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+
+    def work(batches):
+        render, here, at = turn_template(template, FILTERS), object(), 0
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                out = []
+                for conv, turn, role, text in zip(*(part.column(c).to_pylist() for c in order), strict=True):
+                    if conv != here:
+                        here, at = conv, 0
+                    formatted, spans = render({"turn": turn, "role": role, "text": text})
+                    out.append((formatted, at, [{"start": at + x, "stop": at + y} for x, y in spans]))
+                    at += len(formatted)
+                texts, starts, spans = zip(*out, strict=True) if out else ((), (), ())
+                span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), pa.array(texts, pa.string()), pa.array(starts, pa.int64()), pa.array(spans, span)], ["conv_id", "turn", "formatted", "start", "spans"])
+
+    turn_template(template, FILTERS)
+    return own.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(work, f"conv_id {kind}, turn {rows.schema['turn'].dataType.simpleString()}, formatted STRING, start LONG, spans ARRAY<STRUCT<start: LONG, stop: LONG>>")
+
+
 def digest(rows: DataFrame) -> DataFrame:
-    """Columns of the registered query, all read back from the formatted text and its spans."""
+    """Columns of the registered query, all read back from the formatted turns and their spans."""
     probe = rows.sparkSession.sql(r"SELECT -7L AS conv_id, * FROM VALUES (0L, 'user', '\\### Assistant: </turn> ok'), (1L, 'assistant', '\\### Assistant: </turn> ok') AS t(turn, role, text)")
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def back(batches):
+        """Conversations follow each other in a partition; their hashes grow turn by turn."""
+        here, state = None, None
+
+        def done():
+            turns, whole, chars, loss, total = state
+            return here, turns, whole.hexdigest(), chars, loss.hexdigest(), total
+
         for batch in batches:
             out = []
-            for conv, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                turns = read_back(text)
-                loss = "".join(unescape(text[s["start"] : s["stop"]]) for s in spans)
-                out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    chats = format_chats(rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe))
-    return chats.mapInArrow(back, "conv_id LONG, n_turns LONG, turns_sha256 STRING, loss_chars LONG, loss_sha256 STRING, formatted_chars LONG")
+            for conv, text, start, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "start", "spans")), strict=True):
+                if state is None or conv != here:
+                    if state is not None:
+                        out.append(done())
+                    here, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, turn in read_back(text):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{turn}\n".encode())
+                for span in spans:
+                    loss = unescape(text[span["start"] - start : span["stop"] - start])
+                    state[2] += len(loss)
+                    state[3].update(loss.encode())
+                state[4] = start + len(text)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 6, kinds, strict=True)], names)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(done(), kinds, strict=True)], names)
+
+    turns = format_turns(rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe))
+    return turns.mapInArrow(back, "conv_id LONG, n_turns LONG, turns_sha256 STRING, loss_chars LONG, loss_sha256 STRING, formatted_chars LONG")
 
 
 ORACLE = r"""
