@@ -1,8 +1,10 @@
 """Embedding near-dedup: binary codes by iterative quantisation, multi-index Hamming tables, and a
 rerank with the original vectors.
 
+*Classes.* Equal vectors are one class, counted before anything is compared: copies cost no pairs.
 *Codes.* Unit vectors are centred, put on their principal axes and turned by a rotation that brings
-them nearest to the corners of a cube (learned on a bounded sample; every vector is coded).
+them nearest to the corners of a cube, for each vector length (learned on a bounded sample; every vector
+is coded). Vectors of over FOLD components are folded to FOLD first, by a fixed random sign for each.
 *Tables.* A code is cut into 4 segments, each the key of a table; a vector is entered under its own
 segment and those one bit away. Two codes within 11 bits differ by at most 2 in some segment, so
 they meet there. Of the keys at which a pair meets, one is told from the codes alone as its own, so
@@ -14,6 +16,8 @@ as a spanning forest, never one by one.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ from .groups import block_pairs, connected_components, forest
 
 SEGMENTS, BITS, RADIUS = 4, 16, 11
 BLOCK = 512
-MEMBERS = "ARRAY<STRUCT<side: INT, vec_id: LONG, code: LONG>>"
+FOLD = 1024
 
 
 def flat(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
@@ -33,21 +37,47 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     return offsets - offsets[0], lists.values.slice(offsets[0], offsets[-1] - offsets[0])
 
 
-def unit(values: pa.Array, width: int) -> np.ndarray:
-    """Unit vectors in double precision, padded with zeros to ``width``."""
-    offsets, items = flat(values)
-    size = np.diff(offsets)
-    out = np.zeros((len(size), width))
-    out[np.repeat(np.arange(len(size)), size), np.arange(len(items)) - np.repeat(offsets[:-1], size)] = items.to_numpy(zero_copy_only=False)
-    out /= np.abs(out).max(axis=1, keepdims=True)  # else squares may overflow or vanish
+def unit(values: pa.Array, size: int) -> np.ndarray:
+    """Unit vectors of ``size`` components in double precision."""
+    _, items = flat(values)
+    out = items.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    out = out / np.abs(out).max(axis=1, keepdims=True)  # else squares may overflow or vanish
     return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """Long vectors as sums of FOLD columns with fixed random signs, which keeps angles about."""
+    size = x.shape[1]
+    if size <= FOLD:
+        return x
+    x = x * np.random.default_rng(size).choice([-1.0, 1.0], size)
+    x = np.pad(x, ((0, 0), (0, -size % FOLD))).reshape(len(x), -1, FOLD).sum(axis=1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def by_size(batch: pa.RecordBatch):
+    """(size, rows) of a batch, for each vector length in it."""
+    sizes = batch.column("size").to_numpy()
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield size, batch if len(at) == len(sizes) else batch.take(pa.array(at))
+
+
+def needed_radius(cosine: float, bits: int = SEGMENTS * BITS) -> float:
+    """Differing bits that 97 of 100 pairs at this cosine stay within: each bit of a pair differs with a
+    chance of its angle over a half turn."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return bits * p + 1.9 * math.sqrt(bits * p * (1 - p))
+
+
 def learn(x: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Centre and turned axes (columns) for up to 64 bits, by iterative quantisation."""
     centre = x.mean(axis=0)
     bits = min(SEGMENTS * BITS, x.shape[1])
-    _, axes = np.linalg.eigh((x - centre).T @ (x - centre))
+    spread = (x - centre).T @ (x - centre)
+    if len(x) <= bits:  # too few to tell axes: any will do
+        spread = spread * 0 + np.diag(np.random.default_rng(x.shape[1]).random(x.shape[1]))
+    _, axes = np.linalg.eigh(spread)
     axes = axes[:, ::-1][:, :bits]
     v = (x - centre) @ axes
     turn, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(bits, bits)))
@@ -115,22 +145,24 @@ def _groups(batch):
 def links(vectors: DataFrame, cosine: float = 0.95, sample: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Stored (vec_id, n_links) of linked vectors, and edges (a, b) of a forest that spans the links.
 
-    ``vectors`` has vec_id (long, distinct, not null) and embedding (no nulls, finite, not zero).
+    ``vectors`` has vec_id (long, distinct, not null), embedding (distinct, no nulls, finite, not zero),
+    size (its length) and n (how many vectors it stands for). Links count all vectors of the other side.
     """
     spark = vectors.sparkSession
-    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
-    if not width:
-        none = spark.createDataFrame([], "vec_id LONG, n_links LONG"), spark.createDataFrame([], "a LONG, b LONG")
-        return none
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()  # ``sample`` rows
-    shared = spark.sparkContext.broadcast(learn(unit(rows.column(0).combine_chunks(), width)))
+    if vectors.isEmpty():
+        return spark.createDataFrame([], "vec_id LONG, n_links LONG"), spark.createDataFrame([], "a LONG, b LONG")
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding", "size").toArrow()  # ``sample`` rows
+    batch = rows.combine_chunks().to_batches()[0]
+    shared = spark.sparkContext.broadcast({size: learn(folded(unit(part.column("embedding"), size))) for size, part in by_size(batch)})
 
     def code(batches):
         for batch in batches:
-            done = codes(unit(batch.column("embedding"), width), *shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(done), batch.column("size")], ["vec_id", "code", "size"])
+            for size, part in by_size(batch):
+                x = folded(unit(part.column("embedding"), size))
+                turned = shared.value.get(size) or learn(np.zeros((1, x.shape[1])))  # a length that the sample lacks
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(codes(x, *turned)), part.column("size")], ["vec_id", "code", "size"])
 
-    coded = stored(vectors.select("vec_id", "embedding", F.size("embedding").alias("size")).mapInArrow(code, "vec_id LONG, code LONG, size INT"), "codes")
+    coded = stored(vectors.select("vec_id", "embedding", "size").mapInArrow(code, "vec_id LONG, code LONG, size INT"), "codes")
 
     def candidates(batches):
         for batch in batches:
@@ -150,9 +182,10 @@ def links(vectors: DataFrame, cosine: float = 0.95, sample: int = 20_000) -> tup
         for batch in batches:
             a, b, n = [], [], []
             for key, p, q, side, ids, code_, at, items in _groups(batch):
-                x = unit(items.field(3).slice(at.start, at.stop - at.start), width)
+                vectors_ = items.field(3).slice(at.start, at.stop - at.start)
+                x = unit(vectors_, len(vectors_[0]))  # the key holds the length
                 found = _pairs(key, p, q, side, code_) & (x @ x.T >= cosine)
-                count = found.sum(axis=1)
+                count = found @ items.field(4).to_numpy()[at]
                 some = np.flatnonzero(count)
                 tree = forest(found)
                 a += ids[some].tolist() + [ids[i] for i, _ in tree]
@@ -160,7 +193,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, sample: int = 20_000) -> tup
                 n += count[some].tolist() + [0] * len(tree)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
 
-    full = near.join(vectors, "vec_id").groupBy("key", "p", "q").agg(F.collect_list(F.struct("side", "vec_id", "code", "embedding")).alias("members"))
+    full = near.join(vectors.select("vec_id", "embedding", "n"), "vec_id").groupBy("key", "p", "q").agg(F.collect_list(F.struct("side", "vec_id", "code", "embedding", "n")).alias("members"))
     found = stored(full.mapInArrow(rerank, "a LONG, b LONG, n LONG"), "links")
     return found.filter("b IS NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links")), found.filter("b IS NOT NULL").select("a", "b")
 
@@ -173,13 +206,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, sample: int = 20_0
     vector: repeated rows of it take part once, as the one with the least hash, and have the same result
     each. Rows without a vec_id link with nothing and have a null component. Other columns are
     ignored. An empty table gives an empty result.
+
+    Pairs whose codes differ by over RADIUS bits are not looked at, so a ``cosine`` is refused whose
+    pairs would often differ by more (``needed_radius``; 0.95 is the least).
     """
+    if needed_radius(cosine) > RADIUS + 0.5:
+        raise ValueError(f"pairs at a cosine of {cosine} need {needed_radius(cosine):.1f} bits; the tables find {RADIUS}")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sound = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0)")
     good = rows.filter("vec_id IS NOT NULL").filter(sound).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
-    counts, edges = links(stored(good, "vectors"), cosine, sample)
+    good = stored(good, "vectors")
+    classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("size", F.size("embedding")), "vector-classes")
+    counts, edges = links(classes, cosine, sample)
     of = connected_components(edges)
-    told = stored(counts.join(of, counts["vec_id"] == of["node"], "left").select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id")), "told")
+    linked = classes.join(counts, "vec_id", "left").join(of, F.col("vec_id") == of["node"], "left")
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")) + F.col("n") - 1  # its equals, too
+    named = linked.select(F.col("vec_id").alias("first"), n_links.alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    own = good.join(classes.filter("n > 1").select("embedding", F.col("vec_id").alias("first")), "embedding", "left").select("vec_id", F.coalesce("first", "vec_id").alias("first"))
+    told = stored(stored(own, "vector-firsts").join(named, "first").select("vec_id", "n_links", "component_id"), "told")
     out = rows.select("vec_id").join(told, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
