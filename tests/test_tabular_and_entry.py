@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
@@ -96,6 +98,25 @@ def test_training_goes_on_from_a_saved_model(spark, tmp_path):
         more.fit(data, cols[:2], resume=True)
 
 
+def test_columns_drawn_once_per_tree(spark):
+    cols = [f"f{i}" for i in range(4)]
+    cfg = ForecastConfig(max_iter=7, patience=2, max_depth=3, step_size=0.3, subsample=0.9, feature_subset="0.5", min_info_gain=0.0, boost_chunk=3, column_sample="tree")
+    data = _noisy(spark)
+    model = tabular.GbtForecaster(cfg).fit(data, cols)
+    draws = [model.tree_columns(m) for m in range(7)]
+    assert all(len(d) == 2 for d in draws) and len({tuple(d) for d in draws}) > 1
+    used = [set(map(int, re.findall(r"feature (\d+)", t.toDebugString()))) for t in model.model._java_obj.trees()]
+    assert all(u and u <= set(d) for u, d in zip(used, draws, strict=False))
+    # drawing all columns is MLlib's own fit
+    every = tabular.GbtForecaster(cfg.with_(feature_subset="1.0")).fit(data, cols)
+    plain = tabular.GbtForecaster(cfg.with_(feature_subset="all", column_sample="node")).fit(data, cols)
+    assert every.val_curve == pytest.approx(plain.val_curve, rel=1e-9) and every.best_iteration == plain.best_iteration
+    rmse = every.model.evaluateEachIteration(every.assemble(data).filter("split = 'val'").withColumn("label", F.col("y")), "squared")
+    assert [e**0.5 for e in rmse] == pytest.approx(every.val_curve[: len(rmse)], rel=1e-9)
+    with pytest.raises(ValueError):
+        tabular.GbtForecaster(cfg.with_(column_sample="level"))
+
+
 def test_no_validation_rows_keep_all_rounds(spark):
     cfg = ForecastConfig(max_iter=3, patience=1, max_depth=2)
     model = tabular.GbtForecaster(cfg).fit(_noisy(spark).filter("split = 'fit'"), ["f0", "f1"])

@@ -24,7 +24,7 @@ from tsengine.sources import artefacts, files, sinks
 #: Settings of ForecastConfig that the command line takes, by the same names.
 SETTINGS = (
     "test_size", "validation_ratio", "max_lag", "scaler", "context_length", "prediction_length", "on_short", "num_samples", "confidence", "season_length",
-    "sampler", "blend_weight", "search_points", "seed", "max_iter", "patience", "step_size", "max_depth", "subsample", "min_instances_per_node", "min_info_gain", "layout",
+    "sampler", "blend_weight", "search_points", "seed", "max_iter", "patience", "step_size", "max_depth", "subsample", "feature_subset", "column_sample", "min_instances_per_node", "min_info_gain", "layout",
 )
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 

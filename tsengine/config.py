@@ -62,6 +62,7 @@ class ForecastConfig:
     max_depth: int = 8
     subsample: float = 0.9
     feature_subset: str = "0.85"
+    column_sample: str = "node"  # "node": MLlib draws columns for each node; "tree": once for each tree
     min_instances_per_node: int = 3
     min_info_gain: float = 0.05
     max_bins: int = 32

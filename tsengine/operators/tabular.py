@@ -4,11 +4,13 @@ early stopping, inverse-scaled predictions and split-count / mean-gain feature i
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark import SparkContext, StorageLevel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +115,8 @@ class GbtForecaster:
     def __init__(self, cfg: ForecastConfig = ForecastConfig()):
         if cfg.max_iter < 1:
             raise ValueError("max_iter must be >= 1")
+        if cfg.column_sample not in ("node", "tree"):
+            raise ValueError("column_sample must be 'node' or 'tree'")
         self.cfg = cfg
         self.model: GBTRegressionModel | None = None
         self.best_iteration: int | None = None
@@ -149,37 +153,59 @@ class GbtForecaster:
             bootstrap=False,
             maxDepth=c.max_depth,
             subsamplingRate=c.subsample,
-            featureSubsetStrategy=c.feature_subset,
+            featureSubsetStrategy="all" if c.column_sample == "tree" else c.feature_subset,
             minInstancesPerNode=c.min_instances_per_node,
             minInfoGain=c.min_info_gain,
             maxBins=c.max_bins,
             seed=c.seed + round_,
         )
 
+    def tree_columns(self, round_: int) -> list[int]:
+        """The features that the tree of a round may split on: all, or with ``column_sample="tree"`` a draw
+        of ``feature_subset`` (a share) of them, by ``seed + round``."""
+        n = len(self.feature_cols)
+        if self.cfg.column_sample != "tree":
+            return list(range(n))
+        return sorted(random.Random(self.cfg.seed + round_).sample(range(n), max(1, int(n * float(self.cfg.feature_subset)))))
+
+    def _seen(self, rows: DataFrame, round_: int) -> DataFrame:
+        """Rows as a round's tree sees them: a column outside its draw is 0 in all of them, so it has no
+        place to split and trees keep the numbers of the whole vector."""
+        if self.cfg.column_sample != "tree":
+            return rows
+        drawn = set(self.tree_columns(round_))
+        mask = Vectors.dense([float(i in drawn) for i in range(len(self.feature_cols))])
+        masked = ElementwiseProduct(scalingVec=mask, inputCol="features", outputCol="__masked").transform(rows)
+        return masked.drop("features").withColumnRenamed("__masked", "features")
+
     def _more_rounds(self, state: DataFrame, done: int, n: int) -> list:
         """The trees of ``n`` further rounds on the stored predictions ``__p`` of the first ``done``.
 
-        As in MLlib's boosting with squared loss, a round's tree is fitted to twice the residuals,
-        draws its rows and columns by ``seed + round``, and counts ``step_size`` times.
+        As in MLlib's boosting with squared loss, the first tree is fitted to the labels and counts once; a
+        later one is fitted to twice the residuals and counts ``step_size`` times. Rows and columns are
+        drawn by ``seed + round``.
         """
         rows, trees = state.filter(F.col("split") == "fit"), []
         for m in range(done, done + n):
-            residual = F.lit(2.0) * (F.col(self.cfg.target) - F.col("__p"))
-            trees.append(self._one_tree(m).fit(rows.withColumn("__residual", residual)).trees[0].setPredictionCol("__tree"))
-            rows = self._added(rows, trees[-1:])
+            residual = (F.lit(2.0) if m else F.lit(1.0)) * (F.col(self.cfg.target) - F.col("__p"))
+            trees.append(self._one_tree(m).fit(self._seen(rows, m).withColumn("__residual", residual)).trees[0].setPredictionCol("__tree"))
+            rows = self._added(rows, m, trees[-1:])
         return trees
 
-    def _added(self, rows: DataFrame, trees: Sequence) -> DataFrame:
-        for tree in trees:
-            rows = tree.transform(rows).withColumn("__p", F.col("__p") + F.lit(self.cfg.step_size) * F.col("__tree")).drop("__tree")
+    def _weight(self, round_: int) -> float:
+        return self.cfg.step_size if round_ else 1.0
+
+    def _added(self, rows: DataFrame, done: int, trees: Sequence) -> DataFrame:
+        for m, tree in enumerate(trees, done):
+            rows = tree.transform(rows).withColumn("__p", F.col("__p") + F.lit(self._weight(m)) * F.col("__tree")).drop("__tree")
         return rows
 
-    def _errors(self, state: DataFrame, trees: Sequence) -> list[float]:
+    def _errors(self, state: DataFrame, done: int, trees: Sequence) -> list[float]:
         """Validation RMSE after each of ``trees`` on top of the stored predictions, in one pass."""
         rows, p, means = state.filter(F.col("split") == "val"), F.col("__p"), []
         for i, tree in enumerate(trees):
             rows = tree.transform(rows).withColumnRenamed("__tree", f"__tree_{i}")
-            p = p + F.lit(self.cfg.step_size) * F.col(f"__tree_{i}")
+            p = p + F.lit(self._weight(done + i)) * F.col(f"__tree_{i}")
             means.append(F.avg((F.col(self.cfg.target) - p) ** 2))
         return [float(e) ** 0.5 for e in rows.agg(*means).first()]
 
@@ -193,6 +219,7 @@ class GbtForecaster:
         those of one MLlib fit of all rounds (of the same seed and partitions; where a fit part of over
         10,000 rows is sampled for its bins, each tree of a chunk draws its own sample). ``resume`` goes
         on from the trees at hand (of an earlier fit, or loaded) up to the configured rounds and patience.
+        With ``column_sample="tree"``, which MLlib's fit doesn't have, all rounds are trained in chunks.
         Without ``val`` rows all rounds are trained and kept.
         """
         c = self.cfg
@@ -208,24 +235,31 @@ class GbtForecaster:
             fit_rows, val_rows = (data.filter(F.col("split") == part) for part in ("fit", "val"))
             judged = not val_rows.isEmpty()
             first = c.max_iter if not judged else min(c.max_iter, c.patience + 1)
-            model = self.model if resume else self._estimator(first).fit(fit_rows)
-            curve = [float(e) ** 0.5 for e in model.evaluateEachIteration(val_rows.withColumn("label", F.col(c.target)), "squared")] if judged else []  # a loaded model has no label column set
-            trees, weights = list(model._java_obj.trees()), list(model.treeWeights)
+            model, trees, weights, curve = self.model if resume else None, [], [], []
+            if model is None and c.column_sample != "tree":
+                model = self._estimator(first).fit(fit_rows)
+            if model is not None:
+                trees, weights = list(model._java_obj.trees()), list(model.treeWeights)
+                if judged:  # a loaded model has no label column set
+                    curve = [float(e) ** 0.5 for e in model.evaluateEachIteration(val_rows.withColumn("label", F.col(c.target)), "squared")]
             grown = []  # a tree's JVM object is let go when its wrapper is
-            while judged:
-                room = min(c.max_iter, early_stop(curve, c.patience) + c.patience + 1) - len(curve)
+            while True:
+                stop = early_stop(curve, c.patience) + c.patience + 1 if curve else first
+                room = min(c.max_iter, stop) - len(trees)
                 if room < 1:
                     break
                 if state is None:
-                    state = materialize(model.setPredictionCol("__p").transform(data))
-                new = self._more_rounds(state, len(curve), min(room, c.boost_chunk))
-                curve += self._errors(state, new)
+                    state = materialize(model.setPredictionCol("__p").transform(data) if model is not None else data.withColumn("__p", F.lit(0.0)))
+                done, new = len(trees), self._more_rounds(state, len(trees), min(room, c.boost_chunk))
+                if judged:
+                    curve += self._errors(state, done, new)
                 grown += new
                 trees += [t._java_obj for t in new]
-                weights += [c.step_size] * len(new)
-                state = materialize(self._added(state, new))
+                weights += [self._weight(done + i) for i in range(len(new))]
+                state = materialize(self._added(state, done, new))
             best = early_stop(curve, c.patience) if curve else len(trees) - 1
-            self.model = model_of(trees[: best + 1], weights[: best + 1], model.numFeatures, model.uid)
+            uid = model.uid if model is not None else self._estimator(1).uid
+            self.model = model_of(trees[: best + 1], weights[: best + 1], len(self.feature_cols), uid)
             self.best_iteration, self.val_curve = best, curve
         finally:
             data.unpersist()
