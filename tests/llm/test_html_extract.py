@@ -97,7 +97,7 @@ def test_time_grows_with_the_page():
     for text in ("<div>" * n + "x", "<b>" * n + "x", "</x>" * n, "<article>" * n, "<p><b>" * (n // 2), "<p>" + "<b>" * (n // 2) + "<hr>" * (n // 2), "<ul><li><table><tr><td>" * (n // 5), "<div class=menu>" * n):
         begin = time.process_time()
         h.extract(text)
-        assert time.process_time() - begin < 4, text[:30]
+        assert time.process_time() - begin < 8, text[:30]
 
 
 def test_rows(small):

@@ -90,7 +90,7 @@ def test_time_grows_with_the_text(small):
     for text, n in (("token=" * 350_000, 1), ("token=abcdef " * 100_000, 100_000), (base64, None), ("token=aB3dE6gH9jK2mN5pQ8sT " * 40_000, 40_000), ("aB3dE6gH9jK2mN5pQ8sT " * 40_000, 40_000)):
         begin = time.time()
         row = s.scan_secrets(small([(1, text)], "doc_id LONG, text STRING")).selectExpr("size(base) AS b", "size(found) AS f", "element_at(found, -1).stop AS last").first()
-        assert (row.f == n if n else row.f < 50) and row.last and time.time() - begin < 60, (text[:30], row, time.time() - begin)
+        assert (row.f == n if n else row.f < 50) and row.last and time.time() - begin < 120, (text[:30], row, time.time() - begin)
 
 
 def test_random_texts(small):
