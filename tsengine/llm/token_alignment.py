@@ -214,7 +214,7 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     def work(batches):
         sides = opened(a, b)
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text", 1 << 18):
                 texts = part.column("text").to_pylist()
                 n_a, n_b, n_groups, groups, pairs, first = align_texts(sides, texts)
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(pairs))
