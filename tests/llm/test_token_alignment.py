@@ -133,3 +133,51 @@ def test_every_link_is_a_pair_that_the_vocabularies_allow(small, rows):
         codes = sides.codes[np.asarray(row.pairs, np.int64)]
         last = [(int(g.split("|")[0].split(",")[-1]), int(g.split("|")[1].split(",")[-1])) for g in row.groups.split(";")] if row.groups else []
         assert [divmod(int(c), sides.n_b) for c in codes] == last
+
+
+def sides_ids(texts):
+    sides = ta.opened(A, B)
+    return sides, [(ids.tolist(), n.tolist()) for ids, n in sides.ids(texts)], [(ids.tolist(), n.tolist()) for ids, n in (sides.a.ids(texts), sides.b.ids(texts))]
+
+
+def test_repeated_words_are_encoded_once(monkeypatch):
+    sides, seen, whole = ta.Sides(A, B), [], ta.Side.ids
+    monkeypatch.setattr(ta.Side, "ids", lambda self, texts: seen.extend(map(len, texts)) or whole(self, texts))
+    texts = ["some words, that come again. and again " * 200] * 20
+    n_a, n_b, n_groups, *_ = ta.align_texts(sides, texts)
+    assert len(set(n_a)) == len(set(n_b)) == len(set(n_groups)) == 1 and n_groups[0] > 1000
+    assert sum(seen) < sum(map(len, texts)) / 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_units_have_the_ids_of_whole_texts(monkeypatch, seed):
+    r = random.Random(seed)
+    monkeypatch.setattr(ta, "STRETCH", r.choice([1, 7, 40, 1 << 14]))
+    monkeypatch.setattr(ta, "REMEMBERED", r.choice([0, 10, 1000]))
+    spaces = [" "] * 8 + ["  ", "   ", "\n", " \n", "\n ", "\t", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "▁", " ▁", "▁ ", "\x00", ""]
+    parts = ["words", "don't", "'s", "'", "É", "한국어", "😀", "e\u0301", "\u0301", "123", "4", "--", "x" * 40, "<|endoftext|>", "<s>", "<unk>", "<0x41>", ".", "Straße", "\ufffd", "\U000e0001"]
+    texts = ["".join(r.choice(parts if r.random() < 0.6 else spaces) if r.random() < 0.3 else r.choice(parts) + r.choice(spaces) for _ in range(r.randrange(40))) for _ in range(500)]
+    sides, got, want = sides_ids([*texts, "", " ", "\n", "a"])
+    assert sides.a.cuts and sides.b.cuts
+    assert got == want
+
+
+def test_tokenizers_whose_tokens_reach_over_spaces_read_whole_texts(tmp_path):
+    import json
+
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(A, encoding="utf-8") as f:
+        spec = json.load(f)
+    for name, changed in {"added": {"added_tokens": [spec["added_tokens"][0] | {"content": "two words", "special": False}]}, "normalised": {"normalizer": {"type": "NFC"}}, "other": {"pre_tokenizer": None}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(spec | changed), encoding="utf-8")
+        assert not ta.json_cuts(str(tmp_path / f"{name}.json"))
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(B, "rb") as f:
+        model.ParseFromString(f.read())
+    model.pieces[1000].piece = "of▁the"
+    (tmp_path / "b.model").write_bytes(model.SerializeToString())
+    assert ta.json_cuts(A) and ta.model_cuts(B) and not ta.model_cuts(str(tmp_path / "b.model"))
+    sides = ta.Sides(A, str(tmp_path / "b.model"))
+    for (x, n), (y, m) in zip(sides.ids(["some of the words"]), (sides.a.ids(["some of the words"]), sides.b.ids(["some of the words"])), strict=True):
+        assert x.tolist() == y.tolist() and n.tolist() == m.tolist()

@@ -10,11 +10,17 @@ Tokens that end together: the bytes of one are the end of the other's. So all id
 ever be linked are known from the two vocabularies, and corpus-wide counts are one array of that
 fixed size, whatever the corpus. Pieces stay in the task that encoded the text: encoding costs many
 times the merge, and ids and ends are larger than the text they come from.
+
+Encoding is most of the cost, and words come again. Where both tokenizers' files show that no token
+reaches over a single space between two other signs, texts are cut there, and a worker remembers the
+ids that the tokenizers gave the units met of late. Other tokenizers read whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -22,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import slices, stored, text_slices
 from .packing import _byte_letters
 
 WORK = 1 << 16  # merge steps of a piece
+CUT = re.compile(r" (?<=[^\s▁] )(?=[^\s▁])")  # a single space between two other signs
+STRETCH = 1 << 14  # characters whose units are looked up together
+REMEMBERED = 100_000  # units of either generation
+LONG = 32  # characters; longer units are not remembered
 ALIGNED = "doc_id LONG, n_a LONG, n_b LONG, n_groups LONG, groups STRING, pairs ARRAY<INT>"
 
 
@@ -43,11 +53,49 @@ class Table:
         return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def json_cuts(path: str) -> bool:
+    """Whether a text's ids are those of its units, each with a space before it: byte-level words
+    (of which none has a space but at its start, or is white space and other signs) and nothing else."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    words, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
+    return plain and spec["normalizer"] is None and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec["added_tokens"])
+
+
+def model_cuts(path: str) -> bool:
+    """The same of a ``.model``: merges of the text as it is, with a space before it, and no piece
+    with a space after another sign."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:  # it needs protobuf
+        return False
+    spec = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        spec.ParseFromString(f.read())
+    text, train, kind = spec.normalizer_spec, spec.trainer_spec, spec.SentencePiece
+    plain = not text.precompiled_charsmap and text.add_dummy_prefix and text.escape_whitespaces and not text.remove_extra_whitespaces
+    merges = train.model_type == train.BPE and train.byte_fallback and not train.treat_whitespace_as_suffix
+    return plain and merges and all(p.type in (kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE) and "▁" not in p.piece.lstrip("▁") for p in spec.pieces)
+
+
+def stretches(text: str) -> list[str]:
+    """The text cut at the first possible place after every ``STRETCH`` characters."""
+    out, at = [], 0
+    while m := CUT.search(text, at + STRETCH):
+        out.append(text[at : m.start()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
 class Side:
     """A tokenizer whose tokens are byte strings: byte-level ``.json`` or ``.model``. Both read a
     text with a space before it, and the strings of special tokens as plain text."""
 
     def __init__(self, path: str):
+        self.cuts = model_cuts(path) if path.endswith(".model") else json_cuts(path)
+        self.young: dict[str, bytes] = {}  # ids of units, as bytes
+        self.old: dict[str, bytes] = {}
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -78,6 +126,46 @@ class Side:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
+    def learn(self, parts: list[list[str]]) -> set[str]:
+        """Bring all units into ``young``; returns those that were encoded. Units inside a part begin
+        and end with signs at which texts can be cut, so they are encoded in one text; those at its
+        ends may be empty or have white space there, and go one by one."""
+        new = set().union(*parts).difference(self.young)
+        again = {u: self.old[u] for u in new if u in self.old}
+        self.young.update(again)
+        new.difference_update(again)
+        inner = list(new.difference([p[0] for p in parts], [p[-1] for p in parts]))
+        if inner:
+            ids, _ = self.ids([" ".join(inner)])
+            ends = np.cumsum(self.table.size[ids], dtype=np.int64)
+            stops = np.cumsum([1 + len(u.encode()) for u in inner])
+            last = np.searchsorted(ends, stops)
+            if last[-1] == len(ids) - 1 and np.array_equal(ends[last], stops):
+                self.remember(inner, ids, last + 1)
+            else:  # a sign whose bytes don't come back
+                inner = []
+        if apart := list(new.difference(inner)):
+            ids, n = self.ids(apart)
+            self.remember(apart, ids, np.cumsum(n))
+        return new
+
+    def remember(self, units: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        data, at = ids.tobytes(), 0
+        for u, stop in zip(units, (4 * stops).tolist(), strict=True):
+            self.young[u] = data[at:stop]
+            at = stop
+
+    def unit_ids(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of each part, from its units'. Units not met for a whole generation are forgotten."""
+        new = self.learn(parts)
+        out = [b"".join(map(self.young.__getitem__, p)) for p in parts]
+        for u in new:
+            if len(u) > LONG:
+                del self.young[u]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        return out
+
 
 class Sides:
     """Two tokenizers, and the codes ``a * |B| + b`` of all id pairs that can end together, in order."""
@@ -88,6 +176,21 @@ class Sides:
         self.codes = np.unique(np.concatenate([self.suffixes(self.a.bytes, self.b.bytes, self.n_b, 1), self.suffixes(self.b.bytes, self.a.bytes, 1, self.n_b)]))
         self.decimals = Table([b"%d," % i for i in range(max(len(self.a.bytes), self.n_b))])
 
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B, all texts' ids in a row, and how many each text has."""
+        sides = (self.a, self.b)
+        if not (self.a.cuts and self.b.cuts):
+            return [side.ids(texts) for side in sides]
+        cut = [stretches(t) for t in texts]
+        owner, parts = np.repeat(np.arange(len(texts)), [len(c) for c in cut]), list(chain.from_iterable(cut))
+        found: tuple[list[bytes], list[bytes]] = ([], [])
+        for i, j in slices(np.asarray([len(p) for p in parts], np.int64), STRETCH):
+            units = [CUT.split(p) for p in parts[i:j]]
+            for side, row in zip(sides, found, strict=True):
+                row += side.unit_ids(units)
+        n = [np.bincount(owner, [len(x) // 4 for x in row], len(texts)).astype(np.int64) for row in found]
+        return [(np.frombuffer(b"".join(row), np.int32), k) for row, k in zip(found, n, strict=True)]
+
     @staticmethod
     def suffixes(whole: list[bytes], parts: list[bytes], by_whole: int, by_part: int) -> np.ndarray:
         """Codes of pairs in which a token of ``parts`` ends a token of ``whole``."""
@@ -177,7 +280,7 @@ def render(sides: Sides, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_
 def align_texts(sides: Sides, texts: list[str], work: int = WORK):
     """Counts of A tokens, B tokens and groups, rendered groups, and linked pairs (places in
     ``sides.codes``) of each text; all zero and empty where a text's bytes don't come back."""
-    (a, n_a), (b, n_b) = sides.a.ids(texts), sides.b.ids(texts)
+    (a, n_a), (b, n_b) = sides.ids(texts)
     wanted = [b" " + t.encode() if t else b"" for t in texts]
     at = np.concatenate([[0], np.cumsum([len(w) for w in wanted])])
     whole = np.frombuffer(b"".join(wanted), np.uint8)
