@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -33,16 +34,16 @@ from .packing import _byte_letters
 
 WORK = 1 << 16  # merge steps of a piece
 CUT = re.compile(r" (?<=[^\s▁] )(?=[^\s▁])")  # a single space between two other signs
-STRETCH = 1 << 14  # characters whose units are looked up together
-REMEMBERED = 100_000  # units of either generation
-LONG = 32  # characters; longer units are not remembered
+STRETCH = 1 << 18  # characters whose units are looked up together
+TOGETHER = 64  # new units encoded as one text
+REMEMBERED, HELD = 300_000, 4 << 20  # a worker forgets all beyond so many units, or ids of them
 ALIGNED = "doc_id LONG, n_a LONG, n_b LONG, n_groups LONG, groups STRING, pairs ARRAY<INT>"
 
 
 class Table:
-    """Byte strings by number, gathered many at a time."""
+    """Byte strings, or rows of ids, by number; gathered many at a time."""
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: Sequence[bytes] = ()):
         self.size = np.asarray([len(s) for s in strings], np.int32)
         self.start = np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)])[:-1]
         self.flat = np.frombuffer(b"".join(strings), np.uint8)
@@ -52,6 +53,22 @@ class Table:
         ends = np.cumsum(size, dtype=np.int64)
         return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+
+
+class Numbers(dict):
+    """Units' numbers, in the order in which they were met; ``new`` lists those met of late."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        number = self[unit] = len(self)
+        return number
+
 
 def json_cuts(path: str) -> bool:
     """Whether a text's ids are those of its units, each with a space before it: byte-level words
@@ -94,8 +111,6 @@ class Side:
 
     def __init__(self, path: str):
         self.cuts = model_cuts(path) if path.endswith(".model") else json_cuts(path)
-        self.young: dict[str, bytes] = {}  # ids of units, as bytes
-        self.old: dict[str, bytes] = {}
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -126,45 +141,18 @@ class Side:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
-    def learn(self, parts: list[list[str]]) -> set[str]:
-        """Bring all units into ``young``; returns those that were encoded. Units inside a part begin
-        and end with signs at which texts can be cut, so they are encoded in one text; those at its
-        ends may be empty or have white space there, and go one by one."""
-        new = set().union(*parts).difference(self.young)
-        again = {u: self.old[u] for u in new if u in self.old}
-        self.young.update(again)
-        new.difference_update(again)
-        inner = list(new.difference([p[0] for p in parts], [p[-1] for p in parts]))
+    def unit_ids(self, apart: list[str], inner: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All units' ids in a row, and how many each has. ``inner`` begin and end with signs at which
+        texts can be cut, so many are encoded as one text; ``apart`` go one by one."""
         if inner:
-            ids, _ = self.ids([" ".join(inner)])
+            ids, _ = self.ids([" ".join(inner[i : i + TOGETHER]) for i in range(0, len(inner), TOGETHER)])
             ends = np.cumsum(self.table.size[ids], dtype=np.int64)
             stops = np.cumsum([1 + len(u.encode()) for u in inner])
             last = np.searchsorted(ends, stops)
             if last[-1] == len(ids) - 1 and np.array_equal(ends[last], stops):
-                self.remember(inner, ids, last + 1)
-            else:  # a sign whose bytes don't come back
-                inner = []
-        if apart := list(new.difference(inner)):
-            ids, n = self.ids(apart)
-            self.remember(apart, ids, np.cumsum(n))
-        return new
-
-    def remember(self, units: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
-        data, at = ids.tobytes(), 0
-        for u, stop in zip(units, (4 * stops).tolist(), strict=True):
-            self.young[u] = data[at:stop]
-            at = stop
-
-    def unit_ids(self, parts: list[list[str]]) -> list[bytes]:
-        """The ids of each part, from its units'. Units not met for a whole generation are forgotten."""
-        new = self.learn(parts)
-        out = [b"".join(map(self.young.__getitem__, p)) for p in parts]
-        for u in new:
-            if len(u) > LONG:
-                del self.young[u]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return out
+                own, n = self.ids(apart)
+                return np.concatenate([own, ids]), np.concatenate([n, np.diff(last, prepend=-1)])
+        return self.ids(apart + inner)  # also where a sign's bytes don't come back
 
 
 class Sides:
@@ -174,22 +162,43 @@ class Sides:
         self.a, self.b = Side(a), Side(b)
         self.n_b = len(self.b.bytes)
         self.codes = np.unique(np.concatenate([self.suffixes(self.a.bytes, self.b.bytes, self.n_b, 1), self.suffixes(self.b.bytes, self.a.bytes, 1, self.n_b)]))
+        self.known, self.units = Numbers(), (Table(), Table())  # units' numbers; their ids of A and of B
         self.decimals = Table([b"%d," % i for i in range(max(len(self.a.bytes), self.n_b))])
 
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and for B, all texts' ids in a row, and how many each text has."""
-        sides = (self.a, self.b)
         if not (self.a.cuts and self.b.cuts):
-            return [side.ids(texts) for side in sides]
+            return [self.a.ids(texts), self.b.ids(texts)]
         cut = [stretches(t) for t in texts]
         owner, parts = np.repeat(np.arange(len(texts)), [len(c) for c in cut]), list(chain.from_iterable(cut))
-        found: tuple[list[bytes], list[bytes]] = ([], [])
+        found: tuple[list, list] = ([], [])
         for i, j in slices(np.asarray([len(p) for p in parts], np.int64), STRETCH):
             units = [CUT.split(p) for p in parts[i:j]]
-            for side, row in zip(sides, found, strict=True):
-                row += side.unit_ids(units)
-        n = [np.bincount(owner, [len(x) // 4 for x in row], len(texts)).astype(np.int64) for row in found]
-        return [(np.frombuffer(b"".join(row), np.int32), k) for row, k in zip(found, n, strict=True)]
+            at = self.numbers(units)
+            stops = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+            for table, rows in zip(self.units, found, strict=True):
+                sums = np.concatenate([[0], np.cumsum(table.size[at], dtype=np.int64)])
+                rows.append((table.gather(at), np.diff(sums[stops])))
+        out = []
+        for rows in found:
+            ids, n = map(np.concatenate, zip(*rows, strict=True))
+            out.append((ids, np.bincount(owner, n, len(texts)).astype(np.int64)))
+        return out
+
+    def numbers(self, units: list[list[str]]) -> np.ndarray:
+        """The numbers of all parts' units; new ones' ids are added to the tables. Units at the ends of
+        a part may be empty or have white space there; they come first."""
+        if len(self.known) > REMEMBERED or sum(len(t.flat) for t in self.units) > HELD:
+            self.known, self.units = Numbers(), (Table(), Table())
+        for part in units:
+            self.known[part[0]], self.known[part[-1]]
+        apart = len(self.known.new)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
+        new, self.known.new = self.known.new, []
+        if new:
+            for side, table in zip((self.a, self.b), self.units, strict=True):
+                table.add(*side.unit_ids(new[:apart], new[apart:]))
+        return at
 
     @staticmethod
     def suffixes(whole: list[bytes], parts: list[bytes], by_whole: int, by_part: int) -> np.ndarray:
