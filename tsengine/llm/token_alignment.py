@@ -75,9 +75,9 @@ def json_cuts(path: str) -> bool:
     (of which none has a space but at its start, or is white space and other signs) and nothing else."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    words, model = spec["pre_tokenizer"] or {}, spec["model"]
+    words, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
-    return plain and spec["normalizer"] is None and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec["added_tokens"])
+    return plain and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec.get("added_tokens", ()))
 
 
 def model_cuts(path: str) -> bool:
